@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from gleanery import constants as C
 from gleanery.functions.html import is_valid_content, metadata_struct
+from gleanery.functions.markup import PageReader, markdown, parse
 from gleanery.functions.text import non_empty, or_empty, sanitize_text
 from gleanery.functions.urls import url_domain
 from gleanery.schemas import METADATA_FIELDS
@@ -30,8 +31,6 @@ def parse_page_udf(max_bytes: int = C.MAX_CONTENT_BYTES, bare_text: bool = True)
 
     @F.arrow_udf(returnType=_PARSED)
     def parse_page(html: pa.Array, is_wechat: pa.Array) -> pa.Array:
-        from gleanery.functions.markup import PageReader
-
         reader = PageReader(
             C.COMMON_SELECTORS, C.WECHAT_SELECTORS, C.FALLBACK_SELECTOR, C.MIN_CONTENT_BYTES, max_bytes, bare_text
         )
@@ -52,8 +51,6 @@ def html_to_markdown_udf(max_bytes: int = 0, bare_text: bool = True):
 
     @F.arrow_udf(returnType=T.StringType())
     def html_to_markdown(html: pa.Array) -> pa.Array:
-        from gleanery.functions.markup import markdown, parse
-
         return pa.array(
             [None if not page.is_valid else markdown(parse(page.as_py()), max_bytes, bare_text) for page in html],
             pa.string(),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_with_tasks() -> None:
+    """Send this package's own functions along with the tasks that use them.
+
+    For sessions that were started without the package on the executors' Python path.
+    """
+    import gleanery
+
+    cloudpickle.register_pickle_by_value(gleanery)

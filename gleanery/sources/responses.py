@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +47,6 @@ def status_error(status: Column | str) -> Column:
 def _decode_udf(max_bytes: int):
     @F.arrow_udf(returnType=_DECODED)
     def decode(body: pa.Array) -> pa.Array:
-        import zlib
-
         texts, errors = [], []
         for item in body:
             text = error = None

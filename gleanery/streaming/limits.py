@@ -39,11 +39,10 @@ class _Admission(StatefulProcessor):
 
 
 class _Spacing(StatefulProcessor):
-    def __init__(self, arrival: str, tie: str, delay: str, start: str, ttl_ms: int):
+    def __init__(self, arrival: str, tie: str, delay: str, start: str, ttl_ms: int | None):
         self.arrival, self.tie, self.delay, self.start, self.ttl_ms = arrival, tie, delay, start, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # Forgetting a host after a while replaces a cap on the number of hosts.
         self.last = handle.getValueState(
             "last_start", T.StructType([T.StructField("us", T.LongType())]), ttlDurationMs=self.ttl_ms
         )
@@ -73,10 +72,14 @@ def stream_admit(calls: DataFrame, key: str, us: str, tie: str, limit: int = C.I
 
 
 def stream_schedule(requests: DataFrame, key: str, arrival: str, tie: str, delay: str, start: str = "start_us",
-                    ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Add start times per host, as ``politeness_schedule`` does for a table."""
+                    ttl_ms: int | None = None) -> DataFrame:
+    """Add start times per host, as ``politeness_schedule`` does for a table.
+
+    With ``ttl_ms`` a host is forgotten after that much wall-clock time, which bounds the state.  Spark then keeps
+    running empty micro-batches to expire state, so use a processing-time trigger with it, not ``availableNow``.
+    """
     use_rocksdb(requests.sparkSession)
     schema = T.StructType([*requests.schema.fields, T.StructField(start, T.LongType())])
     return requests.groupBy(key).transformWithStateInPandas(
-        _Spacing(arrival, tie, delay, start, ttl_ms), schema, "Append", "ProcessingTime"
+        _Spacing(arrival, tie, delay, start, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None"
     )
