@@ -112,23 +112,19 @@ def cascade_failures(spark, folder):
 
 
 @query("attempt_resolution", """
-    WITH numbered AS (
-        SELECT user_id, event_id, CASE WHEN event_type IN ('error', 'click') THEN 'e' || event_id END AS error,
-               row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
-    attempts AS (SELECT *, (n - 1) // 3 AS task, (n - 1) % 3 + 1 AS attempt FROM numbered)
-    SELECT user_id, task, bool_or(error IS NULL) AS ok, CAST(min(attempt) FILTER (error IS NULL) AS INTEGER) AS ok_attempt,
-           min_by(event_id, attempt) FILTER (error IS NULL) AS event_id,
+    WITH attempts AS (
+        SELECT event_id // 3 AS task, event_id % 3 + 1 AS attempt, event_id, value,
+               CASE WHEN event_type IN ('error', 'click') THEN 'e' || event_id END AS error FROM events)
+    SELECT task, bool_or(error IS NULL) AS ok, min(attempt) FILTER (error IS NULL) AS ok_attempt,
+           min_by(value, attempt) FILTER (error IS NULL) AS value,
            CASE WHEN NOT bool_or(error IS NULL) THEN max_by(error, attempt) END AS error
-    FROM attempts WHERE attempt <= 2 GROUP BY user_id, task""")
+    FROM attempts WHERE attempt <= 2 GROUP BY task""")
 def attempt_resolution(spark, folder):
-    from pyspark.sql import Window as W
-
-    number = F.row_number().over(W.partitionBy("user_id").orderBy("ts")) - 1
     attempts = table(spark, folder, "events").select(
-        "user_id", "event_id", F.expr("CASE WHEN event_type IN ('error', 'click') THEN 'e' || event_id END").alias("error"),
-        number.alias("n"),
-    ).select("*", F.expr("CAST(n DIV 3 AS BIGINT)").alias("task"), (F.col("n") % 3 + 1).alias("attempt"))
-    return K.resolve_attempts(attempts, ["user_id", "task"], payload=["event_id"])
+        F.expr("CAST(event_id DIV 3 AS BIGINT)").alias("task"), (F.col("event_id") % 3 + 1).alias("attempt"), "value",
+        F.expr("CASE WHEN event_type IN ('error', 'click') THEN 'e' || event_id END").alias("error"),
+    )
+    return K.resolve_attempts(attempts, ["task"], payload=["value"])
 
 
 # Frontier: every document's URL, some of them invalid; every seventh one is in the store.

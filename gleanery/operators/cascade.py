@@ -40,11 +40,11 @@ def plan_routes(frontier: DataFrame, url: str = "url", available: Iterable[str]
 def candidate_priority(route: Column, mode: Column, available: Iterable[str] = C.ALL_MODES) -> Column:
     """Position of a candidate's mode in the plan of its URL; null when the plan does not use it."""
     available = tuple(available)
-    priority = F.lit(None).cast("int")
-    for name in C.ROUTE_PLANS:
-        for i, planned in plan_for(name, available):
-            priority = F.when((route == name) & (mode == planned), i).otherwise(priority)
-    return priority
+    places = [
+        (f"{name}/{planned}", i) for name in C.ROUTE_PLANS for i, planned in plan_for(name, available)
+    ]
+    literal = F.create_map(*[F.lit(v) for place in places for v in place])
+    return F.try_element_at(literal, F.concat(route, F.lit("/"), mode))
 
 
 def candidate_is_valid() -> Column:
@@ -57,6 +57,13 @@ def candidate_is_valid() -> Column:
     return F.col("error").isNull() & ((F.col("mode") == C.MODE_BRAVE) | is_valid_content(F.col("content"), kind))
 
 
+_SHOWN_MODES = sorted({m for parts in C.FAILURE_TEXT.values() for _, m in parts if not m.startswith("=")})
+
+
+def _route_of(url: str, available: Iterable[str], force_stealth: bool) -> Column:
+    return route_class(url_domain(url), force_stealth, C.MODE_STEALTH in available)
+
+
 def _failure_text(route: Column) -> Column:
     text = F.lit(None).cast("string")
     for name, parts in C.FAILURE_TEXT.items():
@@ -72,29 +79,35 @@ def _failure_text(route: Column) -> Column:
     return text
 
 
-def select_best(candidates: DataFrame, frontier: DataFrame | None = None, url: str = "url",
-                available: Iterable[str] = C.ALL_MODES, force_stealth: bool = False) -> DataFrame:
-    """The first acceptable candidate per URL in plan order, or a failure row with the errors of all methods.
+def weigh_candidates(candidates: DataFrame, available: Iterable[str] = C.ALL_MODES,
+                     force_stealth: bool = False) -> DataFrame:
+    """One row per URL: the first acceptable candidate in plan order, and the error of each method.
 
-    One aggregation by URL.  Its buffers have a fixed size (one candidate and one error text per method), so partial
-    aggregation shrinks a URL with many copies before the shuffle.  URLs of ``frontier`` without any candidate fail.
+    The aggregation buffers have a fixed size (one candidate and one error text per method) and hold no content that
+    was refused, so partial aggregation shrinks a URL with many copies before the shuffle.
     """
     available = tuple(available)
-    has_browser = C.MODE_STEALTH in available
-
-    def route_of(column: str) -> Column:
-        return route_class(url_domain(column), force_stealth, has_browser)
-
-    shown_modes = sorted({m for parts in C.FAILURE_TEXT.values() for _, m in parts if not m.startswith("=")})
-    ranked = (
-        candidates.withColumn("_priority", candidate_priority(route_of("url"), F.col("mode"), available))
-        .withColumn("_priority", F.when(candidate_is_valid(), F.col("_priority")))
-    )
+    priority = candidate_priority(_route_of("url", available, force_stealth), F.col("mode"), available)
+    ranked = candidates.withColumn("_priority", F.when(candidate_is_valid(), priority))
     kept = F.when(F.col("_priority").isNotNull(), F.struct("mode", "content", "selector", "metadata"))
-    best = ranked.groupBy("url").agg(
+    return ranked.groupBy("url").agg(
         F.min_by(kept, F.col("_priority")).alias("_best"),
-        *[F.max(F.when(F.col("mode") == m, F.col("error"))).alias(f"_err_{m}") for m in shown_modes],
+        *[F.max(F.when(F.col("mode") == m, F.col("error"))).alias(f"_err_{m}") for m in _SHOWN_MODES],
     )
+
+
+def failure_error(url: str, available: Iterable[str] = C.ALL_MODES, force_stealth: bool = False) -> Column:
+    """The error of a URL without an acceptable candidate, on top of :func:`weigh_candidates`."""
+    return _failure_text(_route_of(url, tuple(available), force_stealth))
+
+
+def select_best(candidates: DataFrame, frontier: DataFrame | None = None, url: str = "url",
+                available: Iterable[str] = C.ALL_MODES, force_stealth: bool = False) -> DataFrame:
+    """The first acceptable candidate per URL in plan order, or a failure row with the errors of all methods.
+
+    URLs of ``frontier`` without any candidate fail as well.
+    """
+    best = weigh_candidates(candidates, available, force_stealth)
     if frontier is not None:
         best = frontier.select(F.col(url).alias("url")).distinct().join(best, "url", "left")
     found = F.col("_best").isNotNull()
@@ -105,7 +118,7 @@ def select_best(candidates: DataFrame, frontier: DataFrame | None = None, url: s
         F.coalesce(F.col("_best.selector"), F.lit("")).alias("selector"),
         F.coalesce(F.col("_best.metadata"), metadata_struct(url="url")).alias("metadata"),
         found.alias("success"),
-        F.when(~found, _failure_text(route_of("url"))).alias("error"),
+        F.when(~found, failure_error("url", available, force_stealth)).alias("error"),
     )
 
 

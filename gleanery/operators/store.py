@@ -135,7 +135,7 @@ def evict_to_capacity(store: DataFrame, capacity: int = C.STORE_CAPACITY) -> Dat
 
 
 def delete_keys(store: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:
-    doomed = urls.select(url_hash(url).alias("url_hash"), F.col(url).alias("url"))
+    doomed = urls.select(F.col(url).alias("url")).distinct().select(url_hash("url").alias("url_hash"), "url")
     return store.join(doomed, KEY, "left_anti")
 
 

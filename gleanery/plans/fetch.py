@@ -12,8 +12,9 @@ from gleanery import constants as C
 from gleanery.functions.html import metadata_struct
 from gleanery.functions.text import non_empty
 from gleanery.functions.urls import url_error
-from gleanery.operators.cascade import batch_items, select_best
-from gleanery.operators.store import cache_hits, cache_misses
+from gleanery.operators.cascade import batch_items, failure_error, weigh_candidates
+from gleanery.operators.store import cache_lookup, cache_misses
+from gleanery.schemas import METADATA
 from gleanery.sources.envelope import batch_item_json, to_batch_envelope
 
 RESULT_COLUMNS = (
@@ -22,54 +23,53 @@ RESULT_COLUMNS = (
 )
 
 
-def result_row(request_url: Column, url: Column, content: Column, metadata: Column, mode: Column, selector: Column,
-               success: Column, error: Column) -> list[Column]:
-    """The result columns, in order."""
-    return [
-        request_url.alias("request_url"),
-        url.alias("url"),
-        F.when(success, metadata["title"]).otherwise("").alias("title"),
-        content.alias("content"),
-        metadata.alias("metadata"),
-        mode.alias("mode"),
-        F.octet_length(content).cast("long").alias("content_length"),
-        non_empty(selector).alias("selector_matched"),
-        success.alias("success"),
-        error.alias("error"),
-    ]
-
-
 def fetch_results(frontier: DataFrame, candidates: DataFrame, store: DataFrame | None = None,
                   as_of: datetime | Column | None = None, url: str = "url",
                   available: Iterable[str] = C.ALL_MODES, force_stealth: bool = False) -> DataFrame:
     """One result per distinct URL: ``invalid``, ``cached``, the best candidate, or ``failed``.
 
-    Leave ``store`` out to skip the lookup.  URLs found in the store take no part in the cascade.
+    Leave ``store`` out to skip the lookup.  Candidates of URLs that are invalid or in the store are dropped before
+    the aggregation, by a semi join on keys.
     """
-    none, empty = F.lit(None).cast("string"), F.lit("")
-    checked = frontier.select(F.col(url).alias("url")).distinct().withColumn("_problem", url_error("url"))
-    invalid = checked.where(F.col("_problem").isNotNull()).select(*result_row(
-        F.col("url"), F.col("url"), empty, metadata_struct(), F.lit("invalid"), empty, F.lit(False),
-        F.concat(F.lit(C.MSG_URL_INVALID), F.col("_problem")),
-    ))
-    wanted = checked.where(F.col("_problem").isNull()).select("url")
-    parts = [invalid]
-    if store is not None:
-        parts.append(cache_hits(wanted, store, as_of).select(*result_row(
-            F.col("url"), F.col("url"), F.col("content"), F.col("metadata"), F.lit("cached"), empty, F.lit(True), none,
-        )))
+    available = tuple(available)
+    asked = frontier.select(F.col(url).alias("url")).distinct().withColumn("_problem", url_error("url"))
+    wanted = asked.where(F.col("_problem").isNull()).select("url")
+    if store is None:
+        known = asked.select("*", F.lit(False).alias("hit"), F.lit(None).cast("string").alias("content"),
+                             F.lit(None).cast(METADATA).alias("metadata"))
+    else:
+        known = cache_lookup(asked, store, as_of)
         wanted = cache_misses(wanted, store, as_of)
-    best = select_best(
-        candidates.join(wanted, "url", "left_semi"), wanted, available=available, force_stealth=force_stealth
+    weighed = weigh_candidates(candidates.join(wanted, "url", "left_semi"), available, force_stealth)
+    rows = known.join(weighed, "url", "left")
+
+    invalid, cached = F.col("_problem").isNotNull(), F.col("hit")
+    found = ~invalid & ~cached & F.col("_best").isNotNull()
+    best = F.col("_best")
+    metadata = (
+        F.when(invalid, metadata_struct()).when(cached, F.col("metadata")).when(found, best["metadata"])
+        .otherwise(metadata_struct(url="url"))
+    )
+    content = F.when(invalid, "").when(cached, F.col("content")).when(found, best["content"]).otherwise("")
+    error = (
+        F.when(invalid, F.concat(F.lit(C.MSG_URL_INVALID), F.col("_problem")))
+        .when(~cached & ~found, failure_error("url", available, force_stealth))
+    )
+    chosen = rows.select(
+        F.col("url").alias("request_url"),
+        F.when(found, best["metadata"]["url"]).otherwise(F.col("url")).alias("url"),
+        content.alias("content"),
+        metadata.alias("metadata"),
+        F.when(invalid, "invalid").when(cached, "cached").when(found, best["mode"]).otherwise("failed").alias("mode"),
+        F.when(found, non_empty(best["selector"])).alias("selector_matched"),
+        error.alias("error"),
     )
-    parts.append(best.select(*result_row(
-        F.col("request_url"), F.when(F.col("success"), F.col("metadata.url")).otherwise(F.col("request_url")),
-        F.col("content"), F.col("metadata"), F.col("mode"), F.col("selector"), F.col("success"), F.col("error"),
-    )))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    success = F.col("error").isNull()
+    return chosen.withColumns({
+        "title": F.when(success, F.col("metadata.title")).otherwise(""),
+        "content_length": F.octet_length("content").cast("long"),
+        "success": success,
+    }).select(*RESULT_COLUMNS)
 
 
 def batch_fetch(requests: DataFrame, results: DataFrame, batch_id: str = "batch_id", urls: str = "urls") -> DataFrame:
