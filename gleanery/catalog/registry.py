@@ -4,6 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanery.sources.responses import spread_small_scan
+
+_TEXT_TABLES = ("documents", "pages", "conversations")
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -25,7 +28,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    # Text is worth a core per piece even where the whole table is one file.
+    return spread_small_scan(rows) if name in _TEXT_TABLES else rows
 
 
 def trimmed(expression: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -14,10 +15,7 @@ from gleanery.session import as_column
 
 
 def _contains_any(text: Column, parts: Iterable[str]) -> Column:
-    found = F.lit(False)
-    for part in parts:
-        found = found | text.contains(part)
-    return found
+    return text.rlike("|".join(re.escape(part) for part in parts))
 
 
 def is_valid_content(content: Column | str, content_type: Column | str) -> Column:

@@ -12,6 +12,8 @@ import re
 from html import unescape
 from html.entities import html5 as _ENTITIES
 
+from gleanery.constants import UNICODE_SPACE
+
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript iframe noembed noframes xmp".split())
@@ -46,8 +48,6 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?""")
 _ATTR_REF = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|([A-Za-z][A-Za-z0-9]*)(;?)(=?))")
 _NEWLINES = re.compile("\n{3,}")
-# Fixed value: Unicode white space.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Node:
@@ -362,7 +362,7 @@ def markdown(node, max_bytes, bare=True):
     """The children of ``node`` as Markdown of at most ``max_bytes`` bytes (0: no limit)."""
     out = []
     _write_kids(node, out, bare, False)
-    text = _NEWLINES.sub("\n\n", "".join(out)).strip(SPACE)
+    text = _NEWLINES.sub("\n\n", "".join(out)).strip(UNICODE_SPACE)
     if max_bytes > 0 and len(text) * 4 > max_bytes:
         raw = text.encode("utf-8", "replace")
         if len(raw) > max_bytes:
@@ -425,7 +425,7 @@ class PageReader:
                 titles.append(_text_of(node, True))
         metadata = (
             canonical,
-            props.get("og:title") or "".join(titles).strip(SPACE),
+            props.get("og:title") or "".join(titles).strip(UNICODE_SPACE),
             props.get("og:description") or names.get("description", ""),
             props.get("og:image", ""),
             props.get("article:author", ""),

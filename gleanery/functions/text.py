@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery import constants as C
 from gleanery.session import as_column
 
-# Unicode white space: the six ASCII ones, U+0085 and every separator.
-_UNICODE_SPACE = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
-
-
 def trim_space(text: Column | str) -> Column:
-    """Strip Unicode white space at both ends (``F.trim`` strips U+0020 only)."""
-    return F.regexp_replace(as_column(text), f"^{_UNICODE_SPACE}+|{_UNICODE_SPACE}+$", "")
+    """Strip Unicode white space at both ends (``F.trim`` alone strips U+0020 only)."""
+    return F.btrim(as_column(text), F.lit(C.UNICODE_SPACE))
 
 
 def sanitize_text(text: Column | str) -> Column:
