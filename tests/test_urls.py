@@ -1,0 +1,102 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleanery.functions import urls as U
+
+BAD_PARSE = 'URL 格式错误: parse "{}": {}'
+SCHEME = "不支持协议: {}（仅支持 http/https）"
+
+# URL, refusal, domain
+RULES = [
+    ("", "URL 不能为空", ""),
+    ("   ", SCHEME.format(""), ""),
+    ("　https://a.b/ ", None, ""),
+    ("ftp://a.b", SCHEME.format("ftp"), "a.b"),
+    ("FTP://a.b", SCHEME.format("ftp"), "a.b"),
+    ("http://", "域名不能为空", ""),
+    ("http:///p", "域名不能为空", ""),
+    ("http:foo%zz", "域名不能为空", ""),
+    ("a.b/c", SCHEME.format(""), ""),
+    ("/only/path", SCHEME.format(""), ""),
+    ("  https://X.com/a b", None, ""),
+    ("https://X.com/a b", None, "X.com"),
+    ("HTTPS://h.com:8080/x", None, "h.com"),
+    ("http://u:p@h.com:1/", None, "h.com"),
+    ("http://a@b@c/", None, "c"),
+    ("http://[::1]:80/x", None, "::1"),
+    ("http://[::1", BAD_PARSE.format("http://[::1", "missing ']' in host"), ""),
+    ("http://[::1]a/", BAD_PARSE.format("http://[::1]a/", 'invalid port "a" after host'), ""),
+    ("http://a_b.com", None, "a_b.com"),
+    ("http://:80", None, ""),
+    ("http://a:b", BAD_PARSE.format("http://a:b", 'invalid port ":b" after host'), ""),
+    ("http://a:b:80/", None, "a:b"),
+    ("http://h:8x/", BAD_PARSE.format("http://h:8x/", 'invalid port ":8x" after host'), ""),
+    ("http://h/%zz", BAD_PARSE.format("http://h/%zz", 'invalid URL escape "%zz"'), ""),
+    ("http://h/a%", BAD_PARSE.format("http://h/a%", 'invalid URL escape "%"'), ""),
+    ("http://h%zz/", BAD_PARSE.format("http://h%zz/", 'invalid URL escape "%zz"'), ""),
+    ("http://h%41/", BAD_PARSE.format("http://h%41/", 'invalid URL escape "%41"'), ""),
+    ("http://%E4%BD%A0.com/", None, "你.com"),
+    ("http://é.com/ü?q#f", None, "é.com"),
+    ("http://h/?%zz", None, "h"),
+    ("http://h h/", BAD_PARSE.format("http://h h/", 'invalid character " " in host name'), ""),
+    ("http://h|x/", BAD_PARSE.format("http://h|x/", 'invalid character "|" in host name'), ""),
+    ("http://x\ty", BAD_PARSE.format("http://x\\ty", "net/url: invalid control character in URL"), ""),
+    ("1a:b", BAD_PARSE.format("1a:b", "first path segment in URL cannot contain colon"), ""),
+    (":x", BAD_PARSE.format(":x", "missing protocol scheme"), ""),
+    ("mailto:x@y", SCHEME.format("mailto"), ""),
+    ("//x.com/a", SCHEME.format(""), "x.com"),
+]
+
+
+def test_refusal(values):
+    assert values(U.url_error("x"), [r[0] for r in RULES]) == [r[1] for r in RULES]
+
+
+def test_domain(values):
+    assert values(U.url_domain("x"), [r[0] for r in RULES]) == [r[2] for r in RULES]
+
+
+def test_null_url(values):
+    assert values(U.url_error("x"), [None]) == ["URL 不能为空"]
+    assert values(U.url_domain("x"), [None]) == [""]
+
+
+def test_hash(values):
+    assert values(U.url_hash("x"), ["https://a.b/é"]) == [hashlib.sha256("https://a.b/é".encode()).hexdigest()[:16]]
+
+
+@pytest.mark.parametrize("domain, twitter, stealth", [
+    ("x.com", True, False), ("twitter.com", True, False), ("a.b.x.com", True, False), ("notx.com", False, False),
+    ("x.com.cn", False, False), ("X.com", False, False), ("fxtwitter.com", False, False), ("", False, False),
+    ("juejin.cn", False, True), ("a.juejin.cn", False, True), ("xjuejin.cn", False, False),
+    ("mp.weixin.qq.com", False, True), ("weixin.qq.com", False, False), ("zhuanlan.zhihu.com", False, True),
+    ("mp.toutiao.com", False, True),
+])
+def test_domain_classes(values, domain, twitter, stealth):
+    assert values(U.is_twitter("x"), [domain]) == [twitter]
+    assert values(U.is_stealth("x"), [domain]) == [stealth]
+    assert values(U.is_stealth("x", has_browser=False), [domain]) == [False]
+    expected = "twitter" if twitter else "stealth" if stealth else "normal"
+    assert values(U.route_class("x"), [domain]) == [expected]
+    assert values(U.route_class("x", True), [domain]) == ["twitter" if twitter else "stealth"]
+    assert values(U.route_class("x", True, has_browser=False), [domain]) == ["twitter" if twitter else "normal"]
+
+
+def test_tweet_links(values):
+    links = {
+        "https://x.com/a/status/1?s=20#f": "https://api.fxtwitter.com/a/status/1",
+        " https://twitter.com/a \n": "https://api.fxtwitter.com/a",
+        "https://fixupx.com/": "https://api.fxtwitter.com/",
+        "https://x.com": "", "http://x.com/a": "", "https://www.x.com/a": "", "https://x.community/a": "",
+    }
+    assert values(U.tweet_api_url("x"), list(links)) == list(links.values())
+
+
+def test_search_address(values):
+    address = U.provider_request_url("brave-search", "x")
+    assert values(address, ["https://a.b/c d~*é"]) == [
+        "https://api.search.brave.com/res/v1/web/search?q=https%3A%2F%2Fa.b%2Fc+d~%2A%C3%A9&count=5"]
+    with pytest.raises(ValueError):
+        U.provider_request_url("http", F.col("x"))
