@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from gleanery import constants as C
 from gleanery.functions.urls import url_hash
+from gleanery.operators.joins import broadcast_if_small
 from gleanery.operators.scan import first_n_keys
 from gleanery.schemas import METADATA
 from gleanery.session import as_column
@@ -70,12 +71,23 @@ def cleanup_expired(store: DataFrame, as_of: datetime | Column,
     return valid_entries(store, as_of, ttl_days), removed
 
 
+def narrow_store(store: DataFrame, frontier: DataFrame, url: str = "url") -> DataFrame:
+    """The entries a frontier can hit, when it is small enough to broadcast; else the whole store.
+
+    Keeps the content of all other entries out of the join that follows.
+    """
+    asked = frontier.select(F.col(url).alias("url")).distinct().select(url_hash("url").alias("url_hash"), "url")
+    keys = broadcast_if_small(asked)
+    return store if keys is asked else store.join(keys, KEY, "left_semi")
+
+
 def cache_lookup(frontier: DataFrame, store: DataFrame, as_of: datetime | Column,
-                 ttl_days: int = C.STORE_TTL_DAYS, url: str = "url") -> DataFrame:
+                 ttl_days: int = C.STORE_TTL_DAYS, url: str = "url", narrow: bool = True) -> DataFrame:
     """Every frontier row with ``hit, content, metadata``.  Hash and URL must both agree."""
-    known = valid_entries(store, as_of, ttl_days).select(
-        *KEY, "content", "metadata", F.lit(True).alias("hit")
-    )
+    fresh = valid_entries(store, as_of, ttl_days)
+    if narrow:
+        fresh = narrow_store(fresh, frontier, url)
+    known = fresh.select(*KEY, "content", "metadata", F.lit(True).alias("hit"))
     looked_up = frontier.withColumn("url_hash", url_hash(url))
     on = [looked_up["url_hash"] == known["url_hash"], looked_up[url] == known["url"]]
     return looked_up.join(known, on, "left").select(
@@ -85,15 +97,17 @@ def cache_lookup(frontier: DataFrame, store: DataFrame, as_of: datetime | Column
 
 
 def cache_hits(frontier: DataFrame, store: DataFrame, as_of: datetime | Column,
-               ttl_days: int = C.STORE_TTL_DAYS, url: str = "url") -> DataFrame:
+               ttl_days: int = C.STORE_TTL_DAYS, url: str = "url", narrow: bool = True) -> DataFrame:
     """Frontier rows answered from the store, with the stored content."""
-    return cache_lookup(frontier, store, as_of, ttl_days, url).where("hit").drop("hit")
+    return cache_lookup(frontier, store, as_of, ttl_days, url, narrow).where("hit").drop("hit")
 
 
 def cache_misses(frontier: DataFrame, store: DataFrame, as_of: datetime | Column,
-                 ttl_days: int = C.STORE_TTL_DAYS, url: str = "url") -> DataFrame:
+                 ttl_days: int = C.STORE_TTL_DAYS, url: str = "url", narrow: bool = True) -> DataFrame:
     """Frontier rows that still have to be processed.  Reads only the key columns of the store."""
     known = valid_entries(store, as_of, ttl_days).select(*KEY)
+    if narrow:
+        known = narrow_store(known, frontier, url)
     keyed = frontier.withColumn("_hash", url_hash(url))
     on = [keyed["_hash"] == known["url_hash"], keyed[url] == known["url"]]
     return keyed.join(known, on, "left_anti").drop("_hash")
@@ -113,16 +127,19 @@ def latest_writes(writes: DataFrame) -> DataFrame:
 def upsert_latest(store: DataFrame, writes: DataFrame) -> DataFrame:
     """Replace by key; the newest entry wins, a write beats a stored entry of the same time.
 
-    The store side goes through an anti join on keys.  Its content is not shuffled as long as the written keys are
-    few enough for Spark to broadcast them, which the planner decides by size.
+    The store side goes through an anti join on keys and times.  While the written keys are few enough to broadcast
+    (measured) the content of the store is not shuffled at all.
     """
-    new = latest_writes(writes).alias("new")
+    new = latest_writes(writes)
+    times = broadcast_if_small(new.select(*KEY, "created_at"))
     same_key = (F.col("old.url_hash") == F.col("new.url_hash")) & (F.col("old.url") == F.col("new.url"))
     kept = store.alias("old").join(
-        new, same_key & (F.col("new.created_at") >= F.col("old.created_at")), "left_anti"
+        times.alias("new"), same_key & (F.col("new.created_at") >= F.col("old.created_at")), "left_anti"
+    )
+    old_times = store.select(*KEY, "created_at").join(times.select(*KEY), KEY, "left_semi")
+    written = new.alias("new").join(
+        old_times.alias("old"), same_key & (F.col("old.created_at") > F.col("new.created_at")), "left_anti"
     )
-    old_keys = store.select(*KEY, "created_at").alias("old")
-    written = new.join(old_keys, same_key & (F.col("old.created_at") > F.col("new.created_at")), "left_anti")
     columns = [*KEY, "content", "metadata", "created_at"]
     return kept.select(*columns).unionByName(written.select(*columns))
 
@@ -136,7 +153,7 @@ def evict_to_capacity(store: DataFrame, capacity: int = C.STORE_CAPACITY) -> Dat
 
 def delete_keys(store: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:
     doomed = urls.select(F.col(url).alias("url")).distinct().select(url_hash("url").alias("url_hash"), "url")
-    return store.join(doomed, KEY, "left_anti")
+    return store.join(broadcast_if_small(doomed), KEY, "left_anti")
 
 
 def write_store(store: DataFrame, path: str) -> None:

@@ -13,7 +13,7 @@ from gleanery.functions.html import metadata_struct
 from gleanery.functions.text import non_empty
 from gleanery.functions.urls import url_error
 from gleanery.operators.cascade import batch_items, failure_error, weigh_candidates
-from gleanery.operators.store import cache_lookup, cache_misses
+from gleanery.operators.store import cache_lookup, cache_misses, narrow_store
 from gleanery.schemas import METADATA
 from gleanery.sources.envelope import batch_item_json, to_batch_envelope
 
@@ -38,8 +38,9 @@ def fetch_results(frontier: DataFrame, candidates: DataFrame, store: DataFrame |
         known = asked.select("*", F.lit(False).alias("hit"), F.lit(None).cast("string").alias("content"),
                              F.lit(None).cast(METADATA).alias("metadata"))
     else:
-        known = cache_lookup(asked, store, as_of)
-        wanted = cache_misses(wanted, store, as_of)
+        near = narrow_store(store, wanted)
+        known = cache_lookup(asked, near, as_of, narrow=False)
+        wanted = cache_misses(wanted, near, as_of, narrow=False)
     weighed = weigh_candidates(candidates.join(wanted, "url", "left_semi"), available, force_stealth)
     rows = known.join(weighed, "url", "left")
 
