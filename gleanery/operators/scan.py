@@ -14,21 +14,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery.operators.joins import broadcast_if_small
 from gleanery.session import checkpointed, shuffle_width
 
 CHUNK = "_chunk"
 _TOP_K_ROWS = 10_000
 
 
-def in_chunks(df: DataFrame, order: Sequence[str | Column], chunks: int | None = None) -> DataFrame:
+def chunked(df: DataFrame, order: Sequence[str | Column], chunks: int | None = None) -> DataFrame:
     """Add the chunk number.  ``order`` must be total.
 
-    Range bounds are sampled, so the placement is stored: a second evaluation could draw other bounds.
+    Range bounds are sampled, so a second evaluation could draw other ones: store what is derived from the result
+    (:func:`gleanery.session.checkpointed`) before using it twice.
     """
     width = chunks or shuffle_width(df.sparkSession)
-    return checkpointed(
-        df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn(CHUNK, F.spark_partition_id())
-    )
+    return df.repartitionByRange(width, *order).withColumn(CHUNK, F.spark_partition_id())
+
+
+def in_chunks(df: DataFrame, order: Sequence[str | Column], chunks: int | None = None) -> DataFrame:
+    """Stored chunks: partition ``n`` holds chunk ``n`` in order."""
+    return checkpointed(chunked(df, order, chunks).sortWithinPartitions(*order))
 
 
 def before(order: Sequence[str | Column], keys: Sequence[str]):
@@ -42,32 +47,33 @@ def up_to_here(order: Sequence[str | Column], keys: Sequence[str]):
     return W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
 
 
-def with_row_number(chunked: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
-    """Add the rank from 0 over the whole table, given its chunks."""
+def with_row_number(df: DataFrame, order: Sequence[str | Column], name: str, chunks: int | None = None) -> DataFrame:
+    """Add the rank from 0 over the whole table."""
+    inside = F.row_number().over(W.partitionBy(CHUNK).orderBy(*order))
+    numbered = checkpointed(chunked(df, order, chunks).withColumn("_inside", inside))
     offsets = (
-        chunked.groupBy(CHUNK).agg(F.count("*").alias("_rows"))
+        numbered.groupBy(CHUNK).agg(F.max("_inside").alias("_rows"))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(before([CHUNK], [])), F.lit(0)))
         .select(CHUNK, "_offset")
     )
-    inside = F.row_number().over(W.partitionBy(CHUNK).orderBy(*order)) - 1
     # One row per chunk: always small enough to broadcast.
     return (
-        chunked.withColumn("_inside", inside).join(F.broadcast(offsets), CHUNK)
-        .withColumn(name, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside")
+        numbered.join(F.broadcast(offsets), CHUNK)
+        .withColumn(name, F.col("_offset") + F.col("_inside") - 1).drop("_offset", "_inside")
     )
 
 
-def running_max(chunked: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column,
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column,
                 name: str) -> DataFrame:
-    """Add the running maximum of ``value`` per key."""
-    local = chunked.withColumn("_local", F.max(value).over(up_to_here(order, keys)))
+    """Add the running maximum of ``value`` per key, on rows that have their chunk; keys must not be null."""
+    local = checkpointed(df.withColumn("_local", F.max(value).over(up_to_here(order, keys))))
     carried = (
         local.groupBy(*keys, CHUNK).agg(F.max("_local").alias("_top"))
         .withColumn("_before", F.max("_top").over(before([CHUNK], keys)))
         .select(*keys, CHUNK, "_before")
     )
     return (
-        local.join(carried, [*keys, CHUNK])
+        local.join(broadcast_if_small(carried), [*keys, CHUNK])
         .withColumn(name, F.greatest("_before", "_local")).drop("_before", "_local")
     )
 
@@ -79,4 +85,4 @@ def first_n_keys(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """
     if n <= _TOP_K_ROWS:
         return df.orderBy(*order).limit(n)
-    return with_row_number(in_chunks(df, order), order, "_rank").where(F.col("_rank") < n).drop("_rank", CHUNK)
+    return with_row_number(df, order, "_rank").where(F.col("_rank") < n).drop("_rank", CHUNK)

@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleanery import constants as C
-from gleanery.operators.scan import CHUNK, before, in_chunks, running_max, up_to_here, with_row_number
-from gleanery.session import as_column
+from gleanery.operators.joins import broadcast_if_small, join_back
+from gleanery.operators.scan import CHUNK, before, chunked, in_chunks, running_max, up_to_here, with_row_number
+from gleanery.session import as_column, checkpointed
 
 SECOND = 1_000_000
 
@@ -71,23 +72,24 @@ def politeness_schedule(df: DataFrame, key: str, arrival: str, tie: str, delay:
     With the running total of delays ``T``, the start is ``T`` plus the running maximum of ``arrival - T``.  Both are
     carried from chunk to chunk, so a host that holds a large part of the frontier is spread over many tasks.
     """
-    order = [key, arrival, tie]
-    chunked = in_chunks(df, order, chunks)
-    inside = up_to_here([arrival, tie], [key])
-    local = (
-        chunked.withColumn("_total", F.sum(delay).over(inside))
+    # Inside a struct a null key is a value like any other, for the windows and for the join alike.
+    owner = ["_owner"]
+    inside = up_to_here([arrival, tie], owner)
+    local = checkpointed(
+        chunked(df, [key, arrival, tie], chunks).withColumn("_owner", F.struct(key))
+        .withColumn("_total", F.sum(delay).over(inside))
         .withColumn("_lead", F.max(F.col(arrival) - F.col("_total")).over(inside))
     )
-    earlier = before([CHUNK], [key])
+    earlier = before([CHUNK], owner)
     carried = (
-        local.groupBy(key, CHUNK).agg(F.max("_total").alias("_sum"), F.max("_lead").alias("_max"))
+        local.groupBy(*owner, CHUNK).agg(F.max("_total").alias("_sum"), F.max("_lead").alias("_max"))
         .withColumn("_total_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
         .withColumn("_lead_before", F.max(F.col("_max") - F.col("_total_before")).over(earlier))
-        .select(key, CHUNK, "_total_before", "_lead_before")
+        .select(*owner, CHUNK, "_total_before", "_lead_before")
     )
     total = F.col("_total_before") + F.col("_total")
     lead = F.greatest("_lead_before", F.col("_lead") - F.col("_total_before"))
-    return local.join(carried, [key, CHUNK]).select(*df.columns, (total + lead).alias(start))
+    return local.join(broadcast_if_small(carried), [*owner, CHUNK]).select(*df.columns, (total + lead).alias(start))
 
 
 def global_schedule(df: DataFrame, arrival: str, tie: str, per_second: int = C.OUTBOUND_REQUESTS_PER_SECOND,
@@ -102,8 +104,7 @@ def global_schedule(df: DataFrame, arrival: str, tie: str, per_second: int = C.O
     Applied after :func:`politeness_schedule` it can only delay rows further; the gap of two rows of one host may
     then shrink when the earlier one was delayed more.
     """
-    order = [arrival, tie]
-    ranked = with_row_number(in_chunks(df, order, chunks), order, "_i")
+    ranked = with_row_number(df, [arrival, tie], "_i", chunks)
     total = F.floor(F.col("_i") / per_second).cast("bigint") * step_us
     chained = ranked.withColumns({"_chain": F.col("_i") % per_second, "_total": total})
     led = running_max(chained, ["_chain"], ["_i"], F.col(arrival) - F.col("_total"), "_lead")
@@ -129,7 +130,11 @@ def trailing_rate(df: DataFrame, us: str, keys: Sequence[str] = (), window_us: i
     rates = (
         placed.withColumn(name, F.sum("_n").over(frame)).where(F.col("_bucket") == home).select(*keys, us, name)
     )
-    return df.join(rates, [*keys, us])
+    return join_back(df, rates, [*keys, us])
+
+
+# Rounds in which a chunk may be run from a log that is not final yet.
+_GUESSING_ROUNDS = 2
 
 
 # -- admission --------------------------------------------------------------------
@@ -189,54 +194,65 @@ def admit_calls(df: DataFrame, us: str, tie: str, limit: int = C.INBOUND_CALLS_P
 
     Greedy admission depends on what was admitted before, but only through the last ``limit`` admitted times.  Each
     chunk is decided on its own from an assumed log; a chunk whose true incoming log differs is decided again, until
-    nothing changes.  Quiet moments make chunks independent, so one repeat is the rule.  The driver holds one short
-    log per chunk and no rows.  ``limit <= 0`` admits everything.
+    nothing changes.  Quiet moments make chunks independent, so one repeat is the rule.  Where a key stays over its
+    limit through many chunks these follow one after the other, each being run when the one before it is final; only
+    the chunks of a round are read.  The driver holds one short log per chunk and no rows.  ``limit <= 0`` admits
+    everything.
     """
     if limit <= 0:
         return df.withColumns({"admitted": F.lit(True), "code": F.lit(200)})
     key = per or "_all"
     work = df if per else df.withColumn(key, F.lit(0))
-    chunked = in_chunks(work, [key, us, tie], chunks)
-    key_type = chunked.schema[key].dataType
+    pieces = in_chunks(work, [key, us, tie], chunks)
+    key_type = pieces.schema[key].dataType
     log_schema = T.StructType([
         T.StructField("chunk", T.IntegerType()), T.StructField("first_key", key_type),
         T.StructField("last_key", key_type), T.StructField("times", T.ArrayType(T.LongType())),
     ])
     log_arrow = to_arrow_schema(log_schema)
-    narrow = chunked.select(CHUNK, key, us)
+    narrow = pieces.select(CHUNK, key, us)
+
+    def final_logs(assumed: dict, only: list[int] | None = None) -> dict:
+        """Run chunks (all, or only some) from the assumed logs; one short row comes back per chunk."""
 
-    def final_logs(assumed: dict, rows: DataFrame) -> dict:
         def run(batches):
             for batch, result in _decide(batches, key, us, limit, window_us, assumed):
                 if batch is None:
                     yield pa.RecordBatch.from_pylist([dict(zip(log_arrow.names, result))], schema=log_arrow)
 
-        return {r["chunk"]: r for r in rows.mapInArrow(run, log_schema).collect()}
+        decided = narrow.mapInArrow(run, log_schema).rdd  # partition n is chunk n
+        return {r["chunk"]: r for r in decided.context.runJob(decided, list, only)}
 
     incoming: dict[int, tuple[object, list[int]]] = {}
-    logs = final_logs(incoming, narrow)
-    numbers = sorted(logs)
+    logs = final_logs(incoming)
+    numbers, rounds = sorted(logs), 0
     while True:
-        # A chunk inherits the log of the one before it when it goes on with the same key.
-        changed = {}
+        changed, settled = {}, True
         for earlier, later in zip(numbers, numbers[1:]):
+            # A chunk inherits the log of the one before it when it goes on with the same key.
             log = (logs[earlier]["last_key"], list(logs[earlier]["times"]))
-            if log[0] == logs[later]["first_key"] and incoming.get(later) != log:
+            if log[0] != logs[later]["first_key"]:
+                settled = True
+                continue
+            stale = incoming.get(later) != log
+            if stale and (settled or rounds < _GUESSING_ROUNDS):
                 changed[later] = log
+            settled = settled and not stale
         if not changed:
             break
+        rounds += 1
         incoming.update(changed)
-        logs.update(final_logs(dict(incoming), narrow.where(F.col(CHUNK).isin(sorted(changed)))))
+        logs.update(final_logs(dict(incoming), sorted(changed)))
 
-    settled = dict(incoming)
-    schema = T.StructType([*chunked.schema.fields, T.StructField("admitted", T.BooleanType())])
+    true_logs = dict(incoming)
+    schema = T.StructType([*pieces.schema.fields, T.StructField("admitted", T.BooleanType())])
 
     def label(batches):
-        for batch, result in _decide(batches, key, us, limit, window_us, settled):
+        for batch, result in _decide(batches, key, us, limit, window_us, true_logs):
             if batch is not None:
                 yield batch.append_column("admitted", pa.array(result))
 
     return (
-        chunked.mapInArrow(label, schema)
+        pieces.mapInArrow(label, schema)
         .select(*df.columns, "admitted", F.when(F.col("admitted"), 200).otherwise(429).alias("code"))
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,10 +165,18 @@ def write_store(store: DataFrame, path: str) -> None:
     prefixed.hint("rebalance", F.col("hash_prefix")).write.mode("error").partitionBy("hash_prefix").parquet(path)
 
 
-def read_store(spark, path: str) -> DataFrame:
+def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def expire_store(spark: SparkSession, path: str, new_path: str, as_of: datetime | Column,
+                 ttl_days: int = C.STORE_TTL_DAYS) -> int:
+    """Write the entries that are still fresh to a new path; returns how many were left behind.  Run it on a timer."""
+    kept, removed = cleanup_expired(read_store(spark, path).drop("hash_prefix"), as_of, ttl_days)
+    write_store(kept, new_path)
+    return removed.first()["removed"]
+
+
 def prefix_of(hash_column: Column | str) -> Column:
     """The folder of a key; filter on it to prune folders."""
     return F.substring(as_column(hash_column), 1, _PREFIX_DIGITS)

@@ -81,7 +81,7 @@ def batch_fetch(requests: DataFrame, results: DataFrame, batch_id: str = "batch_
     items = batch_items(requests.select(batch_id, urls), urls)
     answers = results.select("request_url", batch_item_json(results).alias("_json"))
     answered = (
-        items.join(answers, items["url"] == answers["request_url"], "left")
+        items.join(answers, items["url"].eqNullSafe(answers["request_url"]), "left")
         .groupBy(batch_id)
         .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("_json", F.lit("null")).alias("json"))))
              .alias("_items"))

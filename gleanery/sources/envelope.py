@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery import constants as C
 from gleanery.functions.text import non_empty, trunc2
+from gleanery.session import as_column
 
 _ITEM_FIELDS = (
     "url", "title", "content", "metadata", "mode", "fetch_time", "content_length", "selector_matched", "success",
@@ -36,9 +37,8 @@ def to_envelope(results: DataFrame) -> DataFrame:
 
 def batch_item_json(results: DataFrame) -> Column:
     """One element of a batch answer; a failure has three fields only."""
-    whole = results
     fields = [
-        _fetch_time(whole).alias(n) if n == "fetch_time"
+        _fetch_time(results).alias(n) if n == "fetch_time"
         else non_empty(F.col(n)).alias(n) if n == "selector_matched" else F.col(n)
         for n in _ITEM_FIELDS
     ]
@@ -53,3 +53,9 @@ def to_batch_envelope(batches: DataFrame, items: str = "items") -> DataFrame:
     )
     refused = F.to_json(F.struct(F.lit(400).alias("code"), F.lit(C.MSG_BATCH_TOO_LARGE).alias("message")))
     return batches.withColumn("json", F.when(F.col("too_large"), refused).otherwise(answer))
+
+
+def rejection_json(code: Column | str = "code") -> Column:
+    """The answer to a call that was not admitted; null for any other."""
+    refused = F.struct(F.lit(429).alias("code"), F.lit(C.MSG_RATE_LIMITED).alias("message"))
+    return F.when(as_column(code) == 429, F.to_json(refused))

@@ -9,6 +9,7 @@ from gleanery.functions.html import metadata_struct
 from gleanery.operators import cascade as K
 from gleanery.plans.fetch import batch_fetch, fetch_results
 from gleanery.schemas import CANDIDATE
+from gleanery.sources.envelope import rejection_json
 
 HOSTS = {"normal": "https://n.org/", "stealth": "https://juejin.cn/", "twitter": "https://x.com/"}
 
@@ -128,3 +129,9 @@ def test_batches_keep_order_and_copies(spark, results):
     assert [i["url"] for i in items] == ["https://n.org/2", "https://n.org/1#c", "ftp://n.org", "https://n.org/1#c"]
     assert set(items[0]) == {"url", "success", "error"}
     assert items[1]["selector_matched"] == "article" and "error" not in items[1]
+
+
+def test_rejected_calls(spark):
+    rows = spark.createDataFrame([(200,), (429,)], "code int").select(rejection_json().alias("json")).collect()
+    assert rows[0]["json"] is None
+    assert json.loads(rows[1]["json"]) == {"code": 429, "message": C.MSG_RATE_LIMITED}

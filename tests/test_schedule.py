@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.operators import schedule as R
-from gleanery.operators.scan import in_chunks, with_row_number
+from gleanery.operators.scan import with_row_number
 
 MIXES = {
     # third of the rows under one key, bursts of equal times, and long pauses
@@ -91,7 +91,7 @@ def test_trailing_rate(spark, mix):
 
 def test_row_number(spark):
     rows = _rows("hot")
-    ranked = with_row_number(in_chunks(_frame(spark, rows), ["us", "id"], 9), ["us", "id"], "n")
+    ranked = with_row_number(_frame(spark, rows), ["us", "id"], "n", 9)
     assert [r["id"] for r in sorted(ranked.collect(), key=lambda r: r["n"])] == [r[0] for r in rows]
 
 
@@ -109,3 +109,13 @@ def test_delays_are_spread_and_repeatable(spark):
     first = [r[0] for r in urls.select(R.unit_hash("url")).collect()]
     assert first == [r[0] for r in urls.select(R.unit_hash("url")).collect()]
     assert 0 <= min(first) < 0.01 and 0.99 < max(first) < 1
+
+
+def test_rows_without_a_key_or_time_are_kept(spark):
+    rows = spark.createDataFrame([(1, None, 0, 5), (2, None, 1, 5), (3, "a", 0, 5), (4, "a", 9, 5)],
+                                 "id long, k string, us long, delay long")
+    got = {r["id"]: r["start_us"] for r in R.politeness_schedule(rows, "k", "us", "id", "delay", chunks=3).collect()}
+    assert got == {1: 0, 2: 5, 3: 0, 4: 9}
+    untimed = rows.withColumn("us", F.when(F.col("id") != 3, F.col("us")))
+    got = {r["id"]: r["calls"] for r in R.trailing_rate(untimed, "us", ["k"], 1_000_000).collect()}
+    assert got == {1: 1, 2: 2, 3: None, 4: 1}
