@@ -66,9 +66,11 @@ def delay_micros(url: Column | str, low: Column | str = "min_delay", high: Colum
 
 # -- schedules -----------------------------------------------------------------
 def politeness_schedule(df: DataFrame, key: str, arrival: str, tie: str, delay: str, start: str = "start_us",
-                        chunks: int | None = None) -> DataFrame:
+                        chunks: int | None = None, last_start: str | None = None) -> DataFrame:
     """Start times with ``start >= arrival`` and, per key, ``start >= previous start + delay``.
 
+    ``last_start`` names a column with the last start of the key before these rows, null where there was none.
+
     With the running total of delays ``T``, the start is ``T`` plus the running maximum of ``arrival - T``.  Both are
     carried from chunk to chunk, so a host that holds a large part of the frontier is spread over many tasks.
     """
@@ -88,7 +90,8 @@ def politeness_schedule(df: DataFrame, key: str, arrival: str, tie: str, delay:
         .select(*owner, CHUNK, "_total_before", "_lead_before")
     )
     total = F.col("_total_before") + F.col("_total")
-    lead = F.greatest("_lead_before", F.col("_lead") - F.col("_total_before"))
+    known = [F.col(last_start)] if last_start else []
+    lead = F.greatest(F.col("_lead_before"), F.col("_lead") - F.col("_total_before"), *known)
     return local.join(broadcast_if_small(carried), [*owner, CHUNK]).select(*df.columns, (total + lead).alias(start))
 
 

@@ -1,7 +1,9 @@
-"""Admission and scheduling with state per key.
+"""Admission and scheduling of streams, in two ways with the same results.
 
-Both keep a few numbers per key in RocksDB.  Inside a micro-batch rows are taken in time order; the size of a
-micro-batch is set at the source.
+``stream_admit`` and ``stream_schedule`` keep a few numbers per key in RocksDB and take the rows of a key in a
+micro-batch in one task; the size of a micro-batch is set at the source.  ``admit_sink`` and ``schedule_sink`` run the
+table operators on each micro-batch, which spread a key over tasks, and keep what the next micro-batch has to know in
+a table.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleanery import constants as C
-from gleanery.operators.schedule import SECOND, _Log
-from gleanery.streaming.files import use_rocksdb
+from gleanery.operators.joins import broadcast_if_small, join_back
+from gleanery.operators.schedule import SECOND, _Log, admit_calls, politeness_schedule
+from gleanery.streaming.files import EPOCH, batch_sink, use_rocksdb
 
 
 class _Admission(StatefulProcessor):
@@ -83,3 +87,55 @@ def stream_schedule(requests: DataFrame, key: str, arrival: str, tie: str, delay
     return requests.groupBy(key).transformWithStateInPandas(
         _Spacing(arrival, tie, delay, start, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None"
     )
+
+
+def _folder(path: str, part: str, epoch: int) -> str:
+    return f"{path}/{part}/{EPOCH}={epoch}"
+
+
+def _known(batch: DataFrame, path: str, epoch: int, schema: T.StructType) -> DataFrame:
+    """What the micro-batch before this one left behind."""
+    spark = batch.sparkSession
+    return spark.read.schema(schema).parquet(_folder(path, "state", epoch - 1)) if epoch else spark.createDataFrame([], schema)
+
+
+def admit_sink(calls: DataFrame, path: str, checkpoint: str, key: str, us: str, tie: str,
+               limit: int = C.INBOUND_CALLS_PER_SECOND, window_us: int = SECOND, trigger: dict | None = None):
+    """Start writing decided calls to ``path/rows``, one folder per micro-batch, overwritten when it is repeated.
+
+    The state is the calls admitted within the last window of each key, at most ``limit`` of them.  Put before the
+    calls of the next micro-batch they are admitted again, which rebuilds the log.
+    """
+    state_schema = T.StructType([calls.schema[c] for c in (key, us, tie)])
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        known = _known(batch, path, epoch, state_schema).withColumn("_known", F.lit(True))
+        rows = batch.withColumn("_known", F.lit(False)).unionByName(known, allowMissingColumns=True)
+        decided = _folder(path, "decided", epoch)
+        admit_calls(rows, us, tie, limit, window_us, key).write.mode("overwrite").parquet(decided)
+        decided = batch.sparkSession.read.parquet(decided)
+        decided.where("NOT _known").drop("_known").write.mode("overwrite").parquet(_folder(path, "rows", epoch))
+        admitted = decided.where("admitted").select(key, us, tie)
+        newest = broadcast_if_small(admitted.groupBy(key).agg(F.max(us).alias("_newest")))
+        state = join_back(admitted, newest, [key]).where(F.col(us) > F.col("_newest") - window_us).drop("_newest")
+        state.write.mode("overwrite").parquet(_folder(path, "state", epoch))
+
+    return batch_sink(calls, write, checkpoint, trigger)
+
+
+def schedule_sink(requests: DataFrame, path: str, checkpoint: str, key: str, arrival: str, tie: str, delay: str,
+                  start: str = "start_us", trigger: dict | None = None):
+    """Start writing scheduled requests to ``path/rows``; the state is the last start of each key."""
+    state_schema = T.StructType([requests.schema[key], T.StructField("_last", T.LongType())])
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        known = _known(batch, path, epoch, state_schema)
+        rows = join_back(batch, broadcast_if_small(known), [key])
+        target = _folder(path, "rows", epoch)
+        scheduled = politeness_schedule(rows, key, arrival, tie, delay, start, last_start="_last").drop("_last")
+        scheduled.write.mode("overwrite").parquet(target)
+        lasts = batch.sparkSession.read.parquet(target).select(key, F.col(start).alias("_last")).unionByName(known)
+        lasts.groupBy(key).agg(F.max("_last").alias("_last")).write.mode("overwrite").parquet(
+            _folder(path, "state", epoch))
+
+    return batch_sink(requests, write, checkpoint, trigger)

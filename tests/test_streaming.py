@@ -11,7 +11,7 @@ from gleanery.operators import schedule as R
 from gleanery.operators.extract import extract_content
 from gleanery.streaming.calls import stream_daily_calls, stream_rate
 from gleanery.streaming.files import append_sink, file_stream, run_to_table, run_to_totals
-from gleanery.streaming.limits import stream_admit, stream_schedule
+from gleanery.streaming.limits import admit_sink, schedule_sink, stream_admit, stream_schedule
 from gleanery.streaming.pages import dedup_stream, stream_extract
 
 DATA = "/root/testdata/sf0.001"
@@ -65,6 +65,24 @@ def test_admission(stream, events):
     _same(got, expected)
 
 
+def test_admission_spread_over_tasks(stream, events, tmp_path):
+    def calls(rows):
+        return rows.select("event_id", F.lit(1).alias("all"), R.micros("ts").alias("us"), "value")
+
+    hour = 3_600_000_000
+    admit_sink(calls(stream), str(tmp_path), str(tmp_path / "cp"), "all", "us", "event_id", 1, hour).awaitTermination()
+    got = events.sparkSession.read.parquet(str(tmp_path / "rows")).drop("_epoch")
+    _same(got, R.admit_calls(calls(events), "us", "event_id", 1, hour, "all", chunks=5))
+    assert len(list((tmp_path / "rows").glob("_epoch=*"))) == 4
+
+
+def test_schedule_spread_over_tasks(stream, events, tmp_path):
+    schedule_sink(
+        _requests(stream), str(tmp_path), str(tmp_path / "cp"), "user_id", "us", "event_id", "delay").awaitTermination()
+    got = events.sparkSession.read.parquet(str(tmp_path / "rows")).drop("_epoch")
+    _same(got, R.politeness_schedule(_requests(events), "user_id", "us", "event_id", "delay", chunks=5))
+
+
 def _requests(rows):
     return rows.select("event_id", "user_id", R.micros("ts").alias("us"),
                        (F.col("event_id") * 79_190_000 % 90_000_000_000).alias("delay"))
