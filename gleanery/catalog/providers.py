@@ -11,7 +11,7 @@ from gleanery.catalog.urls import HOST
 from gleanery.operators import providers as P
 
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
-ARTICLE = "regexp_extract(html, '<article>(.*)</article>', 1)"
+ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
 META = ("url", "title", "description", "image", "author", "publish_date", "site_name")
 
 
@@ -85,7 +85,7 @@ def scrape_answers(pages: DataFrame) -> DataFrame:
     site_name=HOST,
 ))
 def firecrawl_parse(spark, folder):
-    return _flat(P.firecrawl_candidates(scrape_answers(table(spark, folder, "pages"))))
+    return _flat(P.firecrawl_candidates(scrape_answers(table(spark, folder, "pages")), max_bytes=0))
 
 
 SNAPSHOT_ERROR = (
@@ -120,7 +120,7 @@ def snapshot_answers(pages: DataFrame) -> DataFrame:
     site_name=HOST,
 ))
 def webpagesnap_parse(spark, folder):
-    return _flat(P.webpagesnap_candidates(snapshot_answers(table(spark, folder, "pages"))))
+    return _flat(P.webpagesnap_candidates(snapshot_answers(table(spark, folder, "pages")), max_bytes=0))
 
 
 _DOC_URL = "'https://d.example/' || doc_id"
@@ -233,12 +233,13 @@ SEARCH_ERROR = (
 def search_answers(pages: DataFrame) -> DataFrame:
     def result(prefix: str) -> Column:
         return F.struct(
-            _named("title", f"'{prefix}' || {TITLE}"), _named("description", "CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'about ' || page_id END"),
+            _named("title", f"'{prefix}' || {TITLE}"), _named("description", _present(5, "'about ' || page_id")),
             _named("url", "url || '#found'"),
             F.when(F.expr("page_id % 2 = 0"), F.struct(_named("hostname", HOST))).alias("meta_url"),
         )
 
-    results = F.slice(F.array(result(""), result("second ")), F.lit(1), F.expr("CASE WHEN page_id % 7 = 0 THEN 0 ELSE 2 END"))
+    found = F.expr("CASE WHEN page_id % 7 = 0 THEN 0 ELSE 2 END")
+    results = F.slice(F.array(result(""), result("second ")), F.lit(1), found)
     body = _json(F.struct(results.alias("results")).alias("web"))
     return pages.select(
         "url",

@@ -30,7 +30,9 @@ def _frontier(spark, folder):
     return delayed.withColumn("delay_us", R.delay_micros("url"))
 
 
-@query("domain_delay", f"WITH {_FRONTIER_SQL} SELECT page_id, domain, {_LOW} AS min_delay, {_HIGH} AS max_delay, delay_us FROM frontier")
+@query("domain_delay", f"""
+    WITH {_FRONTIER_SQL}
+    SELECT page_id, domain, {_LOW} AS min_delay, {_HIGH} AS max_delay, delay_us FROM frontier""")
 def domain_delay(spark, folder):
     return _frontier(spark, folder).select("page_id", "domain", "min_delay", "max_delay", "delay_us")
 
@@ -157,12 +159,14 @@ def daily_calls(spark, folder):
     return _daily(spark, folder)
 
 
-@query("today_calls", f"WITH {_DAILY_SQL} SELECT coalesce(sum(count), 0)::BIGINT AS count FROM daily WHERE date = DATE '2024-01-15'")
+@query("today_calls", f"""
+    WITH {_DAILY_SQL} SELECT coalesce(sum(count), 0)::BIGINT AS count FROM daily WHERE date = DATE '2024-01-15'""")
 def today_calls(spark, folder):
     return M.today_calls(_daily(spark, folder), "2024-01-15")
 
 
-@query("no_calls_today", f"WITH {_DAILY_SQL} SELECT coalesce(sum(count), 0)::BIGINT AS count FROM daily WHERE date = DATE '1999-01-01'")
+@query("no_calls_today", f"""
+    WITH {_DAILY_SQL} SELECT coalesce(sum(count), 0)::BIGINT AS count FROM daily WHERE date = DATE '1999-01-01'""")
 def no_calls_today(spark, folder):
     return M.today_calls(_daily(spark, folder), "1999-01-01")
 

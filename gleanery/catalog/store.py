@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.catalog.registry import query, table
 from gleanery.functions.html import metadata_struct
 from gleanery.operators import store as S
+from gleanery.session import scratch_path
 
 AS_OF = "2024-01-31 00:00:00"
 _MIDDLE = "2024-01-16 00:00:00"
@@ -86,12 +87,12 @@ def cache_created_at(spark, folder):
     return read.select("event_id", F.unix_micros("created_at").alias("created_us"), S.is_fresh(_as_of()).alias("fresh"))
 
 
-_FRONTIER_SQL = f"frontier AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'https://new.example/' || event_id ELSE {_URL} END AS url FROM events)"
+_ASKED = f"CASE WHEN event_id % 3 = 0 THEN 'https://new.example/' || event_id ELSE {_URL} END"
+_FRONTIER_SQL = f"frontier AS (SELECT event_id, {_ASKED} AS url FROM events)"
 
 
 def _frontier(spark, folder) -> DataFrame:
-    url = f"CASE WHEN event_id % 3 = 0 THEN 'https://new.example/' || event_id ELSE {_URL} END"
-    return table(spark, folder, "events").select("event_id", F.expr(url).alias("url"))
+    return table(spark, folder, "events").select("event_id", F.expr(_ASKED).alias("url"))
 
 
 @query("cache_lookup", f"""
@@ -143,8 +144,6 @@ def cache_metadata_json(spark, folder):
 
 @query("store_round_trip", f"WITH {_WRITES_SQL} SELECT {_FLAT} FROM ({_LATEST_SQL})")
 def store_round_trip(spark, folder):
-    from gleanery.session import scratch_path
-
     path = scratch_path(spark, "store")
     S.write_store(_store(spark, folder), path)
     return _flat(S.read_store(spark, path))

@@ -114,7 +114,8 @@ FRONTED = (
     f"ELSE {_TITLED} || 'description: d' || lang || chr(10) || 'image: /i.png' || chr(10) || 'author: ''a''' "
     f"|| chr(10) || 'site_name: s' || chr(10) || 'date: 2024-01-0' || (doc_id % 9) {'|| ' + _CLOSED} END"
 )
-FRONT_BODY = f"CASE WHEN doc_id % 6 < 2 THEN {FRONTED} ELSE {trimmed(chr(39) + ' ' + chr(39) + ' || replace(text, ' + repr('---') + ', ' + repr('==') + ')')} END"
+_BODY = trimmed("replace(text, '---', '==')")
+FRONT_BODY = f"CASE WHEN doc_id % 6 < 2 THEN {FRONTED} ELSE {_BODY} END"
 FRONT_TITLE = "CASE doc_id % 6 WHEN 2 THEN 'second' WHEN 3 THEN source || ': x' WHEN 5 THEN source || ': x' ELSE '' END"
 FRONT_DATE = (
     "CASE doc_id % 6 WHEN 3 THEN CAST(doc_id AS VARCHAR) WHEN 5 THEN '2024-01-0' || (doc_id % 9) ELSE '' END"

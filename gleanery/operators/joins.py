@@ -13,16 +13,18 @@ BROADCAST_BYTES = 128 << 20
 _ROW_BYTES = 64
 
 
-def broadcast_if_small(keys: DataFrame) -> DataFrame:
+def broadcast_if_small(keys: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """Mark a narrow table for broadcast when its measured size allows it; else leave the choice to Spark.
 
     Worth its small job where the other side is a wide table: without the mark Spark may have shuffled that side by
-    the time it learns how few keys there are.
+    the time it learns how few keys there are.  ``bound`` is measured instead where it is cheaper to compute; it must
+    have the rows of ``keys`` or more of them.
     """
-    kinds = {f.name: f.dataType.typeName() for f in keys.schema.fields}
+    bound = keys if bound is None else bound
+    kinds = {f.name: f.dataType.typeName() for f in bound.schema.fields}
     text = [F.col(n) if kind == "string" else F.to_json(n) for n, kind in kinds.items() if kind in ("string", "struct")]
     size = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in text), F.lit(_ROW_BYTES)).cast("long")
-    measured = keys.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
+    measured = bound.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
     return F.broadcast(keys) if measured <= BROADCAST_BYTES else keys
 
 

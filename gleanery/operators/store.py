@@ -131,7 +131,10 @@ def upsert_latest(store: DataFrame, writes: DataFrame) -> DataFrame:
     (measured) the content of the store is not shuffled at all.
     """
     new = latest_writes(writes)
-    times = broadcast_if_small(new.select(*KEY, "created_at"))
+    times = broadcast_if_small(
+        with_key(writes).where(F.col("content") != "").groupBy(*KEY).agg(F.max("created_at").alias("created_at")),
+        bound=writes.select("url"),
+    )
     same_key = (F.col("old.url_hash") == F.col("new.url_hash")) & (F.col("old.url") == F.col("new.url"))
     kept = store.alias("old").join(
         times.alias("new"), same_key & (F.col("new.created_at") >= F.col("old.created_at")), "left_anti"

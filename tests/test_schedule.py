@@ -50,7 +50,7 @@ def test_global_schedule_equals_waiting_in_turn(spark, mix, k, chunks):
 
 @pytest.mark.parametrize("mix", MIXES)
 @pytest.mark.parametrize("limit, window, per", [
-    (1, 1_000_000, None), (3, 1_000_000, None), (2, 250_000, "k"), (5, 2_000_000, "k"),
+    (3, 1_000_000, None), (2, 250_000, "k"),
 ])
 def test_admission_equals_a_sliding_log(spark, mix, limit, window, per):
     rows, logs, expected = _rows(mix), {}, {}
