@@ -8,7 +8,7 @@ value on; the two are put together with a join on chunk and key.  The summaries
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -63,21 +63,37 @@ def with_row_number(df: DataFrame, order: Sequence[str | Column], name: str, chu
     )
 
 
-def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column,
-                name: str) -> DataFrame:
-    """Add the running maximum of ``value`` per key, on rows that have their chunk; keys must not be null."""
-    local = checkpointed(df.withColumn("_local", F.max(value).over(up_to_here(order, keys))))
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, name: str,
+             fold: Callable[[Column | str], Column], combine: Callable[[Column, Column], Column],
+             summary: Callable[[str], Column]) -> DataFrame:
+    local = checkpointed(df.withColumn("_local", fold(value).over(up_to_here(order, keys))))
     carried = (
-        local.groupBy(*keys, CHUNK).agg(F.max("_local").alias("_top"))
-        .withColumn("_before", F.max("_top").over(before([CHUNK], keys)))
+        local.groupBy(*keys, CHUNK).agg(summary("_local").alias("_chunk_value"))
+        .withColumn("_before", fold("_chunk_value").over(before([CHUNK], keys)))
         .select(*keys, CHUNK, "_before")
     )
     return (
         local.join(broadcast_if_small(carried), [*keys, CHUNK])
-        .withColumn(name, F.greatest("_before", "_local")).drop("_before", "_local")
+        .withColumn(name, combine(F.col("_before"), F.col("_local"))).drop("_before", "_local")
     )
 
 
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column,
+                name: str) -> DataFrame:
+    """Add the running maximum of ``value`` per key, on rows that have their chunk; keys must not be null."""
+    return _running(df, keys, order, value, name, F.max, F.greatest, F.max)
+
+
+def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column,
+                  name: str) -> DataFrame:
+    """Add the running sum of a ``value`` that is never negative, as :func:`running_max` does the maximum."""
+    def add(earlier: Column, here: Column) -> Column:
+        return F.coalesce(earlier, F.lit(0)) + here
+
+    # The last running sum of a chunk is also its largest.
+    return _running(df, keys, order, value, name, F.sum, add, F.max)
+
+
 def first_n_keys(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of a narrow table in ``order``.
 

@@ -17,7 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleanery import constants as C
 from gleanery.operators.joins import broadcast_if_small, join_back
-from gleanery.operators.scan import CHUNK, before, chunked, in_chunks, running_max, up_to_here, with_row_number
+from gleanery.operators.scan import (
+    CHUNK, before, chunked, in_chunks, running_count, running_max, up_to_here, with_row_number,
+)
 from gleanery.session import as_column, checkpointed
 
 SECOND = 1_000_000
@@ -114,24 +116,31 @@ def global_schedule(df: DataFrame, arrival: str, tie: str, per_second: int = C.O
     return led.select(*df.columns, (F.col("_total") + F.col("_lead")).alias(start))
 
 
-def trailing_rate(df: DataFrame, us: str, keys: Sequence[str] = (), window_us: int = SECOND,
-                  bucket_us: int | None = None, name: str = "calls") -> DataFrame:
+def trailing_rate(df: DataFrame, us: str, keys: Sequence[str] = (), window_us: int = SECOND, name: str = "calls",
+                  chunks: int | None = None) -> DataFrame:
     """Add the number of rows in the trailing ``window_us``, the row itself and rows of the same time included.
 
-    Time is cut into buckets that are counted independently; rows of the last ``window_us`` of a bucket are also
-    handed to the next one as context.  Equal times are added up first, so a burst is one row to the window.
+    The count is a difference of two running counts: up to a time, less up to the time one window earlier.  Both come
+    from one running sum over the times and the times shifted back, carried from chunk to chunk, so neither a busy key
+    nor a long window has to fit into a task.  Equal times are added up first.
     """
-    bucket = max(bucket_us or 60 * SECOND, window_us)
     keys = list(keys)
-    counts = df.groupBy(*keys, us).agg(F.count("*").alias("_n"))
-    home = F.floor(F.col(us) / bucket).cast("bigint")
-    context = F.when(F.floor((F.col(us) + window_us - 1) / bucket) > home, home + 1)
-    placed = counts.select(
-        "*", F.explode(F.filter(F.array(home, context), lambda b: b.isNotNull())).alias("_bucket"),
+    owner = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    counts = df.where(F.col(us).isNotNull()).groupBy(owner.alias("_owner"), F.col(us).alias("_us")).agg(
+        F.count("*").alias("_n"))
+    # At equal times the rows come before the shifted ones: a row exactly one window old is out.
+    both = counts.select(
+        "_owner", F.inline(F.array(
+            F.struct(F.col("_us").alias("_at"), F.lit(0).alias("_shift"), "_n"),
+            F.struct((F.col("_us") - window_us).alias("_at"), F.lit(1).alias("_shift"), F.lit(0).cast("long").alias("_n")),
+        )),
     )
-    frame = W.partitionBy(*keys, "_bucket").orderBy(us).rangeBetween(-(window_us - 1), 0)
+    pieces = chunked(both, ["_owner", "_at", "_shift"], chunks)
+    summed = running_count(pieces, ["_owner"], ["_at", "_shift"], F.col("_n"), "_sum")
+    signed = F.when(F.col("_shift") == 0, F.col("_sum")).otherwise(-F.col("_sum"))
     rates = (
-        placed.withColumn(name, F.sum("_n").over(frame)).where(F.col("_bucket") == home).select(*keys, us, name)
+        summed.groupBy("_owner", (F.col("_at") + F.col("_shift") * window_us).alias(us)).agg(F.sum(signed).alias(name))
+        .select(*[F.col("_owner")[k].alias(k) for k in keys], us, name)
     )
     return join_back(df, rates, [*keys, us])
 

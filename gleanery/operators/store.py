@@ -114,9 +114,9 @@ def cache_misses(frontier: DataFrame, store: DataFrame, as_of: datetime | Column
 
 
 def latest_writes(writes: DataFrame) -> DataFrame:
-    """One row per key: the newest write with content; equal times are settled by content."""
+    """One row per key: the newest write with content; equal times are settled by a hash of the content."""
     payload = F.struct("content", "metadata", "created_at")
-    order = F.struct("created_at", F.xxhash64("content"), F.col("content"))
+    order = F.struct("created_at", F.xxhash64("content"))
     return (
         with_key(writes).where(F.col("content") != "")
         .groupBy(*KEY).agg(F.max_by(payload, order).alias("_latest"))

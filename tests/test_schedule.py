@@ -83,12 +83,22 @@ def test_calls_without_a_key_share_a_log(spark):
 def test_trailing_rate(spark, mix):
     rows = _rows(mix)
     times = [r[2] for r in rows]
-    got = R.trailing_rate(_frame(spark, rows), "us", window_us=1_000_000, bucket_us=1_500_000).collect()
+    got = R.trailing_rate(_frame(spark, rows), "us", window_us=1_000_000, chunks=9).collect()
     assert {r["id"]: r["calls"] for r in got} == {
         i: bisect.bisect_right(times, us) - bisect.bisect_right(times, us - 1_000_000) for i, _, us, _ in rows}
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("mix", ["hot", "burst"])
+def test_trailing_rate_per_key(spark, mix):
+    rows, times = _rows(mix), {}
+    for _, key, us, _ in rows:
+        times.setdefault(key, []).append(us)
+    got = R.trailing_rate(_frame(spark, rows), "us", ["k"], 700_000, chunks=9).collect()
+    assert {r["id"]: r["calls"] for r in got} == {
+        i: bisect.bisect_right(times[k], us) - bisect.bisect_right(times[k], us - 700_000) for i, k, us, _ in rows}
+
+
 def test_row_number(spark):
     rows = _rows("hot")
     ranked = with_row_number(_frame(spark, rows), ["us", "id"], "n", 9)
