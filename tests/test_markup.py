@@ -34,6 +34,7 @@ RULES = [
     ("<ul><li>a<ul><li>b</ul><li>c</ul>", "- a- b\n\n- c"),
     ("<td>a</td><b>x<td>y</td>z</b>", "a**xyz**"),
     ("<svg><title>t</title></svg>x", "tx"),
+    ("<span>b</span><span>br</span><!--hr-->", "bbr"),
 ]
 
 
