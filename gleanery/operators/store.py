@@ -16,10 +16,11 @@ from gleanery import constants as C
 from gleanery.functions.urls import url_hash
 from gleanery.operators.joins import broadcast_if_small
 from gleanery.operators.scan import first_n_keys
-from gleanery.schemas import METADATA
+from gleanery.schemas import METADATA, STORE
 from gleanery.session import as_column
 
 KEY = ["url_hash", "url"]
+PREFIX = "hash_prefix"
 _PREFIX_DIGITS = 2
 
 
@@ -74,11 +75,17 @@ def cleanup_expired(store: DataFrame, as_of: datetime | Column,
 def narrow_store(store: DataFrame, frontier: DataFrame, url: str = "url") -> DataFrame:
     """The entries a frontier can hit, when it is small enough to broadcast; else the whole store.
 
-    Keeps the content of all other entries out of the join that follows.
+    Keeps the content of all other entries out of the join that follows.  Of a store read from files, only the folders
+    of the prefixes asked for are listed; there are at most 256 prefixes.
     """
     asked = frontier.select(F.col(url).alias("url")).distinct().select(url_hash("url").alias("url_hash"), "url")
     keys = broadcast_if_small(asked)
-    return store if keys is asked else store.join(keys, KEY, "left_semi")
+    if keys is asked:
+        return store
+    if PREFIX in store.columns:
+        prefixes = [row[0] for row in asked.select(prefix_of("url_hash")).distinct().collect()]
+        store = store.where(F.col(PREFIX).isin([p for p in prefixes if p is not None]))
+    return store.join(keys, KEY, "left_semi")
 
 
 def cache_lookup(frontier: DataFrame, store: DataFrame, as_of: datetime | Column,
@@ -105,9 +112,10 @@ def cache_hits(frontier: DataFrame, store: DataFrame, as_of: datetime | Column,
 def cache_misses(frontier: DataFrame, store: DataFrame, as_of: datetime | Column,
                  ttl_days: int = C.STORE_TTL_DAYS, url: str = "url", narrow: bool = True) -> DataFrame:
     """Frontier rows that still have to be processed.  Reads only the key columns of the store."""
-    known = valid_entries(store, as_of, ttl_days).select(*KEY)
+    known = valid_entries(store, as_of, ttl_days)
     if narrow:
         known = narrow_store(known, frontier, url)
+    known = known.select(*KEY)
     keyed = frontier.withColumn("_hash", url_hash(url))
     on = [keyed["_hash"] == known["url_hash"], keyed[url] == known["url"]]
     return keyed.join(known, on, "left_anti").drop("_hash")
@@ -164,18 +172,19 @@ def write_store(store: DataFrame, path: str) -> None:
 
     The rebalance lets adaptive execution cut or merge the shuffled prefixes into files of an even size.
     """
-    prefixed = store.withColumn("hash_prefix", F.substring("url_hash", 1, _PREFIX_DIGITS))
-    prefixed.hint("rebalance", F.col("hash_prefix")).write.mode("error").partitionBy("hash_prefix").parquet(path)
+    prefixed = store.withColumn(PREFIX, prefix_of("url_hash"))
+    prefixed.hint("rebalance", F.col(PREFIX)).write.mode("error").partitionBy(PREFIX).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    # The prefix is text; left to itself Spark would read prefixes of digits as numbers.
+    return spark.read.schema(f"{PREFIX} STRING, {STORE.toDDL()}").parquet(path)
 
 
 def expire_store(spark: SparkSession, path: str, new_path: str, as_of: datetime | Column,
                  ttl_days: int = C.STORE_TTL_DAYS) -> int:
     """Write the entries that are still fresh to a new path; returns how many were left behind.  Run it on a timer."""
-    kept, removed = cleanup_expired(read_store(spark, path).drop("hash_prefix"), as_of, ttl_days)
+    kept, removed = cleanup_expired(read_store(spark, path).drop(PREFIX), as_of, ttl_days)
     write_store(kept, new_path)
     return removed.first()["removed"]
 

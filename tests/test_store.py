@@ -92,6 +92,11 @@ def test_stored_files_can_be_pruned_by_prefix(spark, tmp_path):
     one = back.where(F.col("hash_prefix") == S.prefix_of(F.lit(store.where("url = 'u7'").first()["url_hash"])))
     assert "u7" in _contents(one)
     assert "PartitionFilters: [isnotnull(hash_prefix" in one._jdf.queryExecution().executedPlan().toString()
+    few = spark.createDataFrame([("u7",), ("u9",), ("none",)], "url string")
+    hits = S.cache_hits(few, back, NOW)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert {r["url"] for r in hits.collect()} == {"u7", "u9"} and "PartitionFilters: [hash_prefix" in plan
+    assert [r["url"] for r in S.cache_misses(few, back, NOW).collect()] == ["none"]
     assert S.expire_store(spark, path, str(tmp_path / "fresh"), NOW + timedelta(days=7, seconds=-9.5)) == 40
     assert set(_contents(S.read_store(spark, str(tmp_path / "fresh")))) == {f"u{i}" for i in range(10)}
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
