@@ -36,4 +36,4 @@ def sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from gleanery.llm import chat, mixing, quality  # noqa: F401
+    from gleanery.llm import bpe, chat, mixing, quality, toxicity  # noqa: F401
