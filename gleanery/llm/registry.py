@@ -36,4 +36,4 @@ def sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from gleanery.llm import bpe, chat, chunks, dedup, lm, mixing, quality, toxicity  # noqa: F401
+    from gleanery.llm import bpe, chat, chunks, dedup, fingerprint, lm, mixing, quality, toxicity  # noqa: F401
