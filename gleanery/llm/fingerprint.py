@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from gleanery.session import shuffle_width
 
 SAMPLES = 64
 # Gamma variates are drawn at so many equally likely levels.
-LEVELS = 4096
+LEVELS = 512
 CHUNK_ROWS = 256
 COARSE, FINE = 128, 1024
 EMPTY = -1
@@ -40,15 +41,11 @@ def _gamma_levels() -> list[float]:
     return made
 
 
-def _constant(values: list[float]) -> Column:
-    """A literal array; the optimiser folds the cast."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
 def _samples(term: Column, weight: Column) -> list[Column]:
     """For each sample one long, the less the better: ``ln a`` above, 32 bits of the term and its ``t`` below."""
     levels = _gamma_levels()
-    gamma, log_gamma = _constant(levels), _constant([math.log(x) for x in levels])
+    # One literal each, shared by all samples.
+    gamma, log_gamma = F.lit(np.array(levels)), F.lit(np.log(levels))
     log_weight = F.ln(weight)
     made = []
     for k in range(SAMPLES):
