@@ -246,14 +246,13 @@ def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
     """``documents`` with one row of each class of near-duplicates, all columns as they were."""
     marked = documents.withColumn("__text_key", F.xxhash64("text"))
     found = stored(near_duplicates(marked, keep=("doc_id", "__text_key"), similarity=similarity), "dart-classes")
-    same = lambda x: [F.col("doc_id").eqNullSafe(F.col(f"{x}.__id")), F.col("__text_key") == F.col(f"{x}.__key")]
     times = found.groupBy(F.col("doc_id"), F.col("__text_key")).agg(F.count("*").alias("times"), F.max("kept").alias("kept"))
-    chosen = times.where("kept").select(F.col("doc_id").alias("__id"), F.col("__text_key").alias("__key"), "times")
+    chosen = times.where("kept").select(F.col("doc_id").alias("__id"), F.col("__text_key").alias("__key"), F.col("times").alias("__times"))
     chosen = broadcast_if_small(chosen)
-    left = marked.join(chosen.alias("c"), on=same("c")[0] & same("c")[1])
-    once = left.where("times = 1")
+    left = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")))
+    once = left.where("__times = 1")
     # The same row several times over: only such rows are grouped.
-    again = left.where("times > 1").dropDuplicates(["doc_id", "__text_key"])
+    again = left.where("__times > 1").dropDuplicates(["doc_id", "__text_key"])
     return once.unionByName(again).select(*documents.columns)
 
 

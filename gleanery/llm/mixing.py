@@ -140,6 +140,33 @@ def mix_plan(
     return placed.withColumn("taken", taken.cast("long")).drop("source_no", "n_shards", "end")
 
 
+def mixed(documents: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
+    """The mix itself, with the columns of ``documents``: each text as often as whole rounds take it, and once more the
+    words of the blocks chosen beyond them.  ``n_chars`` is counted anew for partial texts where it exists.
+    """
+    rows = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("__row"))
+    plan = mix_plan(rows, weights).withColumn("__more", F.col("taken") - F.col("rounds") * F.col("size"))
+    whole = F.col("rounds") + (F.col("__more") == F.col("size")).cast("long")
+    copies = F.when((whole > 0) & (F.col("size") > 0), F.array_repeat(F.lit(False), whole.cast("int"))).otherwise(
+        F.array().cast("array<boolean>"))
+    part = F.when((F.col("__more") > 0) & (F.col("__more") < F.col("size")), F.array(F.lit(True))).otherwise(
+        F.array().cast("array<boolean>"))
+    plan = plan.select("*", F.explode(F.concat(copies, part)).alias("__part"))
+
+    def chosen(_: Column, n: Column) -> Column:
+        block = _div(F.col("start") + n, F.col("block"))
+        count = lambda b: _div(b * F.col("extra") + F.col("offset"), F.col("n_blocks"))
+        return count(block + 1) > count(block)
+
+    pieces = F.regexp_extract_all(F.col("__row.text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    text = F.when(F.col("__part"), F.rtrim(F.array_join(F.filter(pieces, chosen), ""))).otherwise(F.col("__row.text"))
+    made = plan.select("__part", text.alias("__text"), "__row.*").withColumn("text", F.col("__text"))
+    if "n_chars" in documents.columns:
+        size = F.length("__text").cast(documents.schema["n_chars"].dataType)
+        made = made.withColumn("n_chars", F.when(F.col("__part"), size).otherwise(F.col("n_chars")))
+    return made.select(*documents.columns)
+
+
 @query("op2_sainte_lague_mix")
 def sainte_lague_mix(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
