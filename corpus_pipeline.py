@@ -1,10 +1,65 @@
-"""Documents to token ids: the stages a corpus passes through, in order."""
+"""Documents to token ids: the stages a corpus passes through, in order.
+
+Each stage takes ``(spark, docs, sf_dir)``; ``docs`` is what the stage before it wrote.  All but the last keep the
+columns of ``documents``.  An empty table passes through every stage as an empty one.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery.llm.bpe import encode_documents
+from gleanery.llm.dedup import one_of_each
+from gleanery.llm.mixing import mixed
+from gleanery.llm.secrets import redact
+from gleanery.llm.text import stored
+from gleanery.llm.toxicity import without_toxic
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of the documents it is given."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return one_of_each(docs)
+
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are replaced."""
+    return redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts and parts of texts as often as their sources' targets take them."""
+    return mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, source, n_tokens, ids`` (little-endian 32-bit integers) and the digest of the decoded text."""
+    encoded = encode_documents(docs, TOKENIZER, keep=("doc_id", "source"))
+    return encoded.select(
+        "doc_id", "source", "n_tokens", "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", remove_secrets),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+# Trained stages and signatures are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
