@@ -22,54 +22,62 @@ MOST_REPEATS = 3
 SEED = 20240607
 
 
+def shared_out(rows: DataFrame, group: list[str], weight: str, limit: str, total: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: each group's ``total`` by ``weight``, nobody above ``limit``, the excess going to the others.
+
+    Sorted by ``limit / weight``, those at their limit come first, which makes the resharing a running sum.
+    """
+    in_group = Window.partitionBy(*group)
+    ratio = F.when(F.col(weight) > 0, F.col(limit) / F.col(weight)).otherwise(float("inf"))
+    before = in_group.orderBy("__ratio", "__no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"__ratio": ratio, "__total": total.cast("double")})
+    rows = rows.withColumn("__no", F.row_number().over(in_group.orderBy("__ratio")))
+    left = F.col("__total") - F.coalesce(F.sum(F.col(limit).cast("double")).over(before), F.lit(0.0))
+    open_weight = F.sum(weight).over(in_group) - F.coalesce(F.sum(weight).over(before), F.lit(0.0))
+    rows = rows.withColumn("__share", F.when(open_weight > 0, left / open_weight).otherwise(0.0))
+    rows = rows.withColumn("__at_limit", F.col(limit) < F.col("__share") * F.col(weight))
+    # The share that holds for all below their limit is that of the first of them.
+    first_open = F.min(F.when(~F.col("__at_limit"), F.struct("__ratio", "__no", "__share"))).over(in_group)
+    part = F.when(F.col("__at_limit"), F.col(limit).cast("double")).otherwise(first_open["__share"] * F.col(weight))
+    return rows.withColumn(name, part).drop("__ratio", "__total", "__no", "__share", "__at_limit")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST_REPEATS) -> DataFrame:
     """One row per source of ``(source, size)``: ``source, source_no, source_size, target``.
 
     Sources by code point, null last, weigh ``weights`` in turn and share all words; no target exceeds ``most`` times
-    its source, the excess going to the others by weight.  Sorted by ``limit / weight``, the sources at their limit
-    come first, which makes the resharing a running sum.
+    its source, the excess going to the others by weight.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("all", F.lit(1))
     named = Window.orderBy(F.col("source").asc_nulls_last())
     sources = sources.withColumn("source_no", F.row_number().over(named).cast("long"))
     turn = F.pmod(F.col("source_no") - 1, F.lit(len(weights))).cast("int") + 1
     sources = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn))
     sources = sources.withColumn("limit", F.col("source_size").cast("double") * most)
-
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy(F.col("limit") / F.col("weight"), "source_no").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    sources = sources.withColumn("share", left / open_weight)
-    at_limit = F.col("limit") < F.col("share") * F.col("weight")
-    sources = sources.withColumn("at_limit", at_limit)
-    # The share that holds for all sources below their limit is that of the first of them.
-    first_open = F.min(F.when(~F.col("at_limit"), F.struct(F.col("limit") / F.col("weight"), "source_no", "share")))
-    share = first_open.over(everything)["share"]
-    target = F.when(F.col("at_limit"), F.col("limit")).otherwise(share * F.col("weight"))
-    return sources.select("source", "source_no", "source_size", target.alias("target"))
+    everything = F.sum("source_size").over(Window.partitionBy("all"))
+    return shared_out(sources, ["all"], "weight", "limit", everything, "target").select(
+        "source", "source_no", "source_size", "target")
 
 
 def sainte_lague(parties: DataFrame, group: list[str], name: str, weight: str, seats: str, most: str) -> DataFrame:
     """``group, name, quota``: the seats of each group go to its parties by highest quotients, at most ``most`` each.
 
-    A party has at least the seats that a somewhat too high divisor gives and at most those of a too low one; only the
-    quotients between, a few per party, are ranked.  Equal quotients go to the smaller ``name``.
+    Sharing half a seat per party less, and then rounding, gives nobody too many; sharing half a seat more gives nobody
+    too few.  Only the quotients between, about one per party, are ranked.  Equal quotients go to the smaller ``name``.
     """
     in_group = Window.partitionBy(*group)
     parties = parties.select(
         *group, name, F.col(weight).cast("double").alias("_w"), F.col(seats).alias("_seats"), F.col(most).alias("_most"),
-        F.sum(F.col(weight).cast("double")).over(in_group).alias("_all"), F.count(F.lit(1)).over(in_group).alias("_n"))
-    share = F.when(F.col("_all") > 0, F.col("_w") / F.col("_all")).otherwise(0.0)
-    low = F.greatest(F.floor(share * (F.col("_seats") - F.col("_n") / 2) + 0.5), F.lit(0))
-    # Seats that parties at their limit cannot take are at most two for each of them.
-    high = F.ceil(share * (F.col("_seats") + F.col("_n") * 2.5) + 1.5)
-    high = F.when(F.col("_w") > 0, high).otherwise(0)
+        F.count(F.lit(1)).over(in_group).alias("_n"))
+    for bound, change in (("_low", -F.col("_n") / 2), ("_high", F.col("_n") / 2 + 1)):
+        parties = shared_out(parties, group, "_w", "_most", F.col("_seats") + change, bound)
+    low = F.floor(F.greatest(F.col("_low"), F.lit(0.0)) + 0.5 - 1e-9)
+    high = F.when(F.col("_w") > 0, F.ceil(F.col("_high") + 0.5)).otherwise(0)
     parties = parties.withColumns({"_low": F.least(low, "_most"), "_high": F.least(high, "_most")})
     parties = parties.withColumn("_left", F.col("_seats") - F.sum("_low").over(in_group))
     next_seats = F.when(F.col("_high") > F.col("_low"), F.sequence("_low", F.col("_high") - 1))
     rows = parties.select(*group, name, "_w", "_low", "_left", F.explode_outer(next_seats).alias("_k"))
-    best = Window.partitionBy(*group).orderBy((F.col("_w") / (2 * F.col("_k") + 1)).desc_nulls_last(), name)
+    best = in_group.orderBy((F.col("_w") / (2 * F.col("_k") + 1)).desc_nulls_last(), name)
     won = F.col("_k").isNotNull() & (F.row_number().over(best) <= F.col("_left"))
     return rows.withColumn("_won", won.cast("long")).groupBy(*group, name).agg(
         (F.first("_low") + F.sum("_won")).cast("long").alias("quota"))
