@@ -124,7 +124,7 @@ def attempt_resolution(spark, folder):
         F.expr("CAST(event_id DIV 3 AS BIGINT)").alias("task"), (F.col("event_id") % 3 + 1).alias("attempt"), "value",
         F.expr("CASE WHEN event_type IN ('error', 'click') THEN 'e' || event_id END").alias("error"),
     )
-    return K.resolve_attempts(attempts, ["task"], payload=["value"])
+    return K.resolve_attempts(attempts, ["task"], payload=["value"], max_attempts=C.BROWSER_ATTEMPTS)
 
 
 # Frontier: every document's URL, some of them invalid; every seventh one is in the store.
@@ -180,7 +180,7 @@ def batch_fetch(spark, folder):
     requests = table(spark, folder, "documents").groupBy(F.expr("CAST(doc_id DIV 25 AS BIGINT)").alias("batch_id")).agg(
         F.sort_array(F.collect_list(F.struct("doc_id", F.expr(_ASKED).alias("url")))).alias("rows")
     ).select("batch_id", F.transform("rows", lambda r: r["url"]).alias("urls"))
-    answers = answer_batches(requests, _results(spark, folder))
+    answers = answer_batches(requests, _results(spark, folder), max_urls=C.MAX_BATCH_URLS)
     item = "url STRING, success BOOLEAN, error STRING, content_length BIGINT"
     parsed = answers.select("batch_id", F.from_json("json", f"code INT, message STRING, data ARRAY<STRUCT<{item}>>").alias("a"))
     return parsed.select("batch_id", "a.code", "a.message", F.posexplode_outer("a.data").alias("pos", "item")).select(

@@ -33,6 +33,7 @@ UNICODE_SPACE = (
 
 # --- fixed values: sizes ------------------------------------------------------
 MIN_CONTENT_BYTES = 100
+# Limits of the service; nothing here applies them unless they are passed.
 MAX_CONTENT_BYTES = 30_000
 MAX_BODY_BYTES = 10 << 20
 MAX_BATCH_URLS = 20

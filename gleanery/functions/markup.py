@@ -9,6 +9,7 @@ order there but may stay inside the formatting element.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from html.entities import html5 as _ENTITIES
 
@@ -35,7 +36,6 @@ SCOPE_LIMIT = frozenset("applet caption html body table td th marquee object tem
 TABLE_LIMIT = frozenset(("table", "html", "body", "template"))
 CELL = frozenset(("td", "th", "caption"))
 UNREAD = frozenset("head script style noscript template iframe noembed noframes".split())
-MAX_DEPTH = 400
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)
@@ -51,10 +51,10 @@ _NEWLINES = re.compile("\n{3,}")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "open")
 
     def __init__(self, tag, attrs=None):
-        self.tag, self.attrs, self.kids = tag, attrs or {}, []
+        self.tag, self.attrs, self.kids, self.open = tag, attrs or {}, [], False
 
 
 def _attr_value(value):
@@ -82,14 +82,17 @@ class _Builder:
         self.root, self.head, self.body = Node("html"), Node("head"), Node("body")
         self.root.kids = [self.head, self.body]
         self.open = [self.root, self.body]
+        self.open_tags = Counter(("html", "body"))
         self.formatting = []  # open formatting elements; None marks a table cell
         self.in_body = False
 
     # -- where things go ------------------------------------------------------
     def add(self, node, push=True):
         self.open[-1].kids.append(node)
-        if push and len(self.open) < MAX_DEPTH:
+        if push:
+            node.open = True
             self.open.append(node)
+            self.open_tags[node.tag] += 1
 
     def text(self, text):
         if not self.in_body:
@@ -105,16 +108,16 @@ class _Builder:
         """Formatting elements cut short by a block's end are opened again."""
         active = self.formatting
         first = len(active)
-        while first and active[first - 1] is not None and active[first - 1] not in self.open:
+        while first and active[first - 1] is not None and not active[first - 1].open:
             first -= 1
         for i in range(first, len(active)):
             copy = Node(active[i].tag, active[i].attrs)
-            if len(self.open) >= MAX_DEPTH:
-                return
             self.add(copy)
             active[i] = copy
 
     def in_scope(self, tags, limit=SCOPE_LIMIT):
+        if not any(self.open_tags[tag] for tag in tags):
+            return False
         for node in reversed(self.open):
             if node.tag in tags:
                 return True
@@ -125,12 +128,18 @@ class _Builder:
     def close(self, tags):
         """Pop up to and including the nearest of ``tags``."""
         while len(self.open) > 2:
-            node = self.open.pop()
+            node = self.pop()
             if node.tag in CELL:
                 self.drop_marker()
             if node.tag in tags:
                 return
 
+    def pop(self, at=-1):
+        node = self.open.pop(at)
+        node.open = False
+        self.open_tags[node.tag] -= 1
+        return node
+
     def drop_marker(self):
         while self.formatting and self.formatting.pop() is not None:
             pass
@@ -152,11 +161,11 @@ class _Builder:
         if tag in BLOCK and tag != "li" and tag not in ("dd", "dt"):
             self.close_p()
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self.pop()
         elif tag in ("li", "dd", "dt"):
             self.close_item(("li",) if tag == "li" else ("dd", "dt"))
         elif tag in ("option", "optgroup") and self.open[-1].tag == "option":
-            self.open.pop()
+            self.pop()
         elif tag in CELL or tag in ("tr", "tbody", "thead", "tfoot"):
             ends = CELL if tag in CELL else CELL | {"tr"} if tag == "tr" else CELL | {"tr", "tbody", "thead", "tfoot"}
             while self.in_scope(ends, TABLE_LIMIT):
@@ -199,13 +208,18 @@ class _Builder:
     def end_formatting(self, node):
         """Close one formatting element; blocks opened inside it stay open below their parent."""
         self.formatting.remove(node)
-        if node not in self.open:
+        if not node.open:
             return
-        at = self.open.index(node)
-        if any(inner.tag in SPECIAL for inner in self.open[at + 1:]):
-            del self.open[at]
+        at = len(self.open) - 1
+        block = False
+        while self.open[at] is not node:
+            block = block or self.open[at].tag in SPECIAL
+            at -= 1
+        if block:
+            self.pop(at)
         else:
-            del self.open[at:]
+            while len(self.open) > at:
+                self.pop()
 
     def end(self, tag):
         if not self.in_body or tag in ("html", "body"):
@@ -285,7 +299,7 @@ def parse(html):
             if raw:
                 owner.kids.append(unescape(raw) if name in ESCAPABLE_RAW and "&" in raw else raw)
             if builder.in_body and owner.tag == name and len(builder.open) > 2:
-                builder.open.pop()
+                builder.pop()
         swallow_newline = name in ("pre", "listing")
     return builder.root
 
@@ -301,18 +315,36 @@ def _text_of(node, everything):
     return "".join(parts)
 
 
-def _write_kids(node, out, bare, breaks):
-    for kid in node.kids:
-        if type(kid) is str:
+def _write(node, out, bare):
+    """Markdown of the children of ``node``.  What is still to be written waits on a list, so depth costs no stack.
+
+    The list holds nodes, text to write as it is, and ``(kids, bare, breaks)`` of an opened element.
+    """
+    todo = [_opened(node, False)]
+    while todo:
+        step = todo[-1]
+        if type(step) is str:
+            todo.pop()
+            out.append(step)
+            continue
+        kid = next(step[0], None)
+        if kid is None:
+            todo.pop()
+        elif type(kid) is str:
             if bare:
                 out.append(kid)
-        elif breaks and kid.tag in ("br", "hr"):
+        elif step[1] and kid.tag in ("br", "hr"):
             out.append("\n")
         else:
-            _write(kid, out, bare)
+            _write_element(kid, out, bare, todo)
 
 
-def _write(node, out, bare):
+def _opened(node, breaks):
+    return iter(node.kids), breaks
+
+
+def _write_element(node, out, bare, todo):
+    """Write one element, or put its parts on ``todo``, the last first."""
     tag = node.tag
     if bare and tag in UNREAD:
         return
@@ -320,8 +352,7 @@ def _write(node, out, bare):
     if tag in HEADINGS:
         out.append(f"{'#' * int(tag[1])} {inner}\n\n")
     elif tag in ("p", "div"):
-        _write_kids(node, out, bare, True)
-        out.append("\n\n")
+        todo += ["\n\n", _opened(node, True)]
     elif tag == "br":
         out.append("\n")
     elif tag == "hr":
@@ -337,21 +368,18 @@ def _write(node, out, bare):
         if src:
             out.append(f"![{node.attrs.get('alt', '')}]({src})")
     elif tag in ("ul", "ol"):
-        number = 0
-        for kid in node.kids:
-            if type(kid) is not str and kid.tag == "li":
-                number += 1
-                out.append("- " if tag == "ul" else f"{number}. ")
-                _write_kids(kid, out, bare, False)
-                out.append("\n")
-        out.append("\n")
+        items = [kid for kid in node.kids if type(kid) is not str and kid.tag == "li"]
+        parts = []
+        for number, item in enumerate(items, start=1):
+            parts += ["- " if tag == "ul" else f"{number}. ", _opened(item, False), "\n"]
+        todo += reversed([*parts, "\n"])
     elif tag == "pre":
         out.append(f"```\n{inner}\n```\n\n")
     elif tag == "blockquote":
         out.extend(f"> {line}\n" if line else "\n" for line in inner.split("\n"))
         out.append("\n")
     else:
-        _write_kids(node, out, bare, False)
+        todo.append(_opened(node, False))
 
 
 _EMPHASIS = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}
@@ -361,7 +389,7 @@ _FLAT = HEADINGS | frozenset(_EMPHASIS) | {"a", "pre", "blockquote"}
 def markdown(node, max_bytes, bare=True):
     """The children of ``node`` as Markdown of at most ``max_bytes`` bytes (0: no limit)."""
     out = []
-    _write_kids(node, out, bare, False)
+    _write(node, out, bare)
     text = _NEWLINES.sub("\n\n", "".join(out)).strip(UNICODE_SPACE)
     if max_bytes > 0 and len(text) * 4 > max_bytes:
         raw = text.encode("utf-8", "replace")

@@ -89,9 +89,12 @@ def weigh_candidates(candidates: DataFrame, available: Iterable[str] = C.ALL_MOD
     available = tuple(available)
     priority = candidate_priority(_route_of("url", available, force_stealth), F.col("mode"), available)
     ranked = candidates.withColumn("_priority", F.when(candidate_is_valid(), priority))
-    kept = F.when(F.col("_priority").isNotNull(), F.struct("mode", "content", "selector", "metadata"))
+    accepted = F.col("_priority").isNotNull()
+    kept = F.when(accepted, F.struct("mode", "content", "selector", "metadata"))
+    # Equal candidates of one method are told apart by what they hold, not by their order.
+    order = F.when(accepted, F.struct("_priority", F.xxhash64("content", "selector", F.to_json("metadata"))))
     return ranked.groupBy("url").agg(
-        F.min_by(kept, F.col("_priority")).alias("_best"),
+        F.min_by(kept, order).alias("_best"),
         *[F.max(F.when(F.col("mode") == m, F.col("error"))).alias(f"_err_{m}") for m in _SHOWN_MODES],
     )
 
@@ -123,22 +126,30 @@ def select_best(candidates: DataFrame, frontier: DataFrame | None = None, url: s
 
 
 def resolve_attempts(attempts: DataFrame, keys: Iterable[str], attempt: str = "attempt", error: str = "error",
-                     payload: Iterable[str] = (), max_attempts: int = C.BROWSER_ATTEMPTS) -> DataFrame:
-    """First success within the allowed attempts, else the last error."""
+                     payload: Iterable[str] = (), max_attempts: int | None = None) -> DataFrame:
+    """First success, within ``max_attempts`` where that is given, else the last error.
+
+    Of equal attempt numbers one whole row wins, by a hash of what it holds.
+    """
     keys, payload = list(keys), list(payload)
     number, failed = F.col(attempt), as_column(error).isNotNull()
-    result = attempts.where(number <= max_attempts).groupBy(*keys).agg(
-        F.min(F.when(~failed, number)).alias("ok_attempt"),
-        F.max_by(F.col(error), F.when(failed, number)).alias("_last_error"),
-        *[F.min_by(F.col(p), F.when(~failed, number)).alias(p) for p in payload],
+    if max_attempts is not None:
+        attempts = attempts.where(number <= max_attempts)
+    row = F.struct(number.alias("_number"), *payload)
+    order = F.struct(number, F.xxhash64(F.to_json(row)))
+    result = attempts.groupBy(*keys).agg(
+        F.min_by(row, F.when(~failed, order)).alias("_first"),
+        F.max(F.when(failed, F.struct(number.alias("number"), F.col(error).alias("error")))).alias("_last"),
     )
-    ok = F.col("ok_attempt").isNotNull()
+    ok = F.col("_first").isNotNull()
     return result.select(
-        *keys, ok.alias("ok"), "ok_attempt", *payload, F.when(~ok, F.col("_last_error")).alias("error")
+        *keys, ok.alias("ok"), F.col("_first._number").alias("ok_attempt"),
+        *[F.col("_first")[p].alias(p) for p in payload], F.when(~ok, F.col("_last.error")).alias("error")
     )
 
 
-def batch_items(requests: DataFrame, urls: str = "urls", max_urls: int = C.MAX_BATCH_URLS) -> DataFrame:
-    """One row per requested URL with its place ``pos`` (from 0); batches over the limit are refused whole."""
+def batch_items(requests: DataFrame, urls: str = "urls", max_urls: int | None = None) -> DataFrame:
+    """One row per requested URL with its place ``pos`` (from 0); batches over ``max_urls``, if given, are refused whole."""
     others = [c for c in requests.columns if c != urls]
-    return requests.where(F.size(urls) <= max_urls).select(*others, F.posexplode(urls).alias("pos", "url"))
+    accepted = requests if max_urls is None else requests.where(F.size(urls) <= max_urls)
+    return accepted.select(*others, F.posexplode(urls).alias("pos", "url"))

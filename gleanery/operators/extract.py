@@ -25,7 +25,7 @@ _PARSED = T.StructType(
 )
 
 
-def parse_page_udf(max_bytes: int = C.MAX_CONTENT_BYTES, bare_text: bool = True):
+def parse_page_udf(max_bytes: int = 0, bare_text: bool = True):
     """``f(html, is_wechat) -> struct``.  Marked as non-deterministic so that a filter on the result cannot make
     Catalyst run it a second time."""
 
@@ -67,7 +67,7 @@ def extract_content(
     df: DataFrame,
     url: str = "url",
     html: str = "html",
-    max_bytes: int = C.MAX_CONTENT_BYTES,
+    max_bytes: int = 0,
     bare_text: bool = True,
     keep_html: bool = False,
 ) -> DataFrame:

@@ -66,18 +66,18 @@ def _page_candidates(pages: DataFrame, mode: str, content_type: Column, max_byte
     )
 
 
-def http_candidates(pages: DataFrame, max_bytes: int = C.MAX_CONTENT_BYTES, bare_text: bool = True) -> DataFrame:
+def http_candidates(pages: DataFrame, max_bytes: int = 0, bare_text: bool = True) -> DataFrame:
     """Pages as saved from plain HTTP; ``content_type`` and ``error`` columns are optional."""
     kind = F.col("content_type") if "content_type" in pages.columns else F.lit("text/html")
     return _page_candidates(pages, C.MODE_HTTP, kind, max_bytes, bare_text)
 
 
-def rendered_candidates(pages: DataFrame, max_bytes: int = C.MAX_CONTENT_BYTES, bare_text: bool = True) -> DataFrame:
+def rendered_candidates(pages: DataFrame, max_bytes: int = 0, bare_text: bool = True) -> DataFrame:
     """Pages as rendered by a browser; always judged as HTML."""
     return _page_candidates(pages, C.MODE_STEALTH, F.lit("text/html"), max_bytes, bare_text)
 
 
-def firecrawl_candidates(df: DataFrame, max_bytes: int = C.MAX_CONTENT_BYTES) -> DataFrame:
+def firecrawl_candidates(df: DataFrame, max_bytes: int = 0) -> DataFrame:
     df = df.withColumn("_json", parse_provider(C.MODE_FIRECRAWL, F.col("body")))
     json, page = F.col("_json"), F.col("_json.data.metadata")
     success = F.coalesce(json["success"], F.lit(False))
@@ -99,7 +99,7 @@ def firecrawl_candidates(df: DataFrame, max_bytes: int = C.MAX_CONTENT_BYTES) ->
     return _candidates(df, C.MODE_FIRECRAWL, content, metadata, error)
 
 
-def webpagesnap_candidates(df: DataFrame, max_bytes: int = C.MAX_CONTENT_BYTES) -> DataFrame:
+def webpagesnap_candidates(df: DataFrame, max_bytes: int = 0) -> DataFrame:
     df = df.withColumn("_json", parse_provider(C.MODE_WEBPAGESNAP, F.col("body")))
     json, head = F.col("_json"), F.col("_json.header")
     success = F.coalesce(json["success"], F.lit(False))
@@ -121,7 +121,7 @@ def webpagesnap_candidates(df: DataFrame, max_bytes: int = C.MAX_CONTENT_BYTES)
     return _candidates(df, C.MODE_WEBPAGESNAP, content, metadata, error)
 
 
-def markdownnew_candidates(df: DataFrame, max_bytes: int = C.MAX_CONTENT_BYTES) -> DataFrame:
+def markdownnew_candidates(df: DataFrame, max_bytes: int = 0) -> DataFrame:
     """Front matter is read before the cut, so a cut can never hide its end mark."""
     df = df.withColumn("_split", parse_frontmatter(trim_space(or_empty(F.col("body")))))
     meta = F.col("_split.meta")
@@ -147,7 +147,7 @@ def jina_candidates(df: DataFrame) -> DataFrame:
     return _candidates(df, C.MODE_JINA, content, metadata_struct(url="url"), _http_problem(df, "Jina"))
 
 
-def tweet_candidates(df: DataFrame, max_bytes: int = C.MAX_CONTENT_BYTES) -> DataFrame:
+def tweet_candidates(df: DataFrame, max_bytes: int = 0) -> DataFrame:
     df = df.withColumn("_json", parse_provider(C.MODE_FXTWITTER, F.col("body")))
     json, tweet = F.col("_json"), F.col("_json.tweet")
     code = F.coalesce(json["code"], F.lit(0))
@@ -187,7 +187,7 @@ def tweet_candidates(df: DataFrame, max_bytes: int = C.MAX_CONTENT_BYTES) -> Dat
     return _candidates(df, C.MODE_FXTWITTER, truncate_bytes(content, max_bytes), metadata, error, "application/json")
 
 
-def search_candidates(df: DataFrame, max_bytes: int = C.MAX_CONTENT_BYTES) -> DataFrame:
+def search_candidates(df: DataFrame, max_bytes: int = 0) -> DataFrame:
     df = df.withColumn("_json", parse_provider(C.MODE_BRAVE, F.col("body")))
     results = F.col("_json.web.results")
     first = F.get(results, F.lit(0))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,7 +18,6 @@ from gleanery.operators.joins import broadcast_if_small
 from gleanery.session import checkpointed, shuffle_width
 
 CHUNK = "_chunk"
-_TOP_K_ROWS = 10_000
 
 
 def chunked(df: DataFrame, order: Sequence[str | Column], chunks: int | None = None) -> DataFrame:
@@ -94,11 +93,6 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return _running(df, keys, order, value, name, F.sum, add, F.max)
 
 
-def first_n_keys(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of a narrow table in ``order``.
-
-    A small ``n`` is a top-k, where each task keeps ``n`` rows; a large one is a distributed rank.
-    """
-    if n <= _TOP_K_ROWS:
-        return df.orderBy(*order).limit(n)
-    return with_row_number(df, order, "_rank").where(F.col("_rank") < n).drop("_rank", CHUNK)
+def nth_row(df: DataFrame, order: Sequence[Column], n: int) -> Row | None:
+    """The ``n``-th row (from 1) of a narrow table in ``order``, by a distributed rank; none if there are fewer."""
+    return with_row_number(df, order, "_rank").where(F.col("_rank") == n - 1).drop("_rank", CHUNK).first()

@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 from gleanery import constants as C
 from gleanery.functions.urls import url_hash
 from gleanery.operators.joins import broadcast_if_small
-from gleanery.operators.scan import first_n_keys
+from gleanery.operators.scan import nth_row
 from gleanery.schemas import METADATA, STORE
-from gleanery.session import as_column
+from gleanery.session import as_column, checkpointed
 
 KEY = ["url_hash", "url"]
 PREFIX = "hash_prefix"
@@ -122,9 +122,9 @@ def cache_misses(frontier: DataFrame, store: DataFrame, as_of: datetime | Column
 
 
 def latest_writes(writes: DataFrame) -> DataFrame:
-    """One row per key: the newest write with content; equal times are settled by a hash of the content."""
+    """One row per key: the newest write with content; equal times are settled by a hash of content and metadata."""
     payload = F.struct("content", "metadata", "created_at")
-    order = F.struct("created_at", F.xxhash64("content"))
+    order = F.struct("created_at", F.xxhash64("content", F.to_json("metadata")))
     return (
         with_key(writes).where(F.col("content") != "")
         .groupBy(*KEY).agg(F.max_by(payload, order).alias("_latest"))
@@ -135,14 +135,11 @@ def latest_writes(writes: DataFrame) -> DataFrame:
 def upsert_latest(store: DataFrame, writes: DataFrame) -> DataFrame:
     """Replace by key; the newest entry wins, a write beats a stored entry of the same time.
 
-    The store side goes through an anti join on keys and times.  While the written keys are few enough to broadcast
-    (measured) the content of the store is not shuffled at all.
+    The writes are stored once, however they were made.  The store side goes through an anti join on keys and times;
+    while the written keys are few enough to broadcast (measured) the content of the store is not shuffled at all.
     """
-    new = latest_writes(writes)
-    times = broadcast_if_small(
-        with_key(writes).where(F.col("content") != "").groupBy(*KEY).agg(F.max("created_at").alias("created_at")),
-        bound=writes.select("url"),
-    )
+    new = checkpointed(latest_writes(writes))
+    times = broadcast_if_small(new.select(*KEY, "created_at"))
     same_key = (F.col("old.url_hash") == F.col("new.url_hash")) & (F.col("old.url") == F.col("new.url"))
     kept = store.alias("old").join(
         times.alias("new"), same_key & (F.col("new.created_at") >= F.col("old.created_at")), "left_anti"
@@ -155,11 +152,21 @@ def upsert_latest(store: DataFrame, writes: DataFrame) -> DataFrame:
     return kept.select(*columns).unionByName(written.select(*columns))
 
 
-def evict_to_capacity(store: DataFrame, capacity: int = C.STORE_CAPACITY) -> DataFrame:
-    """The ``capacity`` newest entries.  They are found on the key columns; content is read for the winners only."""
+def evict_to_capacity(store: DataFrame, capacity: int) -> DataFrame:
+    """The ``capacity`` newest entries.
+
+    The last of them is found on the key columns; all others are kept or left by comparison with that one row, so
+    content is neither shuffled nor joined.
+    """
     order = [F.col("created_at").desc_nulls_last(), F.col("url_hash"), F.col("url")]
-    winners = first_n_keys(store.select(*KEY, "created_at"), order, capacity).select(*KEY)
-    return store.join(winners, KEY, "left_semi")
+    last = nth_row(store.select(*KEY, "created_at"), order, capacity)
+    if capacity <= 0 or last is None:
+        return store.where(F.lit(capacity > 0))
+    at = F.lit(last["created_at"]).cast("timestamp")
+    by_key = (F.col("url_hash") < last["url_hash"]) | ((F.col("url_hash") == last["url_hash"]) & (F.col("url") <= last["url"]))
+    if last["created_at"] is None:
+        return store.where(F.col("created_at").isNotNull() | by_key)
+    return store.where((F.col("created_at") > at) | ((F.col("created_at") == at) & by_key))
 
 
 def delete_keys(store: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:

@@ -73,12 +73,13 @@ def fetch_results(frontier: DataFrame, candidates: DataFrame, store: DataFrame |
     }).select(*RESULT_COLUMNS)
 
 
-def batch_fetch(requests: DataFrame, results: DataFrame, batch_id: str = "batch_id", urls: str = "urls") -> DataFrame:
+def batch_fetch(requests: DataFrame, results: DataFrame, batch_id: str = "batch_id", urls: str = "urls",
+                max_urls: int | None = None) -> DataFrame:
     """Answer batches from results: input order and duplicates kept; adds ``json`` per batch.
 
-    A batch has at most twenty URLs, so regrouping collects at most twenty elements.
+    A batch is one request and one answer; those over ``max_urls``, if given, are refused whole.
     """
-    items = batch_items(requests.select(batch_id, urls), urls)
+    items = batch_items(requests.select(batch_id, urls), urls, max_urls)
     answers = results.select("request_url", batch_item_json(results).alias("_json"))
     answered = (
         items.join(answers, items["url"].eqNullSafe(answers["request_url"]), "left")
@@ -88,7 +89,7 @@ def batch_fetch(requests: DataFrame, results: DataFrame, batch_id: str = "batch_
         .select(batch_id, F.transform("_items", lambda item: item["json"]).alias("items"))
     )
     whole = (
-        requests.select(batch_id, (F.size(urls) > C.MAX_BATCH_URLS).alias("too_large"))
+        requests.select(batch_id, (F.lit(False) if max_urls is None else F.size(urls) > max_urls).alias("too_large"))
         .join(answered, batch_id, "left")
         .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     )

@@ -35,14 +35,21 @@ def build_session(app_name: str = "gleanery", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir`` or by the context; executors have to share it, so none is made up."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    return tempfile.mkdtemp(prefix="gleanery-")
+    raise ValueError("spark.checkpoint.dir names no folder for intermediate tables")
+
+
+def name_local_folder(spark: SparkSession) -> None:
+    """Where nothing names the shared folder and driver and executors are one process: a folder of its own."""
+    unset = not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir()
+    if unset and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleanery-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery import constants as C
 from gleanery.functions.text import or_empty
 from gleanery.schemas import RESPONSE
 from gleanery.session import as_column
@@ -19,18 +18,9 @@ _GZIP_MAGIC = b"\x1f\x8b"
 _DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Use every core when a scan has fewer splits than there are cores.
-
-    Only ever shuffles tables of a few splits; a large table already has enough of them and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages: ``page_id, url, html``."""
-    return spread_small_scan(spark.read.parquet(path))
+    return spark.read.parquet(path)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +34,13 @@ def status_error(status: Column | str) -> Column:
     return F.when(status != 200, F.concat(F.lit("HTTP "), status.cast("string")))
 
 
-def _decode_udf(max_bytes: int):
+def _decode_udf(max_bytes: int | None):
+    def full(parts: list[bytes]) -> bool:
+        return max_bytes is not None and sum(map(len, parts)) > max_bytes
+
+    def room(parts: list[bytes]) -> int:
+        return 0 if max_bytes is None else max_bytes + 1 - sum(map(len, parts))  # 0: as much as there is
+
     @F.arrow_udf(returnType=_DECODED)
     def decode(body: pa.Array) -> pa.Array:
         texts, errors = [], []
@@ -54,17 +50,15 @@ def _decode_udf(max_bytes: int):
             if raw is not None:
                 try:
                     if raw[:2] == _GZIP_MAGIC:
-                        parts, size = [], 0
-                        while raw and size <= max_bytes:  # a gzip body may have several members
+                        parts = []
+                        while raw:  # a gzip body may have several members
                             member = zlib.decompressobj(31)
-                            part = member.decompress(raw, max_bytes + 1 - size)
-                            if not member.eof and size + len(part) <= max_bytes:
+                            parts.append(member.decompress(raw, room(parts)))
+                            if not member.eof and not full(parts):
                                 raise zlib.error("truncated")
-                            parts.append(part)
-                            size += len(part)
-                            raw = member.unused_data
+                            raw = b"" if full(parts) else member.unused_data
                         raw = b"".join(parts)
-                    if len(raw) > max_bytes:
+                    if max_bytes is not None and len(raw) > max_bytes:
                         error = f"response body over {max_bytes} bytes"
                     else:
                         try:
@@ -83,17 +77,17 @@ def _decode_udf(max_bytes: int):
 
 
 def decode_body(df: DataFrame, body: str = "body", encoding: str | None = "content_encoding",
-                max_bytes: int = C.MAX_BODY_BYTES) -> DataFrame:
+                max_bytes: int | None = None) -> DataFrame:
     """Replace ``body`` by ``text`` and ``decode_error``.
 
-    Valid UTF-8 never leaves the JVM; only gzip and GBK bodies are handed to Python.  A body that is too large or
-    cannot be decoded keeps its row, with an error.
+    Valid UTF-8 never leaves the JVM; only gzip and GBK bodies are handed to Python.  A body that cannot
+    be decoded, or is larger than ``max_bytes`` where that is given, keeps its row, with an error.
     """
     raw = F.col(body)
     kind = F.lower(or_empty(F.col(encoding))) if encoding else F.lit("")
     is_gzip = F.coalesce(F.substring(raw, 1, 2) == F.lit(_GZIP_MAGIC), F.lit(False))
     unsupported = kind.isin("br", "deflate")
-    too_large = ~is_gzip & (F.octet_length(raw) > max_bytes)
+    too_large = F.lit(False) if max_bytes is None else ~is_gzip & (F.octet_length(raw) > max_bytes)
     plain = ~is_gzip & F.is_valid_utf8(raw.cast("string"))
     handed_over = F.when(~unsupported & ~too_large & ~plain, raw)
     rest = [c for c in df.columns if c != body]
@@ -110,9 +104,9 @@ def decode_body(df: DataFrame, body: str = "body", encoding: str | None = "conte
     )
 
 
-def responses_to_pages(responses: DataFrame) -> DataFrame:
+def responses_to_pages(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``url, html, content_type, fetched_at, error`` of each saved response; failed ones have no html."""
-    decoded = decode_body(responses.withColumn("_status_error", status_error("status")))
+    decoded = decode_body(responses.withColumn("_status_error", status_error("status")), max_bytes=max_bytes)
     error = F.coalesce(F.col("_status_error"), F.col("decode_error"))
     return decoded.select(
         "url",

@@ -1,4 +1,4 @@
-"""Call counts and rates as streams."""
+"""Call counts and rates as streams: the key of each call, to be counted by a sink that adds up micro-batches."""
 
 from __future__ import annotations
 
@@ -6,23 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery import constants as C
-from gleanery.streaming.files import WATERMARK
+from gleanery.operators.metering import call_date
 
 
-def stream_daily_calls(calls: DataFrame, ts: str = "ts", zone: str = C.METERING_ZONE,
-                       watermark: str = WATERMARK) -> DataFrame:
-    """``date, count`` per day of the zone; use update mode.  State is one counter per open day and partition."""
-    local = calls.select(F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone).alias("_local"))
-    return (
-        local.withWatermark("_local", watermark).groupBy(F.window("_local", "1 day")).agg(F.count("*").alias("count"))
-        .select(F.to_date("window.start").alias("date"), "count")
-    )
+def stream_daily_calls(calls: DataFrame, ts: str = "ts", zone: str = C.METERING_ZONE) -> DataFrame:
+    """``date`` of each call in the zone; count it with :func:`gleanery.streaming.files.count_sink`."""
+    return calls.select(call_date(ts, zone).alias("date"))
 
 
-def stream_rate(calls: DataFrame, ts: str = "ts", width: str = "1 second", watermark: str = WATERMARK) -> DataFrame:
-    """``second, calls`` per tumbling window."""
-    timed = calls.select(F.col(ts).cast("timestamp").alias("_ts"))
-    return (
-        timed.withWatermark("_ts", watermark).groupBy(F.window("_ts", width)).agg(F.count("*").alias("calls"))
-        .select(F.col("window.start").alias("second"), "calls")
-    )
+def stream_rate(calls: DataFrame, ts: str = "ts", width: str = "1 second") -> DataFrame:
+    """``second``, the start of the tumbling window each call falls into."""
+    return calls.select(F.window(F.col(ts).cast("timestamp"), width).start.alias("second"))

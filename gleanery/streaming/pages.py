@@ -6,20 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery import constants as C
-from gleanery.functions.urls import url_hash
 from gleanery.operators.extract import extract_content
 
 
-def dedup_stream(arrivals: DataFrame, url: str = "url", ts: str = "ts",
-                 ttl_days: int = C.STORE_TTL_DAYS) -> DataFrame:
-    """The first arrival of each URL; the same URL within the time to live is dropped.
+def dedup_stream(arrivals: DataFrame, url: str = "url", ts: str = "ts", ttl_days: int = C.STORE_TTL_DAYS,
+                 late: str = "1 day") -> DataFrame:
+    """``url, ts`` of the arrivals that count: each URL's first, then the first more than ``ttl_days`` after the last kept.
 
-    State is dropped by watermark, so a URL may be held back somewhat longer than the time to live, never less.
+    The state of a URL is the time of its last kept arrival.  It is dropped once the watermark is so far past it that
+    no arrival up to ``late`` behind can be a copy of it any more.  An arrival older than the last kept one is a copy.
     """
-    return (
-        arrivals.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("url_hash", url_hash(url))
-        .withWatermark(ts, f"{ttl_days} days").dropDuplicatesWithinWatermark(["url_hash", url])
-    )
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    life = ttl_days * 86_400_000_000
+
+    def keep(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        kept = []
+        for us in sorted(us for rows in batches for us in rows["us"].tolist()):
+            if last is None or us > last + life:
+                last = us
+                kept.append(us)
+        state.update((last,))
+        # Timers may not lie behind the watermark.
+        state.setTimeoutTimestamp(max((last + life) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"url": [key[0]] * len(kept), "us": kept})
+
+    timed = arrivals.select(F.col(url).alias("url"), F.col(ts).cast("timestamp").alias("ts"))
+    timed = timed.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    kept = timed.groupBy("url").applyInPandasWithState(
+        keep, "url string, us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.select("url", F.timestamp_micros("us").alias("ts"))
 
 
 def stream_extract(pages: DataFrame, **options) -> DataFrame:

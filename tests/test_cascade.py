@@ -78,8 +78,24 @@ def test_attempts(spark):
         ("ok", 1, None, "a"), ("ok", 2, "late", "b"), ("second", 1, "e1", "a"), ("second", 2, None, "b"),
         ("third", 1, "e1", "a"), ("third", 2, "e2", "b"), ("third", 3, None, "c"),
     ], "url string, attempt int, error string, html string")
-    got = {r["url"]: tuple(r)[1:] for r in K.resolve_attempts(rows, ["url"], payload=["html"]).collect()}
+    got = {r["url"]: tuple(r)[1:] for r in K.resolve_attempts(rows, ["url"], payload=["html"], max_attempts=2).collect()}
     assert got == {"ok": (True, 1, "a", None), "second": (True, 2, "b", None), "third": (False, None, None, "e2")}
+    assert K.resolve_attempts(rows, ["url"], payload=["html"]).where("url = 'third'").first()["ok_attempt"] == 3
+
+
+def test_equal_rows_are_told_apart_whatever_their_order(spark):
+    schema = "url string, mode string, content string, content_type string, selector string, metadata struct<title: string>, error string"
+    rows = [("https://n.org/1", "http", c * 200, "text/html", "article", (c,), None) for c in "abcdefg"]
+    tries = [("t", 1, None, x, y) for x, y in zip("abcd", "wxyz")]
+    for shift in range(3):
+        candidates = spark.createDataFrame(rows[shift:] + rows[:shift], schema).repartition(3)
+        best = K.weigh_candidates(candidates).first()["_best"]
+        assert best["content"][0] == best["metadata"]["title"]
+        attempts = spark.createDataFrame(tries[shift:] + tries[:shift], "k string, attempt int, error string, a string, b string")
+        kept = K.resolve_attempts(attempts.repartition(3), ["k"], payload=["a", "b"]).first()
+        assert (kept["a"], kept["b"]) in list(zip("abcd", "wxyz"))
+        first = (best["content"], kept["a"]) if not shift else first
+        assert (best["content"], kept["a"]) == first
 
 
 @pytest.fixture(scope="module")
@@ -122,7 +138,9 @@ def test_batches_keep_order_and_copies(spark, results):
     asked = ["https://n.org/2", "https://n.org/1", "ftp://n.org", "https://n.org/1"]
     requests = spark.createDataFrame([(1, asked), (2, ["https://n.org/1"] * 21), (3, [])], "batch_id int, urls array<string>")
     answers = {r["batch_id"]: json.loads(r["json"])
-               for r in batch_fetch(requests, fetch_results(frontier, candidates)).collect()}
+               for r in batch_fetch(requests, fetch_results(frontier, candidates), max_urls=20).collect()}
+    whole = {r["batch_id"]: json.loads(r["json"]) for r in batch_fetch(requests, fetch_results(frontier, candidates)).collect()}
+    assert len(whole[2]["data"]) == 21
     assert answers[2] == {"code": 400, "message": "最多支持 20 个 URL"}
     assert answers[3] == {"code": 200, "message": "success", "data": []}
     items = answers[1]["data"]

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from gleanery import constants as C
@@ -67,8 +69,23 @@ def test_deep_nesting_keeps_text():
     assert "x" in markdown(parse("<b>" * 3000 + "x"), 0)
 
 
+def test_text_below_many_closed_elements_is_kept():
+    page = "<article>" + "<div>" * 5000 + "<p>DEEP</p>" + "</div>" * 5000 + "<p>TAIL</p></article>"
+    assert markdown(parse(page), 0).split() == ["DEEP", "TAIL"]
+
+
+def test_unclosed_formatting_is_fast():
+    started = time.perf_counter()
+    parse("".join(f"<b class=c{i}>x" for i in range(4000)))
+    assert time.perf_counter() - started < 5
+
+
+def test_no_cut_unless_asked():
+    assert len(markdown(parse("<p>" + "x" * 40_000), 0)) == 40_000
+
+
 def _reader(**options):
-    defaults = dict(min_bytes=C.MIN_CONTENT_BYTES, max_bytes=C.MAX_CONTENT_BYTES, bare=True)
+    defaults = dict(min_bytes=C.MIN_CONTENT_BYTES, max_bytes=0, bare=True)
     return PageReader(C.COMMON_SELECTORS, C.WECHAT_SELECTORS, C.FALLBACK_SELECTOR, **{**defaults, **options})
 
 

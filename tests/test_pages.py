@@ -97,3 +97,18 @@ def test_a_filter_before_extraction_reaches_the_scan_and_parsing_happens_once(sp
     plan = extract_content(pages).where("selector = 'article'")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert "GreaterThan(page_id,10)" in plan
+
+
+def test_large_bodies_are_kept(spark):
+    body = b"<p>" + b"x" * (12 << 20)
+    rows = spark.createDataFrame(
+        [("plain", 200, "text/html", "", body, None), ("gzip", 200, "text/html", "gzip", gzip.compress(body), None)], RESPONSE)
+    got = decode_body(rows).select(F.length("text"), "decode_error").collect()
+    assert [tuple(r) for r in got] == [(len(body), None)] * 2
+
+
+def test_long_content_is_not_cut(spark):
+    page = "<article>" + "word " * 10_000 + "</article>"
+    rows = spark.createDataFrame([("https://a.org", page)], "url string, html string")
+    assert extract_content(rows).first()["content_length"] == 49_999
+    assert extract_content(rows, max_bytes=30_000).first()["content_length"] == 30_000

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions.html import metadata_struct
-from gleanery.operators import scan
 from gleanery.operators import store as S
 
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
@@ -68,10 +67,7 @@ def test_metadata_json(values):
     assert got[1] is None and got[2] is None and got[3] is None
 
 
-@pytest.mark.parametrize("top_k", [10_000, 0])
-def test_capacity(spark, monkeypatch, top_k):
-    """Both ways of finding the newest entries: the top-k, and the rank for large capacities."""
-    monkeypatch.setattr(scan, "_TOP_K_ROWS", top_k)
+def test_capacity(spark):
     store = S.latest_writes(_writes(spark, *[(f"u{i}", "x", (i * 37) % 101) for i in range(101)]))
     kept = _contents(S.evict_to_capacity(store, 30))
     assert set(kept) == {f"u{i}" for i in range(101) if (i * 37) % 101 < 30}
@@ -101,3 +97,25 @@ def test_stored_files_can_be_pruned_by_prefix(spark, tmp_path):
     assert set(_contents(S.read_store(spark, str(tmp_path / "fresh")))) == {f"u{i}" for i in range(10)}
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         S.write_store(store, path)
+
+
+def test_capacity_keeps_by_comparison(spark):
+    rows = [(f"{i:04d}", f"u{i}", f"c{i}", None, None if i % 10 == 0 else f"2024-01-{1 + i % 28:02d} 00:00:00") for i in range(300)]
+    store = spark.createDataFrame(rows, "url_hash string, url string, content string, m string, t string").select(
+        "url_hash", "url", "content", F.col("t").cast("timestamp").alias("created_at"))
+    order = sorted(rows, key=lambda r: (r[4] is None, [-ord(c) for c in r[4] or ""], r[0], r[1]))
+    for n in (0, 1, 100, 285, 300, 1000):
+        kept = S.evict_to_capacity(store, n)
+        assert {r["url"] for r in kept.collect()} == {r[1] for r in order[:n]}
+    assert "Exchange" not in S.evict_to_capacity(store, 100)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_folder_is_made_up(spark):
+    from gleanery.session import shared_dir
+
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("X", (), {"getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError):
+        shared_dir(Unset)

@@ -46,11 +46,16 @@ def _same(a, b):
 
 
 def test_daily_calls(stream, events):
-    _same(run_to_totals(stream_daily_calls(stream), "daily", ["date"], ["count"]), M.daily_calls(events))
+    _same(run_to_totals(stream_daily_calls(stream), "daily", ["date"], "count"), M.daily_calls(events))
+
+
+def test_late_calls_are_counted(events, tmp_path):
+    late = _files(events, str(tmp_path / "late"), ["user_id", "ts"], 5)
+    _same(run_to_totals(stream_daily_calls(late), "daily", ["date"], "count"), M.daily_calls(events))
 
 
 def test_rate(stream, events):
-    got = run_to_totals(stream_rate(stream, width="1 hour"), "rate", ["second"], ["calls"])
+    got = run_to_totals(stream_rate(stream, width="1 hour"), "rate", ["second"], "calls")
     _same(got, events.groupBy(F.date_trunc("hour", "ts").alias("second")).agg(F.count("*").alias("calls")))
 
 
