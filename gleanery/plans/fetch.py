@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -12,9 +12,11 @@ from gleanery import constants as C
 from gleanery.functions.html import metadata_struct
 from gleanery.functions.text import non_empty
 from gleanery.functions.urls import url_error
-from gleanery.operators.cascade import batch_items, failure_error, weigh_candidates
-from gleanery.operators.store import cache_lookup, cache_misses, narrow_store
+from gleanery.operators.cascade import batch_items, candidate_is_valid, failure_error, weigh_candidates
+from gleanery.operators.joins import broadcast_if_small
+from gleanery.operators.store import cache_lookup, cache_misses, narrow_store, upsert_latest
 from gleanery.schemas import METADATA
+from gleanery.session import checkpointed
 from gleanery.sources.envelope import batch_item_json, to_batch_envelope
 
 RESULT_COLUMNS = (
@@ -73,6 +75,30 @@ def fetch_results(frontier: DataFrame, candidates: DataFrame, store: DataFrame |
     }).select(*RESULT_COLUMNS)
 
 
+def fetch_saved(frontier: DataFrame, saved: Sequence[tuple[Callable[[DataFrame], DataFrame], DataFrame]], store: DataFrame,
+                as_of: datetime | Column, url: str = "url") -> tuple[DataFrame, DataFrame]:
+    """``(results, store with the new content written back)`` of a frontier, from saved pages of several methods.
+
+    ``saved`` are ``(candidates function, pages)`` in the order they are to be tried.  Only keys decide what is read:
+    URLs that are invalid or in the store leave first, pages are joined with the URLs still wanted before they are
+    parsed, and a method only sees what the ones before it left without a valid answer.
+    """
+    asked = frontier.select(F.col(url).alias("url")).distinct()
+    wanted = cache_misses(asked.where(url_error("url").isNull()), store, as_of)
+    found = None
+    for candidates_of, pages in saved:
+        wanted = checkpointed(wanted)
+        near = pages.join(broadcast_if_small(wanted), "url", "left_semi")
+        candidates = checkpointed(candidates_of(near))
+        found = candidates if found is None else found.unionByName(candidates)
+        wanted = wanted.join(candidates.where(candidate_is_valid()).select("url"), "url", "left_anti")
+    results = checkpointed(fetch_results(frontier, found, store, as_of, url))
+    moment = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
+    writes = results.where(F.col("success") & (F.col("mode") != "cached")).select(
+        F.col("request_url").alias("url"), "content", "metadata", moment.alias("created_at"))
+    return results, upsert_latest(store, writes)
+
+
 def batch_fetch(requests: DataFrame, results: DataFrame, batch_id: str = "batch_id", urls: str = "urls",
                 max_urls: int | None = None) -> DataFrame:
     """Answer batches from results: input order and duplicates kept; adds ``json`` per batch.

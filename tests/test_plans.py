@@ -113,3 +113,38 @@ def test_many_keys_are_not_broadcast(spark, monkeypatch):
     assert "ResolvedHint (strategy=broadcast)" in joins.broadcast_if_small(keys)._jdf.queryExecution().analyzed().toString()
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 100)
     assert joins.broadcast_if_small(keys) is keys
+
+
+def test_saved_pages_are_read_by_key_and_method(spark):
+    """Stored and invalid URLs are never parsed, and a later method sees only what earlier ones left."""
+    from datetime import datetime
+
+    from gleanery.functions.html import metadata_struct
+    from gleanery.functions.urls import url_hash
+    from gleanery.operators.providers import http_candidates, rendered_candidates
+    from gleanery.plans.fetch import fetch_saved
+
+    long = "<article>" + "word " * 40 + "</article>"
+    pages = spark.createDataFrame([(f"https://n.org/{i}", long if i % 2 else "short") for i in range(20)], "url string, html string")
+    rendered = spark.createDataFrame([(f"https://n.org/{i}", long) for i in range(30)], "url string, html string")
+    store = spark.createDataFrame([("https://n.org/1",), ("https://n.org/2",)], "url string").select(
+        url_hash("url").alias("url_hash"), "url", F.lit("kept").alias("content"), metadata_struct().alias("metadata"),
+        F.lit(datetime(2024, 1, 30)).alias("created_at"))
+    frontier = spark.createDataFrame([(f"https://n.org/{i}",) for i in range(12)] + [("ftp://x",)], "url string")
+    seen = {}
+
+    def watched(name, candidates_of):
+        def run(near):
+            seen[name] = {int(r["url"].rpartition("/")[2]) for r in near.select("url").collect()}
+            assert "ArrowEvalPython" not in near._jdf.queryExecution().executedPlan().toString()
+            return candidates_of(near)
+        return run
+
+    results, kept = fetch_saved(
+        frontier, [(watched("http", http_candidates), pages), (watched("rendered", rendered_candidates), rendered)],
+        store, F.lit(datetime(2024, 1, 31)))
+    assert seen == {"http": {0, *range(3, 12)}, "rendered": {0, 4, 6, 8, 10}}
+    modes = {r["request_url"]: r["mode"] for r in results.collect()}
+    assert modes["ftp://x"] == "invalid" and modes["https://n.org/1"] == "cached"
+    assert modes["https://n.org/3"] == "http" and modes["https://n.org/4"] == "stealth"
+    assert {r["url"] for r in kept.collect()} == {f"https://n.org/{i}" for i in range(12)}
