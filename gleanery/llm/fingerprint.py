@@ -2,7 +2,7 @@
 
 A text's terms are its words, weighted by how often they occur.  For every term and sample, hashes give two gamma
 variates ``r`` and ``c`` and a uniform ``beta``; a term of weight S gets ``t = floor(ln S / r + beta)`` and
-``ln a = ln c - r (t - beta) - r``.  The term of least ``a``, with its ``t``, is the sample.  Two texts agree in a
+``ln a = ln c - r (t - beta + 1)``.  The term of least ``a``, with its ``t``, is the sample.  Two texts agree in a
 sample with the probability of their generalised Jaccard similarity.
 """
 
@@ -44,8 +44,8 @@ def _gamma_levels() -> list[float]:
 def _samples(term: Column, weight: Column) -> list[Column]:
     """For each sample one long, the less the better: ``ln a`` above, 32 bits of the term and its ``t`` below."""
     levels = _gamma_levels()
-    # One literal each, shared by all samples.
-    gamma, log_gamma = F.lit(np.array(levels)), F.lit(np.log(levels))
+    # One literal each, shared by all samples; few digits, because every plan's text repeats them.
+    gamma, log_gamma = F.lit(np.round(levels, 4)), F.lit(np.round(np.log(levels), 4))
     log_weight = F.ln(weight)
     made = []
     for k in range(SAMPLES):
@@ -54,7 +54,7 @@ def _samples(term: Column, weight: Column) -> list[Column]:
         r, log_c = gamma[level(0)], log_gamma[level(12)]
         beta = F.shiftrightunsigned(bits, 24).bitwiseAND(F.lit((1 << 40) - 1)).cast("double") / float(1 << 40)
         t = F.floor(log_weight / r + beta)
-        log_a = log_c - r * (t - beta) - r
+        log_a = log_c - r * (t - beta + 1.0)
         sample = term.bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(F.lit(0xFFFFFFFF))
         made.append(F.shiftleft(((log_a + 64.0) * float(1 << 23)).cast("long"), 32).bitwiseOR(sample))
     return made
