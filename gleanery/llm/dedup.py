@@ -196,12 +196,14 @@ def near_duplicates(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)
     """
     signed = signatures(documents, keep).withColumn("row", F.monotonically_increasing_id())
     signed = stored(signed, "dart-signatures")
-    groups = signed.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
+    # Tables of one row per key are stored before they are joined: both sides of the join are then plain exchanges, of
+    # which adaptive execution splits the hot keys.
+    groups = stored(signed.groupBy("digest").agg(F.min("row").alias("node")), "dart-groups")
     rows = signed.select(*keep, "row", "digest").join(groups, "digest").select(*keep, "row", "node")
     rows = stored(rows, "dart-rows")
     nodes = signed.join(rows.select("node").where("row = node"), F.col("row") == F.col("node"))
     members = stored(nodes.select("node", F.explode("bands").alias("key")), "dart-members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "dart-sizes")
     members = stored(members.join(sizes, "key"), "dart-members")
     dense = members.groupBy("node").agg(F.sum("n").alias("dense"))
     members = members.join(dense, "node").select("key", "node", "dense", F.lit(False).alias("covered"))
@@ -214,7 +216,7 @@ def near_duplicates(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)
     for _ in range(ROUNDS):
         order = F.struct("dense", F.xxhash64("node"), "node")
         leaders = members.where(~F.col("covered")).groupBy("key").agg(F.max(order)["node"].alias("leader"))
-        active = stored(members.join(leaders, "key"), "dart-active")  # keys whose texts are all covered are done
+        active = stored(members.join(stored(leaders, "dart-leaders"), "key"), "dart-active")  # keys whose texts are all covered are done
         pairs = active.where(F.col("node") != F.col("leader")).select(
             F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "dart-pairs")
@@ -230,7 +232,8 @@ def near_duplicates(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)
             break
     rows = rows.join(classes_of(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("at")))
-    heads = rows.groupBy("root").agg(first.alias("first"))
+    rows = stored(rows, "dart-roots")
+    heads = stored(rows.groupBy("root").agg(first.alias("first")), "dart-heads")
     return rows.join(heads, "root").select(
         *keep, "row", F.col("first.id").alias("class_id"), (F.col("row") == F.col("first.at")).alias("kept"))
 
