@@ -86,7 +86,8 @@ def repeated_spans(documents: DataFrame, fewest_words: int = FEWEST_WORDS) -> Da
     shared = chunks.groupBy("high", "low").agg(
         F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("doc_id").alias("first_doc_id"),
         F.count("*").alias("n_holders")).where("first_row < last_row").drop("last_row")
-    found = chunks.join(shared, ["high", "low"])
+    # Stored, so that both sides of the join are plain exchanges, whose hot digests adaptive execution can split.
+    found = chunks.join(stored(shared, "gear-shared"), ["high", "low"])
     of_text = Window.partitionBy("row").orderBy("n")  # one text's chunks
     found = found.withColumn("island", F.col("n") - F.row_number().over(of_text))
     spans = found.groupBy("row", "island").agg(
