@@ -47,6 +47,10 @@ class Kept(dict):
             self.put(key, value)
         return value
 
+    def rest(self) -> None:
+        """Drop the older generation."""
+        self.older = {}
+
     def put(self, key, value) -> None:
         if len(self) >= self.size:
             self.older = dict(self)
@@ -72,6 +76,11 @@ class ChunkEncoder:
         hidden = [b for b in range(256) if b not in seen]
         self.written = {b: b for b in seen} | {b: 256 + k for k, b in enumerate(hidden)}
 
+    def rest(self) -> None:
+        """At the end of a task: a worker process lives on and may next do something else."""
+        for kept in (self.chunks, self.words, self.pieces):
+            kept.rest()
+
     def _library(self, text: str) -> tuple[list[int], list[str]]:
         encoded = self.tokenizer.encode(text, add_special_tokens=False)
         return encoded.ids, encoded.tokens
@@ -184,6 +193,7 @@ def encode_documents(documents: DataFrame, path: str, keep: tuple[str, ...] = ("
                     "n_tokens": pa.array([len(m[0]) // 4 for m in made], pa.int64()),
                     "ids": pa.array([m[0] for m in made], pa.binary()),
                     "decoded": pa.array([m[1] for m in made], pa.string())})
+        encoder.rest()
 
     schema = T.StructType([*rows.drop("__text").schema.fields, *T._parse_datatype_string(SCHEMA).fields])
     return rows.mapInArrow(encode, schema)

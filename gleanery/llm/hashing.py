@@ -78,6 +78,8 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, Texts]]:
         stop = min(stop, len(column))
         yield row, stop, Texts(data[ends[row]:ends[stop]], ends[row:stop + 1] - ends[row])
         row = stop
+    # A worker process outlives its task: what a batch needed goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
