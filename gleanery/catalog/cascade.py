@@ -166,6 +166,19 @@ def fetch_results(spark, folder):
         "request_url", "url", "mode", "content", "content_length", "selector_matched", "success", "error")
 
 
+def _answered(spark, folder, max_urls: int | None = None) -> DataFrame:
+    requests = table(spark, folder, "documents").groupBy(F.expr("CAST(doc_id DIV 25 AS BIGINT)").alias("batch_id")).agg(
+        F.sort_array(F.collect_list(F.struct("doc_id", F.expr(_ASKED).alias("url")))).alias("rows")
+    ).select("batch_id", F.transform("rows", lambda r: r["url"]).alias("urls"))
+    answers = answer_batches(requests, _results(spark, folder), max_urls=max_urls)
+    item = "url STRING, success BOOLEAN, error STRING, content_length BIGINT"
+    parsed = answers.select("batch_id", F.from_json("json", f"code INT, message STRING, data ARRAY<STRUCT<{item}>>").alias("a"))
+    return parsed.select("batch_id", "a.code", "a.message", F.posexplode_outer("a.data").alias("pos", "item")).select(
+        "batch_id", "pos", "item.url", "item.success",
+        F.coalesce("item.error", F.when(F.col("code") == 400, F.col("message"))).alias("error"), "item.content_length",
+    )
+
+
 @query("batch_fetch", f"""
     {_RESULTS_SQL},
     items AS (SELECT doc_id // 25 AS batch_id, doc_id, doc_id % 25 AS pos FROM documents)
@@ -177,13 +190,14 @@ def fetch_results(spark, folder):
     SELECT batch_id, NULL, NULL, NULL, '最多支持 20 个 URL', NULL FROM items GROUP BY batch_id HAVING count(*) > 20""")
 def batch_fetch(spark, folder):
     """Requests of up to 25 URLs (over 20 are refused), read back from the JSON answers."""
-    requests = table(spark, folder, "documents").groupBy(F.expr("CAST(doc_id DIV 25 AS BIGINT)").alias("batch_id")).agg(
-        F.sort_array(F.collect_list(F.struct("doc_id", F.expr(_ASKED).alias("url")))).alias("rows")
-    ).select("batch_id", F.transform("rows", lambda r: r["url"]).alias("urls"))
-    answers = answer_batches(requests, _results(spark, folder), max_urls=C.MAX_BATCH_URLS)
-    item = "url STRING, success BOOLEAN, error STRING, content_length BIGINT"
-    parsed = answers.select("batch_id", F.from_json("json", f"code INT, message STRING, data ARRAY<STRUCT<{item}>>").alias("a"))
-    return parsed.select("batch_id", "a.code", "a.message", F.posexplode_outer("a.data").alias("pos", "item")).select(
-        "batch_id", "pos", "item.url", "item.success",
-        F.coalesce("item.error", F.when(F.col("code") == 400, F.col("message"))).alias("error"), "item.content_length",
-    )
+    return _answered(spark, folder, C.MAX_BATCH_URLS)
+
+
+@query("batch_fetch_whole", f"""
+    {_RESULTS_SQL}
+    SELECT doc_id // 25 AS batch_id, CAST(doc_id % 25 AS INTEGER) AS pos, url, error IS NULL AS success, error,
+           CASE WHEN error IS NULL THEN strlen(content) END AS content_length
+    FROM results""")
+def batch_fetch_whole(spark, folder):
+    """The same requests without a limit: one answer for every document."""
+    return _answered(spark, folder)

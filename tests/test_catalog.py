@@ -35,6 +35,13 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     assert got == _rows([d[0] for d in result.description], result.fetchall())
 
 
+def test_whole_batches_answer_every_document(spark):
+    asked = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    answers = QUERIES["batch_fetch_whole"](spark, DATA).collect()
+    assert len(answers) == asked and all(r.url for r in answers)
+    assert 0 < sum(r.success for r in answers) < asked
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) <= set(SQL) and set(QUERIES) <= set(entry.queries())
 
