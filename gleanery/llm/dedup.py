@@ -28,6 +28,7 @@ SIMILARITY = 0.8
 BANDS = 18
 BAND_ROWS = 4
 COORDINATES = BANDS * BAND_ROWS
+# Rounds of leaders before the pairs that are still apart are compared one by one.
 ROUNDS = 8
 
 
@@ -172,6 +173,20 @@ def classes_of(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more links, of which only classes, not their nodes, are gone through again."""
+    for end in ("a", "b"):
+        was = roots.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}"))
+        links = links.join(was, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    joined = links.where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    joined = stored(classes_of(joined).select(F.col("node").alias("was"), F.col("root").alias("now")), "dart-merged")
+    # A text without an earlier link was a class of its own.
+    alone = joined.join(roots, joined["was"] == roots["node"], "left_anti").select("was", "was")
+    all_roots = roots.select("node", "root").unionByName(alone.toDF("node", "root"))
+    return all_roots.join(broadcast_if_small(joined), F.col("root") == F.col("was"), "left").select(
+        "node", F.coalesce("now", "root").alias("root"))
+
+
 def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
     """The ``(a, b)`` whose weighted similarity reaches the threshold, compared by all their shingles."""
     named = elements.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
@@ -183,14 +198,43 @@ def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataF
     return both.where(alike >= similarity).select("a", "b")
 
 
+def _across(everyone: DataFrame, roots: DataFrame, nodes: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
+    """The untested pairs ``(a, b)`` of one key but of two classes.
+
+    Per key, the texts outside its largest class are paired with those of all other classes.  A pair is made in the
+    first key that both texts share only, and only if the shorter text has enough shingles for the threshold.
+    """
+    # A key of two texts has been compared whole by its first leader.
+    placed = everyone.where("n > 2").join(roots.select("node", "root"), "node", "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root"))
+    placed = stored(placed, "dart-placed")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    open_keys = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts"))
+    open_keys = stored(open_keys.where("parts > 1").drop("parts"), "dart-open")
+    placed = placed.join(broadcast_if_small(open_keys), "key")
+    facts = nodes.select("node", "bands", F.size("shingles").alias("size"))
+    wanted = stored(placed.select("node").distinct(), "dart-wanted")
+    facts = stored(facts.join(broadcast_if_small(wanted), "node"), "dart-facts")
+    placed = stored(placed.join(facts, "node"), "dart-placed")
+    one, two = placed.where("root <> main").alias("one"), placed.alias("two")
+    once = (F.col("two.root") == F.col("two.main")) | (F.col("one.node") < F.col("two.node"))
+    sizes = F.least("one.size", "two.size") >= F.greatest("one.size", "two.size") * similarity
+    first = F.array_min(F.array_intersect("one.bands", "two.bands")) == F.col("one.key")
+    both = (F.col("one.key") == F.col("two.key")) & (F.col("one.root") != F.col("two.root")) & once & sizes & first
+    pairs = one.join(two, both).select(
+        F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
+    return pairs.join(tested, ["a", "b"], "left_anti")
+
+
 def near_duplicates(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), similarity: float = SIMILARITY) -> DataFrame:
     """One row per row: the columns ``keep`` and ``row, class_id, kept``.
 
     Classes are the connected parts of all links of weighted similarity ``similarity`` or more; ``class_id`` is the
     least ``doc_id`` of a class, and the row that has it is ``kept``.  Copies are reduced to one node first.  Then each
     band key elects the text with the most neighbours as its leader, to which the key's other texts are compared; texts
-    unlike every leader so far elect the next, up to ROUNDS, so a key of m texts costs m comparisons in each round,
-    never m².  A link is missed where, in all keys two texts share, neither became a leader (README: measured).
+    unlike every leader so far elect the next, up to ROUNDS, so a key of m texts costs m comparisons in each round.
+    What the leaders left apart is compared across classes (``_across``), so of any two texts that share a key either
+    both are in one class or they have been compared.
     Null texts and texts without words are copies of one another; a null ``doc_id`` comes last in its class; repeated
     rows are copies; an empty table gives an empty one.
     """
@@ -206,8 +250,8 @@ def near_duplicates(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)
     sizes = stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "dart-sizes")
     members = stored(members.join(sizes, "key"), "dart-members")
     dense = members.groupBy("node").agg(F.sum("n").alias("dense"))
-    members = members.join(dense, "node").select("key", "node", "dense", F.lit(False).alias("covered"))
-    members = stored(members, "dart-members")
+    members = members.join(dense, "node").select("key", "node", "n", "dense", F.lit(False).alias("covered"))
+    members = everyone = stored(members, "dart-members")
     involved = dense.select("node")
     elements = signed.select(F.col("row").alias("node"), "shingles").join(broadcast_if_small(involved), "node", "left_semi")
     elements = stored(elements, "dart-elements")
@@ -230,7 +274,12 @@ def near_duplicates(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)
             "key", "node", "dense", covered.alias("covered")), "dart-members")
         if not members.where(~F.col("covered")).limit(1).count():
             break
-    rows = rows.join(classes_of(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = classes_of(links)
+    rest = stored(_across(everyone, roots, nodes, tested, similarity), "dart-pairs")
+    more = stored(_verified(rest, elements, similarity), "dart-links")
+    if more.limit(1).count():
+        roots = _merged(roots, more)
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("at")))
     rows = stored(rows, "dart-roots")
     heads = stored(rows.groupBy("root").agg(first.alias("first")), "dart-heads")

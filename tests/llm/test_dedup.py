@@ -69,6 +69,20 @@ def test_a_large_group_of_copies_of_one_text(documents):
     assert {r.class_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_texts_that_never_led_are_compared_too(documents, monkeypatch):
+    """Edits of one text that are like each other but unlike the leaders of their keys, found after a single round."""
+    monkeypatch.setattr(dedup, "ROUNDS", 1)
+    draw = random.Random(12)
+    base = " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(200))
+    texts = [edited(draw, base, 2) for _ in range(40)]
+    for _ in range(15):
+        texts.append(edited(draw, base, 7))
+        texts += [edited(draw, texts[-1], 1), edited(draw, texts[-1], 3)]
+    draw.shuffle(texts)
+    got = {r.doc_id: r.class_id for r in dedup.near_duplicates(documents(*texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes(texts)
+
+
 def test_odd_rows(documents, spark):
     long = " ".join(f"w{i}" for i in range(150_000))
     rows = documents((None, long, None, None, None), (3, long + " end", "en", "s", 1), (3, long + " end", "en", "s", 1),
