@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame and Spark ML only.
 
-A candidate is a run of at least 16 key-like characters with a digit.  The forest sees its length, the transitions
+A candidate is a run of at least 16 key-like characters with a digit, or whatever is assigned to a secret's name: a
+quoted value, or all up to white space, of any length.  The forest sees its length, the transitions
 between its kinds of characters, how much of it common words cover, the path around it and its neighbouring words, and is
 trained on labelled findings.  Where no labels are given, findings that formats and assignments settle beyond doubt
 label themselves (a key format or an assignment to a secret's name; a plain number, address, path or placeholder); the
@@ -19,12 +20,21 @@ from gleanery.llm.registry import query, table
 from gleanery.llm.text import SPACE, stored
 from gleanery.operators.joins import broadcast_if_small
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_.@-])(?=AKIA|[A-Za-z+/_.@-]*[0-9])[A-Za-z0-9+/_.@-]{16,}={0,2}"
 NAMES = r"(?i)(pass(word|wd|phrase)?|secret|token|credential|auth|bearer|api[_-]?key|access[_-]?key|private[_-]?key)"
+RUN = r"(?<![A-Za-z0-9+/_.@-])(?=AKIA|[A-Za-z+/_.@-]*[0-9])[A-Za-z0-9+/_.@-]{16,}={0,2}"
+# The first two conditions are cheap and leave few places for the third.
+AFTER_NAME = (r"(?<=[:=\s\"'])(?<=[:=][\s\"']{0,33})(?<=(?i:" + NAMES.removeprefix("(?i)")
+              + r")[\"']?\s{0,32}[:=]{1,4}\s{0,32}[\"']?)")
+VALUE = r"(?:(?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|[^\s\"']\S*?(?=[,;\"']*(?:\s|\z)))"
+CANDIDATE = f"{AFTER_NAME}{VALUE}|{RUN}"
 PLACEHOLDERS = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0123456789|1234567890)"
 ASSIGNED = NAMES + r"[\"']?\s*[:=]+\s*[\"']?\z"
 KEY_FORMAT = r"^(AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})$"
 NOT_SECRET = r"^[0-9.+_-]+$|@|/.*/|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+# After an assignment slashes and at signs prove nothing, but for a path from its root and an address.
+NOT_ASSIGNED = r"^[0-9.+_-]+$|^[.~]{0,2}/|^[^@]+@[^@]+\.[A-Za-z]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+# A short word after white space may be prose: no label, or 0 if it is made of dictionary words.
+PLAIN_WORD = r"^[A-Za-z]?[a-z]{0,10}[.!?]?$"
 BEFORE_CHARS, AFTER_CHARS = 48, 24
 # The dictionary: the most frequent words of the corpus with so many letters.
 DICTIONARY_WORDS = 400
@@ -54,10 +64,10 @@ def candidates(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     rows = rows.where(F.col("__text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumns({
         "values": F.regexp_extract_all("__text", F.lit(CANDIDATE), F.lit(0)), "between": F.split("__text", CANDIDATE)})
-    found = rows.select(*keep, "row", "__source", "between", F.posexplode("values").alias("n", "value"))
+    found = rows.select(*keep, "row", "__source", "between", "values", F.posexplode("values").alias("n", "value"))
     piece = F.get("between", F.col("n"))
     found = found.select(
-        *keep, "row", "n", "value", F.length(piece).cast("long").alias("gap"), F.expr(f"right(get(between, n), {BEFORE_CHARS})").alias("before"),
+        *keep, "row", "n", "value", F.length(piece).cast("long").alias("gap"), F.expr(f"right(concat(coalesce(get(values, n - 1), ''), get(between, n)), {BEFORE_CHARS})").alias("before"),
         F.expr(f"left(get(between, n + 1), {AFTER_CHARS})").alias("after"), F.coalesce("__source", F.lit("")).alias("source_name"))
     found = stored(found, "secret-candidates")  # rows keep their numbers
     so_far = Window.partitionBy("row").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # one text's candidates
@@ -91,9 +101,14 @@ def features(found: DataFrame, common: list[str]) -> DataFrame:
 
 def evident_label(value: Column, before: Column) -> Column:
     """1 or 0 where format and assignment leave no doubt, else null."""
-    fake = value.rlike(PLACEHOLDERS)
-    positive = (value.rlike(KEY_FORMAT) | (before.rlike(ASSIGNED) & ~value.rlike(NOT_SECRET))) & ~fake
-    return F.when(positive, 1.0).when(value.rlike(NOT_SECRET) | fake, 0.0)
+    fake, assigned = value.rlike(PLACEHOLDERS), before.rlike(ASSIGNED)
+    known = assigned & ~value.rlike(NOT_ASSIGNED) & ~_may_be_prose(value, before)
+    negative = F.when(assigned, value.rlike(r"^[0-9.+_-]+$")).otherwise(value.rlike(NOT_SECRET))
+    return F.when((value.rlike(KEY_FORMAT) | known) & ~fake, 1.0).when(negative | fake, 0.0)
+
+
+def _may_be_prose(value: Column, before: Column) -> Column:
+    return value.rlike(PLAIN_WORD) & before.rlike(r"\s\z")
 
 
 def train_forest(labelled: DataFrame, seed: int = 7):
@@ -121,7 +136,9 @@ def scan_secrets(
     common = dictionary(documents)
     found = stored(features(candidates(documents, keep), common), "secret-findings")
     if labelled is None:
-        known = found.withColumn("label", evident_label(F.col("value"), F.col("before"))).where("label IS NOT NULL")
+        value, before = F.col("value"), F.col("before")
+        word = F.when(_may_be_prose(value, before) & (F.col("covered") >= 1), 0.0)
+        known = found.withColumn("label", F.coalesce(evident_label(value, before), word)).where("label IS NOT NULL")
     else:
         known = features(labelled, common)
     forest = train_forest(known)
@@ -137,12 +154,18 @@ def redact(documents: DataFrame) -> DataFrame:
     """``documents`` with every secret replaced by REDACTED, ``n_chars`` counted anew where it exists."""
     marked = documents.withColumn("__key", F.xxhash64("text"))
     found = scan_secrets(marked, keep=("doc_id", "__key")).where("is_secret")
-    # Longer secrets first: one may be part of another.
+    # Every secret goes at its place, from the last to the first; runs go wherever else the text has them too, longer
+    # ones first: one may be part of another.
+    run = F.when(F.col("value").rlike(f"^(?:{RUN})$"), F.struct(F.length("value").alias("n"), F.col("value").alias("v")))
     secrets = found.groupBy(F.col("doc_id").alias("__id"), F.col("__key").alias("__found")).agg(
-        F.reverse(F.array_sort(F.transform(F.collect_set("value"), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))).alias("__secrets"))
+        F.reverse(F.array_sort(F.collect_set(F.struct("start", F.length("value").alias("n"))))).alias("__places"),
+        F.reverse(F.array_sort(F.collect_set(run))).alias("__secrets"))
     secrets = broadcast_if_small(stored(secrets, "secrets"))
     both = marked.join(secrets, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__found")), "left")
-    text = F.aggregate("__secrets", F.col("text"), lambda t, s: F.replace(t, s["v"], F.lit(REDACTED)))
+    text = F.aggregate("__places", F.col("text"), lambda t, p: F.concat(
+        F.substr(t, F.lit(1), p["start"].cast("int")), F.lit(REDACTED),
+        F.substr(t, (p["start"] + p["n"] + 1).cast("int"), F.length(t))))
+    text = F.aggregate("__secrets", text, lambda t, s: F.replace(t, s["v"], F.lit(REDACTED)))
     both = both.withColumn("text", F.when(F.col("__secrets").isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType

@@ -57,6 +57,21 @@ def test_redaction_changes_secrets_only(documents, planted):
         assert r.text == expected and r.n_chars == len(expected)
 
 
+def test_assigned_values_of_any_kind_are_secrets(documents, planted):
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzkQ5vTq8Ls"
+    short = {
+        'password = "hunter2!Xy" end': "hunter2!Xy", "password=correcthorsebattery end": "correcthorsebattery",
+        "DB_PASS=S3cr3t!pass#word$2024 end": "S3cr3t!pass#word$2024",
+        'api_key = "abcdEFGHijklMNOPqrstUVWXyzab" end': "abcdEFGHijklMNOPqrstUVWXyzab", "token: 9f8e7d6c5b4a": "9f8e7d6c5b4a",
+        f"aws_secret_access_key = {aws}, end": aws, "db2.production.password=Xy7 Xy7": "Xy7"}
+    texts = [*short, *planted[0]]
+    rows = documents(*texts)
+    got = {(r.doc_id, r.value) for r in secrets.scan_secrets(rows).collect() if r.is_secret}
+    assert {(i, v) for i, v in enumerate(short.values())} <= got
+    left = {r.doc_id: r.text for r in secrets.redact(rows).collect()}
+    assert [left[i] for i in range(len(short))] == [t.replace(v, "[SECRET]", 1) for t, v in short.items()]
+
+
 def test_odd_rows(documents, planted):
     texts, _ = planted
     secret = texts[2]
