@@ -72,6 +72,18 @@ def test_passages_are_found_in_all_their_texts(documents):
     assert all(any(r.doc_id == i and r.first for r in got) for i in {r.first_doc_id for r in got})
 
 
+def test_passages_of_51_words_are_found_up_to_their_ends(documents):
+    draw = random.Random(3)
+    english = lambda words: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7))) for _ in range(words))
+    passages = [english(51) for _ in range(120)]
+    texts = [f"{english(draw.randint(0, 60))} {p} {english(draw.randint(0, 60))}" for p in passages for _ in range(2)]
+    got = {}
+    for r in chunks.repeated_spans(documents(*texts)).collect():
+        got.setdefault(r.doc_id, []).append(texts[r.doc_id][r.start:r.start + r.n_chars])
+        assert r.n_words == len(got[r.doc_id][-1].split())
+    assert all(any(passages[i // 2] in span for span in got.get(i, [])) for i in range(len(texts)))
+
+
 def test_odd_rows(documents):
     draw = random.Random(9)
     long = prose(draw, 100_000)
