@@ -36,4 +36,5 @@ def sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from gleanery.llm import bpe, chat, chunks, dedup, fingerprint, lm, mixing, quality, secrets, toxicity  # noqa: F401
+    from gleanery.llm import (  # noqa: F401
+        bpe, chat, chunks, dedup, fingerprint, lm, mixing, periods, quality, secrets, toxicity)
