@@ -37,4 +37,4 @@ def sql() -> dict[str, str]:
 
 def _load() -> None:
     from gleanery.llm import (  # noqa: F401
-        bpe, chat, chunks, dedup, fingerprint, lm, mixing, periods, quality, secrets, toxicity)
+        bpe, chat, chunks, dedup, fingerprint, lm, mixing, negatives, periods, quality, secrets, sharding, toxicity)
