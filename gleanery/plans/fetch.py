@@ -93,10 +93,15 @@ def fetch_saved(frontier: DataFrame, saved: Sequence[tuple[Callable[[DataFrame],
         found = candidates if found is None else found.unionByName(candidates)
         wanted = wanted.join(candidates.where(candidate_is_valid()).select("url"), "url", "left_anti")
     results = checkpointed(fetch_results(frontier, found, store, as_of, url))
+    return results, write_back(results, store, as_of)
+
+
+def write_back(results: DataFrame, store: DataFrame, as_of: datetime | Column) -> DataFrame:
+    """The store with the results that were not taken from it."""
     moment = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
     writes = results.where(F.col("success") & (F.col("mode") != "cached")).select(
         F.col("request_url").alias("url"), "content", "metadata", moment.alias("created_at"))
-    return results, upsert_latest(store, writes)
+    return upsert_latest(store, writes)
 
 
 def batch_fetch(requests: DataFrame, results: DataFrame, batch_id: str = "batch_id", urls: str = "urls",
