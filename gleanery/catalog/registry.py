@@ -44,4 +44,5 @@ def sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from gleanery.catalog import cascade, pages, providers, schedule, staged, store, streams, texts, urls  # noqa: F401
+    from gleanery.catalog import (  # noqa: F401
+        arrivals, cascade, pages, providers, schedule, staged, store, streams, texts, urls)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.catalog.registry import query, table
 from gleanery.catalog.urls import HOST_OF_URL, HOST_URL
 from gleanery.functions.urls import url_domain
+from gleanery.operators import joint as J
 from gleanery.operators import metering as M
 from gleanery.operators import schedule as R
 
@@ -81,6 +82,32 @@ def global_schedule(spark, folder):
         "event_id", "global_us")
 
 
+def _joint_sql(rows: str, key: str, per_second: int, out: str) -> str:
+    """SQL side: request by request, with all starts so far in a list and the place of the host's last one known."""
+    return f"""
+    WITH RECURSIVE {rows},
+    placed AS (SELECT *, row_number() OVER (ORDER BY us, id) AS i FROM asked),
+    linked AS (SELECT *, lag(i) OVER (PARTITION BY {key} ORDER BY i) AS p FROM placed),
+    walk AS (
+        SELECT i, [us] AS starts FROM linked WHERE i = 1
+        UNION ALL
+        SELECT l.i, list_append(w.starts, greatest(l.us, coalesce(w.starts[l.p] + l.delay_us, l.us),
+            CASE WHEN l.i > {per_second} THEN w.starts[l.i - {per_second}] + 1010000 ELSE l.us END))
+        FROM walk w JOIN linked l ON l.i = w.i + 1),
+    starts AS (SELECT unnest(starts) AS start_us, generate_subscripts(starts, 1) AS i
+               FROM (SELECT starts FROM walk ORDER BY i DESC LIMIT 1))
+    SELECT {out}, start_us FROM starts s JOIN linked l ON s.i = l.i"""
+
+
+@query("joint_schedule", _joint_sql(
+    f"{_FRONTIER_SQL}, asked AS (SELECT page_id AS id, domain, arrival_us AS us, delay_us FROM frontier)", "domain", 5,
+    "id AS page_id, domain"))
+def joint_schedule(spark, folder):
+    """Both spacings at once: between the requests to one host and between all."""
+    rows = _frontier(spark, folder).select("page_id", "domain", "arrival_us", "delay_us")
+    return J.joint_schedule(rows, "domain", "arrival_us", "page_id", "delay_us").rows.select("page_id", "domain", "start_us")
+
+
 @query("trailing_rate", """
     SELECT event_id, count(*) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS calls
     FROM events""")
