@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.catalog.registry import query, table
 from gleanery.functions.html import metadata_struct
+from gleanery.operators import buckets as B
 from gleanery.operators import store as S
+from gleanery.operators import versions as V
 from gleanery.session import scratch_path
 
 AS_OF = "2024-01-31 00:00:00"
@@ -147,3 +152,59 @@ def store_round_trip(spark, folder):
     path = scratch_path(spark, "store")
     S.write_store(_store(spark, folder), path)
     return _flat(S.read_store(spark, path))
+
+
+_CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00", "9999-01-01 00:00:00")
+
+
+@query("store_versions", f"""
+    WITH {_WRITES_SQL}, cuts AS (SELECT v, cut FROM (VALUES
+        (0, TIMESTAMP '{_CUTS[0]}'), (1, TIMESTAMP '{_CUTS[1]}'), (2, TIMESTAMP '{_CUTS[2]}')) c(v, cut))
+    SELECT v AS version, url, content, title, epoch_us(created_at) AS created_us
+    FROM writes JOIN cuts ON created_at < cut WHERE content <> ''
+    QUALIFY row_number() OVER (PARTITION BY v, url ORDER BY created_at DESC) = 1""")
+def store_versions(spark, folder):
+    """A store written whole and two upserts; every version is read as it was."""
+    root = scratch_path(spark, "versions")
+    parts = [_writes(spark, folder, f"ts >= TIMESTAMP_NTZ '{low}' AND ts < TIMESTAMP_NTZ '{high}'")
+             for low, high in zip(("0001-01-01 00:00:00", *_CUTS), _CUTS)]
+    V.write_whole(S.latest_writes(parts[0]), root, target_bytes=4 << 10)
+    for part in parts[1:]:
+        V.upsert_version(spark, root, part)
+    read = [_flat(V.read_version(spark, root, v)).select(F.lit(v).alias("version"), "url", "content", "title", "created_us")
+            for v in range(3)]
+    return reduce(DataFrame.unionByName, read)
+
+
+@query("store_versions_expired", f"""
+    WITH {_WRITES_SQL} SELECT {_FLAT} FROM ({_LATEST_SQL}) WHERE {_FRESH} AND url NOT IN (
+        SELECT {_URL} FROM events WHERE event_type = 'error' AND value > 60)""")
+def store_versions_expired(spark, folder):
+    """Entries deleted, then the expired ones, prefix by prefix."""
+    root = scratch_path(spark, "versions")
+    V.write_whole(_store(spark, folder), root, target_bytes=4 << 10)
+    doomed = table(spark, folder, "events").where("event_type = 'error' AND value > 60").select(F.expr(_URL).alias("url"))
+    V.delete_version(spark, root, doomed)
+    V.expire_version(spark, root, _as_of())
+    return _flat(V.read_version(spark, root))
+
+
+def _bucketed(spark, folder) -> DataFrame:
+    name = f"gleanery_store_{uuid.uuid4().hex}"
+    return B.write_bucketed(_store(spark, folder), name, scratch_path(spark, "bucketed"), buckets=8)
+
+
+@query("cache_lookup_bucketed", f"""
+    WITH {_WRITES_SQL}, {_FRONTIER_SQL}, store AS ({_LATEST_SQL})
+    SELECT event_id, f.url, s.url IS NOT NULL AS hit, content, title
+    FROM frontier f LEFT JOIN (SELECT * FROM store WHERE {_FRESH}) s ON f.url = s.url""")
+def cache_lookup_bucketed(spark, folder):
+    found = B.lookup_bucketed(_frontier(spark, folder), _bucketed(spark, folder), _as_of())
+    return found.select("event_id", "url", "hit", "content", F.col("metadata.title").alias("title"))
+
+
+@query("cache_misses_bucketed", f"""
+    WITH {_WRITES_SQL}, {_FRONTIER_SQL}, store AS ({_LATEST_SQL})
+    SELECT event_id, url FROM frontier WHERE url NOT IN (SELECT url FROM store WHERE {_FRESH})""")
+def cache_misses_bucketed(spark, folder):
+    return B.misses_bucketed(_frontier(spark, folder), _bucketed(spark, folder), _as_of())
