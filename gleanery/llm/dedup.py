@@ -28,8 +28,12 @@ SIMILARITY = 0.8
 BANDS = 18
 BAND_ROWS = 4
 COORDINATES = BANDS * BAND_ROWS
-# Rounds of leaders before the pairs that are still apart are compared one by one.
+# Rounds of leaders before the texts that are still apart are compared one by one.
 ROUNDS = 8
+# Shingles of a tile in which they are, about: of texts outside the largest class of a key, and of any; and of one step.
+TILE_OUTSIDE = 1 << 20
+TILE_TEXTS = 1 << 21
+TILE_STEP = 1 << 20
 
 
 def _chain(parts: list[np.ndarray], seed: int) -> np.ndarray:
@@ -198,11 +202,60 @@ def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataF
     return both.where(alike >= similarity).select("a", "b")
 
 
-def _across(everyone: DataFrame, roots: DataFrame, nodes: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
-    """The untested pairs ``(a, b)`` of one key but of two classes.
-
-    Per key, the texts outside its largest class are paired with those of all other classes.  A pair is made in the
-    first key that both texts share only, and only if the shorter text has enough shingles for the threshold.
+def _link_tile(similarity: float):
+    """Links between the outside texts and the others of one tile of a key, by all their shingles."""
+    def link(outside: pa.Table, others: pa.Table) -> pa.Table:
+        links = []
+        if len(outside) and len(others):
+            key = outside.column("key")[0].as_py()
+            node, root = others.column("node").to_numpy(), others.column("root").to_numpy()
+            bands, sizes, shingles = _facts(others)
+            ends = np.cumsum(sizes)
+            own_bands, own_sizes, own_shingles = _facts(outside)
+            own_ends = np.cumsum(own_sizes)
+            nodes, roots, mains = (outside.column(c).to_numpy() for c in ("node", "root", "main"))
+            for i in range(len(outside)):
+                # In the first key that both share only; two outside texts meet once.
+                same = bands == own_bands[i]
+                first = same.argmax(1)
+                fit = (own_bands[i][first] == key) & (root != roots[i]) & ((root == mains[i]) | (nodes[i] < node))
+                fit &= np.minimum(sizes, own_sizes[i]) >= np.maximum(sizes, own_sizes[i]) * similarity
+                at = np.flatnonzero(fit)
+                if not len(at):
+                    continue
+                own = np.sort(own_shingles[own_ends[i] - own_sizes[i]:own_ends[i]])
+                shared = np.concatenate([
+                    _shared(own, shingles, (ends - sizes)[part], sizes[part])
+                    for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(sizes[at]) // TILE_STEP)) + 1)])
+                alike = shared / (sizes[at] + own_sizes[i] - shared) >= similarity
+                # One link joins the two classes.
+                _, once = np.unique(root[at[alike]], return_index=True)
+                links += [(min(nodes[i], n), max(nodes[i], n)) for n in node[at[alike]][once].tolist()]
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return link
+
+
+def _shared(own: np.ndarray, shingles: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of the ``sizes`` shingles from each of ``starts`` on are among the sorted ``own``."""
+    offsets = np.cumsum(sizes) - sizes
+    theirs = shingles[np.repeat(starts - offsets, sizes) + np.arange(sizes.sum())]
+    hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+    return np.add.reduceat(hit.astype(np.int64), offsets)
+
+
+def _facts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys of every row, how many shingles it has, and all shingles."""
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+    lists = rows.column("shingles").combine_chunks()
+    return bands, lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+
+
+def _across(everyone: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between texts of one key but of two classes.
+
+    Per key, the texts outside its largest class are compared with those of all other classes, in tiles of bounded size;
+    a pair is compared in the first key that both texts share only, and only links leave a tile, one for two classes.
     """
     # A key of two texts has been compared whole by its first leader.
     placed = everyone.where("n > 2").join(roots.select("node", "root"), "node", "left").select(
@@ -212,18 +265,22 @@ def _across(everyone: DataFrame, roots: DataFrame, nodes: DataFrame, tested: Dat
     open_keys = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts"))
     open_keys = stored(open_keys.where("parts > 1").drop("parts"), "dart-open")
     placed = placed.join(broadcast_if_small(open_keys), "key")
-    facts = nodes.select("node", "bands", F.size("shingles").alias("size"))
     wanted = stored(placed.select("node").distinct(), "dart-wanted")
-    facts = stored(facts.join(broadcast_if_small(wanted), "node"), "dart-facts")
+    facts = stored(nodes.select("node", "bands", "shingles").join(broadcast_if_small(wanted), "node"), "dart-facts")
     placed = stored(placed.join(facts, "node"), "dart-placed")
-    one, two = placed.where("root <> main").alias("one"), placed.alias("two")
-    once = (F.col("two.root") == F.col("two.main")) | (F.col("one.node") < F.col("two.node"))
-    sizes = F.least("one.size", "two.size") >= F.greatest("one.size", "two.size") * similarity
-    first = F.array_min(F.array_intersect("one.bands", "two.bands")) == F.col("one.key")
-    both = (F.col("one.key") == F.col("two.key")) & (F.col("one.root") != F.col("two.root")) & once & sizes & first
-    pairs = one.join(two, both).select(
-        F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    tiles = lambda which, most: F.ceil((F.sum(F.when(which, F.size("shingles"))) + 1) / most).cast("int")
+    counts = stored(placed.groupBy("key").agg(
+        tiles(F.col("root") != F.col("main"), TILE_OUTSIDE).alias("rows"), tiles(F.lit(True), TILE_TEXTS).alias("columns")), "dart-tiles")
+    placed = placed.join(broadcast_if_small(counts), "key")
+    # Every tile of a key has some of its outside texts and some of all its texts.
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some_of = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    outside = placed.where("root <> main").withColumns({"row": some_of("rows", 1)}).withColumn("column", all_of("columns"))
+    # Columns of their own: Spark cannot tell apart two sides of one table.
+    others = placed.select(*[F.col(c).alias(c) for c in placed.columns])
+    others = others.withColumns({"column": some_of("columns", 2)}).withColumn("row", all_of("rows"))
+    at = ["key", "row", "column"]
+    return outside.groupBy(*at).cogroup(others.groupBy(*at)).applyInArrow(_link_tile(similarity), "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), similarity: float = SIMILARITY) -> DataFrame:
@@ -275,8 +332,7 @@ def near_duplicates(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)
         if not members.where(~F.col("covered")).limit(1).count():
             break
     roots = classes_of(links)
-    rest = stored(_across(everyone, roots, nodes, tested, similarity), "dart-pairs")
-    more = stored(_verified(rest, elements, similarity), "dart-links")
+    more = stored(_across(everyone, roots, nodes, similarity), "dart-links")
     if more.limit(1).count():
         roots = _merged(roots, more)
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
