@@ -41,38 +41,72 @@ def _gamma_levels() -> list[float]:
     return made
 
 
-def _samples(term: Column, weight: Column) -> list[Column]:
-    """For each sample one long, the less the better: ``ln a`` above, 32 bits of the term and its ``t`` below."""
+def _samples(term: Column, log_weight: Column) -> list[Column]:
+    """For each sample one long, the less the better: ``ln a`` above, 32 bits of the term and its ``t`` below.
+
+    ``log_weight`` is a column of its own: as an expression it would be evaluated for every sample.
+    """
     levels = _gamma_levels()
     # One literal each, shared by all samples; few digits, because every plan's text repeats them.
     gamma, log_gamma = F.lit(np.round(levels, 4)), F.lit(np.round(np.log(levels), 4))
-    log_weight = F.ln(weight)
     made = []
     for k in range(SAMPLES):
         bits = F.xxhash64(term, F.lit(k))
         level = lambda shift: F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(LEVELS - 1)).cast("int")  # noqa: E731, B023
         r, log_c = gamma[level(0)], log_gamma[level(12)]
-        beta = F.shiftrightunsigned(bits, 24).bitwiseAND(F.lit((1 << 40) - 1)).cast("double") / float(1 << 40)
+        beta = F.shiftrightunsigned(bits, 24).cast("double") * 2.0**-40
         t = F.floor(log_weight / r + beta)
         log_a = log_c - r * (t - beta + 1.0)
         sample = term.bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(F.lit(0xFFFFFFFF))
-        made.append(F.shiftleft(((log_a + 64.0) * float(1 << 23)).cast("long"), 32).bitwiseOR(sample))
+        made.append(F.shiftleft(F.floor((log_a + 64.0) * float(1 << 23)), 32).bitwiseOR(sample))
     return made
 
 
 def sample_terms(terms: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``samples`` of ``(keys, term, weight)``: ``term`` a long, null where there is none; ``weight`` positive."""
-    least = [F.min(s).alias(f"s{k}") for k, s in enumerate(_samples(F.col("term"), F.col("weight")))]
+    terms = terms.select(*keys, "term", F.ln("weight").alias("log_weight"))
+    least = [F.min(s).alias(f"s{k}") for k, s in enumerate(_samples(F.col("term"), F.col("log_weight")))]
     found = terms.groupBy(*keys).agg(*least)
     values = [F.coalesce(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(EMPTY)) for k in range(SAMPLES)]
     return found.select(*keys, F.array(*values).alias("samples"))
 
 
-def term_counts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys, term, weight`` of the words of ``text``; a null term stands for a text without words."""
-    words = texts.select(*keys, F.explode(F.split(text, f"{SPACE}+")).alias("__word"))
+def term_counts(texts: DataFrame, keys: list[str], sides: list[str]) -> DataFrame:
+    """``keys, term`` and ``weights``, how often the term is a word of each of the texts ``sides``.
+
+    A null term stands for a text without words.
+    """
+    text = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(s).alias("text")) for k, s in enumerate(sides)])).alias("__of")
+    words = texts.select(*keys, text).select(*keys, "__of.side", F.explode(F.split("__of.text", f"{SPACE}+")).alias("__word"))
     term = F.when(F.col("__word") != "", F.xxhash64("__word"))
-    return words.select(*keys, term.alias("term")).groupBy(*keys, "term").agg(F.count("*").cast("double").alias("weight"))
+    counts = [F.count(F.when(F.col("side") == k, 1)).alias(f"__{k}") for k in range(len(sides))]
+    counted = words.select(*keys, "side", term.alias("term")).groupBy(*keys, "term").agg(*counts)
+    return counted.select(*keys, "term", F.array(*[F.col(f"__{k}") for k in range(len(sides))]).alias("weights"))
+
+
+def sample_pairs(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``samples, edited_samples`` of ``(keys, term, weights)`` of two texts.
+
+    Draws are grouped by the texts they are for, the first (1), the second (2) or both (3), so a term that both texts have
+    equally often is drawn for once.
+    """
+    one, two = F.col("weights")[0], F.col("weights")[1]
+    draw = lambda weight, of: F.struct(F.ln(weight).alias("log_weight"), F.lit(of).alias("of"))
+    draws = F.when(one == two, F.array(draw(one, 3))).when(two == 0, F.array(draw(one, 1))).when(
+        one == 0, F.array(draw(two, 2))).otherwise(F.array(draw(one, 1), draw(two, 2)))
+    drawn = terms.select(*keys, "term", F.explode(draws).alias("draw")).select(*keys, "term", "draw.*")
+    least = [F.min(s).alias(f"s{k}") for k, s in enumerate(_samples(F.col("term"), F.col("log_weight")))]
+    found = drawn.groupBy(*keys, "of").agg(*least)
+    found = found.select(*keys, "of", F.array(*[F.col(f"s{k}") for k in range(SAMPLES)]).alias("least"))
+    found = found.groupBy(*keys).agg(*[F.max(F.when(F.col("of") == of, F.col("least"))).alias(f"of{of}") for of in (1, 2, 3)])
+    none = F.array_repeat(F.lit(None).cast("long"), SAMPLES)
+    shared = F.coalesce("of3", none)
+
+    def samples(own: str) -> Column:
+        both = F.zip_with(F.coalesce(F.col(own), none), shared, lambda x, y: F.least(x, y))
+        return F.transform(both, lambda x: F.coalesce(x.bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(EMPTY).cast("long")))
+
+    return found.select(*keys, samples("of1").alias("samples"), samples("of2").alias("edited_samples"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -82,7 +116,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(samples: Column) -> Column:
-    return F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFF)))), 4, "0")), "")
+    return F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
 def in_chunks(rows: DataFrame, key: str) -> DataFrame:
@@ -140,15 +174,10 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     rows = rows.withColumn("edited", F.concat(
         F.expr("left(text, cast(n_chars as int) - cast(floor(n_chars / 4) as int))"),
         F.substring(F.col("next_text"), F.lit(1), quarter)))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))
-    both = rows.select("chunk", "place", F.explode(sides).alias("of")).select("chunk", "place", "of.side", "of.text")
-    keys = ["chunk", "place", "side"]
-    signed = sample_terms(term_counts(both, keys, "text"), keys)
-    signed = signed.groupBy("chunk", "place").agg(
-        F.max(F.when(F.col("side") == 0, F.col("samples"))).alias("samples"),
-        F.max(F.when(F.col("side") == 1, F.col("samples"))).alias("edited_samples"))
+    keys = ["chunk", "place"]
+    signed = sample_pairs(term_counts(rows, keys, ["text", "edited"]), keys)
     about = rows.select("chunk", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    signed = stored(about.join(signed, ["chunk", "place"]), "cws-samples")
+    signed = stored(about.join(signed, keys), "cws-samples")
 
     firsts = signed.where("place = 1").select(F.col("chunk").alias("follows"), F.col("samples").alias("head"))
     chunks = signed.groupBy("chunk").agg(F.max("place").alias("last"))
