@@ -12,7 +12,6 @@ from gleanery.catalog.registry import query, table, trimmed
 from gleanery.functions.html import metadata_struct
 from gleanery.functions.urls import url_hash
 from gleanery.plans import staged as P
-from gleanery.session import scratch_path
 
 _MODES = list(C.ALL_MODES)
 # Links to posts, of which some cannot be asked for; a site that needs rendering; anything else.
@@ -62,17 +61,17 @@ _SQL = f"""
                  WHEN d.doc_id % 7 = 0 OR b.url IS NOT NULL THEN NULL ELSE x.error END AS error
         FROM documents d JOIN (SELECT doc_id, {_URL} AS url FROM documents) u ON d.doc_id = u.doc_id
             LEFT JOIN best b ON d.doc_id = b.doc_id LEFT JOIN failures x ON u.url = x.url)
-    SELECT request_url, mode, content, error, CASE WHEN error IS NULL THEN content END AS in_store FROM results"""
+    SELECT request_url, mode, strlen(content)::BIGINT AS content_length, sha256(content) AS content_sha256, error,
+        CASE WHEN error IS NULL THEN sha256(content) END AS in_store_sha256 FROM results"""
 
 
 def _json(**fields: Column | str) -> Column:
     return F.to_json(F.struct(*[(F.expr(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()]))
 
 
-def planted_answers(documents: DataFrame) -> DataFrame:
-    """Saved answers of all methods: ``mode, request_url, html, error, body, status``."""
-    modes = F.array(*[F.lit(m) for m in _MODES])
-    rows = documents.select("doc_id", "text", "lang", F.expr(_URL).alias("url"), F.posexplode(modes).alias("m", "mode"))
+def planted_answers(documents: DataFrame, mode: str) -> DataFrame:
+    """Saved answers of one method: ``request_url, html, error, body, status``."""
+    rows = documents.select("doc_id", "text", "lang", F.expr(_URL).alias("url"), F.lit(_MODES.index(mode)).alias("m"))
     rows = rows.where(f"{_KIND} < 10").withColumn("said", F.expr(_TEXT))
     scrape = _json(success="true", data=F.struct(F.col("said").alias("markdown")))
     snapshot = _json(success="true", body="said")
@@ -82,26 +81,18 @@ def planted_answers(documents: DataFrame) -> DataFrame:
         code=f"CASE WHEN {_KIND} < 2 THEN 200 ELSE 404 END",
         tweet=F.struct(F.expr("'https://x.com/u/status/' || doc_id").alias("url"), "text", F.lit(1).alias("likes"),
                        F.struct(F.col("lang").alias("name"), F.lit("s").alias("screen_name")).alias("author")))
-    body = F.col("said")
-    for mode, made in ((C.MODE_FIRECRAWL, scrape), (C.MODE_WEBPAGESNAP, snapshot), (C.MODE_BRAVE, search), (C.MODE_FXTWITTER, post)):
-        body = F.when(F.col("mode") == mode, made).otherwise(body)
-    address = F.lit(None).cast("string")
-    for mode in _MODES:
-        address = F.when(F.col("mode") == mode, P.request_address(mode, "url")).otherwise(address)
-    page = F.col("mode").isin(C.MODE_HTTP, C.MODE_STEALTH)
+    made = {C.MODE_FIRECRAWL: scrape, C.MODE_WEBPAGESNAP: snapshot, C.MODE_BRAVE: search, C.MODE_FXTWITTER: post}
     html = F.concat(F.lit("<html><body><article><p>"), F.expr(_PAGE_TEXT), F.lit("</p></article></body></html>"))
     return rows.select(
-        "mode", address.alias("request_url"), F.when(page, html).alias("html"),
-        F.when(page, F.expr(f"CASE WHEN {_KIND} >= 7 THEN {_FAILED} END")).alias("error"),
-        F.when(~page, body).alias("body"), F.expr(_STATUS).alias("status"))
+        P.request_address(mode, "url").alias("request_url"), html.alias("html"),
+        F.expr(f"CASE WHEN {_KIND} >= 7 THEN {_FAILED} END").alias("error"),
+        made.get(mode, F.col("said")).alias("body"), F.expr(_STATUS).alias("status"))
 
 
-def answer_tables(spark, documents: DataFrame) -> dict[str, DataFrame]:
-    path = scratch_path(spark, "answers")
-    planted_answers(documents).write.partitionBy("mode").parquet(path)
-    saved = spark.read.parquet(path)
-    pages = {m: saved.where(F.col("mode") == m).select("request_url", "html", "error") for m in (C.MODE_HTTP, C.MODE_STEALTH)}
-    return {m: saved.where(F.col("mode") == m).select("request_url", "body", "status") for m in _MODES} | pages
+def answer_tables(documents: DataFrame) -> dict[str, DataFrame]:
+    saved = {m: planted_answers(documents, m) for m in _MODES}
+    pages = {m: saved[m].select("request_url", "html", "error") for m in (C.MODE_HTTP, C.MODE_STEALTH)}
+    return {m: saved[m].select("request_url", "body", "status") for m in _MODES} | pages
 
 
 def fetched(spark, folder) -> P.Fetched:
@@ -112,12 +103,13 @@ def fetched(spark, folder) -> P.Fetched:
         metadata_struct(title=F.lit("kept")).alias("metadata"), F.lit("2024-01-30 00:00:00").cast("timestamp").alias("created_at"))
     frontier = documents.select(F.expr(f"CASE WHEN doc_id % 19 = 0 THEN 'ftp://' || doc_id ELSE {_URL} END").alias("url"))
     as_of = F.lit("2024-01-31 00:00:00").cast("timestamp")
-    return P.fetch_staged(frontier, answer_tables(spark, documents), store, as_of)
+    return P.fetch_staged(frontier, answer_tables(documents), store, as_of)
 
 
 @query("fetch_cascade", _SQL)
 def fetch_cascade(spark, folder):
     """Results of every document's URL by route, each with what the store then holds of it."""
     results, store, _ = fetched(spark, folder)
-    kept = store.select(F.col("url").alias("request_url"), F.col("content").alias("in_store"))
-    return results.select("request_url", "mode", "content", "error").join(kept, "request_url", "left")
+    kept = store.select(F.col("url").alias("request_url"), F.sha2("content", 256).alias("in_store_sha256"))
+    about = results.select("request_url", "mode", "content_length", F.sha2("content", 256).alias("content_sha256"), "error")
+    return about.join(kept, "request_url", "left")

@@ -3,9 +3,9 @@
 In the order of arrival, a request starts at the latest of its arrival, its host's previous start and its own delay, and
 the start of the request ``per_second`` places before it and one step.  Each of the two spacings alone has a closed form
 over the whole table; both together are the least fixpoint of the two.  A round applies both closed forms and then solves
-every chunk of the order exactly, given what comes in from the chunks before.  All three only ever raise starts, and never
-above the answer; once a round leaves what chunks hand on unchanged, the answer is reached.  A chunk is right as soon as
-all before it are, so there are no more rounds than chunks and one; a few, unless every chunk is full to the last place.
+every span of the order exactly, given what comes in from the spans before.  All three only ever raise starts, and never
+above the answer; once a round leaves what spans hand on unchanged, the answer is reached.  A span is right as soon as
+all before it are, so there are no more rounds than spans and one; a few, unless every span is full to the last place.
 """
 
 from __future__ import annotations
@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from gleanery import constants as C
 from gleanery.operators.joins import broadcast_if_small
-from gleanery.operators.scan import CHUNK, before, running_count, running_max, with_row_number
+from gleanery.operators.scan import before, running_count, running_max, with_row_number
 from gleanery.operators.schedule import SECOND
-from gleanery.session import checkpointed
+from gleanery.session import checkpointed, shuffle_width
+
+# A span is walked row by row in one task; the fewer spans, the fewer rounds.
+SPAN_ROWS = 4096
 
 
 class Joint(NamedTuple):
@@ -31,7 +34,7 @@ class Joint(NamedTuple):
 
 
 def _solver(delay: str, per_second: int, step_us: int):
-    """Starts of one chunk, request by request, from the starts that the chunks before hand on."""
+    """Starts of one span, request by request, from the starts that the spans before hand on."""
     def solve(rows: pa.Table, handed: pa.Table) -> pa.Table:
         rows = rows.sort_by("_i")
         owners = rows.column("_owner").combine_chunks().dictionary_encode()
@@ -58,39 +61,41 @@ def _solver(delay: str, per_second: int, step_us: int):
     return solve
 
 
-def _handed_on(rows: DataFrame, bounds: DataFrame, per_second: int) -> DataFrame:
-    """``chunk, _owner, _i, _at``: for every host of a chunk its last start before, for the first places what they wait for."""
-    tails = rows.groupBy("_owner", CHUNK).agg(F.max("_at").alias("_last"))
-    of_owner = tails.withColumn("_at", F.max("_last").over(before([CHUNK], ["_owner"]))).where("_at IS NOT NULL")
-    of_owner = of_owner.select(CHUNK, "_owner", F.lit(None).cast("long").alias("_i"), "_at")
-    # A chunk may be shorter than the distance of two requests that wait for each other.
-    ends = F.broadcast(bounds.select(CHUNK, "_end"))
-    late = rows.join(ends, CHUNK).where(F.col("_i") + per_second >= F.col("_end")).select(
-        (F.col("_i") + per_second).alias("_i"), "_at")
-    inside = (F.col("_i") >= F.col("_first")) & (F.col("_i") < F.col("_end"))
-    of_place = late.join(F.broadcast(bounds), inside).select(CHUNK, F.lit(None).cast("string").alias("_owner"), "_i", "_at")
+def _handed_on(rows: DataFrame, per_second: int, span_rows: int) -> DataFrame:
+    """``_span, _owner, _i, _at``: for every host of a span its last start before, for the first places what they wait for."""
+    tails = rows.groupBy("_owner", "_span").agg(F.max("_at").alias("_last"))
+    of_owner = tails.withColumn("_at", F.max("_last").over(before(["_span"], ["_owner"]))).where("_at IS NOT NULL")
+    of_owner = of_owner.select("_span", "_owner", F.lit(None).cast("long").alias("_i"), "_at")
+    # A span may be shorter than the distance of two requests that wait for each other.
+    waits = (F.col("_i") + per_second).alias("_i")
+    target = F.floor((F.col("_i") + per_second) / span_rows)
+    of_place = rows.where(target > F.col("_span")).select(
+        target.alias("_span"), F.lit(None).cast("string").alias("_owner"), waits, "_at")
     return of_owner.unionByName(of_place)
 
 
 def joint_schedule(
     df: DataFrame, key: str, arrival: str, tie: str, delay: str, per_second: int = C.OUTBOUND_REQUESTS_PER_SECOND,
     step_us: int = int(C.GLOBAL_STEP_SECONDS * SECOND), start: str = "start_us", chunks: int | None = None,
+    span_rows: int | None = None,
 ) -> Joint:
     """Add ``start``, the least times with ``start >= arrival``, per key ``start >= previous start + delay`` and
     ``start >=`` the start ``per_second`` places before ``+ step_us``, in the order of ``arrival, tie``.
 
     Equals the serial walk in that order.  A null key is a key; rows without an arrival or a delay have no start and
-    delay nobody.  Pass a narrow table: its columns go along in every round.
+    delay nobody.  Pass a narrow table: its columns go along in every round.  ``span_rows`` is the length of a span, by
+    default as many spans as ``spark.sql.shuffle.partitions``, none shorter than SPAN_ROWS.
     """
     whole = F.col(arrival).isNotNull() & F.col(delay).isNotNull()
     rows = df.where(whole).withColumn("_owner", F.to_json(F.struct(F.col(key).alias("k"))))
     rows = with_row_number(rows, [arrival, tie], "_i", chunks)
-    rows = checkpointed(running_count(rows, ["_owner"], ["_i"], F.col(delay), "_waits").withColumns({
+    rows = running_count(rows, ["_owner"], ["_i"], F.col(delay), "_waits")
+    n = rows.count()
+    span_rows = span_rows or max(SPAN_ROWS, -(-n // shuffle_width(df.sparkSession)))
+    rows = rows.withColumns({
         "_chain": F.col("_i") % per_second, "_steps": F.floor(F.col("_i") / per_second).cast("long") * step_us,
-        "_at": F.col(arrival).cast("long")}))
-    # One row per chunk.
-    bounds = checkpointed(rows.groupBy(CHUNK).agg(F.min("_i").alias("_first"), (F.max("_i") + 1).alias("_end")))
-    most = bounds.count() + 1
+        "_at": F.col(arrival).cast("long"), "_span": F.floor(F.col("_i") / span_rows)})
+    most = -(-n // span_rows) + 1
     rounds = 0
     while rounds < most:
         rounds += 1
@@ -98,12 +103,12 @@ def joint_schedule(
         polite = polite.withColumn("_at", F.col("_waits") + F.col("_lead")).drop("_lead")
         spaced = running_max(polite, ["_chain"], ["_i"], F.col("_at") - F.col("_steps"), "_lead")
         spaced = checkpointed(spaced.withColumn("_at", F.col("_steps") + F.col("_lead")).drop("_lead"))
-        handed = checkpointed(_handed_on(spaced, bounds, per_second))
-        solved = spaced.groupBy(CHUNK).cogroup(handed.groupBy(CHUNK)).applyInArrow(
+        handed = checkpointed(_handed_on(spaced, per_second, span_rows))
+        solved = spaced.groupBy("_span").cogroup(handed.groupBy("_span")).applyInArrow(
             _solver(delay, per_second, step_us), spaced.schema)
         rows = checkpointed(solved)
-        now = _handed_on(rows, bounds, per_second)
-        same = (handed[CHUNK] == now[CHUNK]) & handed["_owner"].eqNullSafe(now["_owner"]) & handed["_i"].eqNullSafe(now["_i"]) & (
+        now = _handed_on(rows, per_second, span_rows)
+        same = (handed["_span"] == now["_span"]) & handed["_owner"].eqNullSafe(now["_owner"]) & handed["_i"].eqNullSafe(now["_i"]) & (
             handed["_at"] == now["_at"])
         if not now.join(broadcast_if_small(handed), same, "left_anti").limit(1).count():
             break

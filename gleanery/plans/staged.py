@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery import constants as C
-from gleanery.functions.urls import provider_request_url, route_class, url_domain, url_error
+from gleanery.functions.urls import provider_request_url, route_class, url_domain, url_error, url_hash
 from gleanery.operators.cascade import candidate_is_valid, plan_for
 from gleanery.operators.joins import broadcast_if_small
 from gleanery.operators.providers import NORMALIZERS, http_candidates, rendered_candidates, union_candidates
-from gleanery.operators.store import PREFIX, cache_misses, prefix_of
-from gleanery.plans.fetch import fetch_results, write_back
+from gleanery.operators.store import PREFIX, cache_misses, delete_keys, prefix_of
+from gleanery.plans.fetch import fetch_results
 from gleanery.session import as_column, checkpointed, stored_table
 
 REQUEST = "request_url"
@@ -122,5 +122,17 @@ def fetch_staged(
     results = fetch_results(frontier, union_candidates(*found), store, as_of, url, available, force_stealth)
     if store is None:
         return Fetched(results, None, stages)
-    results = checkpointed(results)
-    return Fetched(results, write_back(results, store, as_of), stages)
+    results = stored_table(results, "stage-results")
+    return Fetched(results, written_back(results, store, as_of), stages)
+
+
+def written_back(results: DataFrame, store: DataFrame, as_of: datetime | Column) -> DataFrame:
+    """The store with the new results of a run.
+
+    A URL is only fetched when the store has no fresh entry of it, so its result replaces whatever there is; results are
+    one for each URL and no content is compared or shuffled.
+    """
+    moment = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
+    found = results.where(F.col("success") & (F.col("mode") != "cached") & (F.col("content") != ""))
+    new = found.select(url_hash("request_url").alias("url_hash"), F.col("request_url").alias("url"), "content", "metadata", moment.alias("created_at"))
+    return delete_keys(store, found, "request_url").select(*new.columns).unionByName(new)

@@ -37,20 +37,20 @@ def _frontier(draw, n, hosts, gap, delay):
     (300, 40, 3, 5, 2, 40, 9),         # all requests wait for one another
     (300, 2, 3, 60, 5, 10, 9),         # hosts are the bottleneck
     (200, 5, 500, 10, 4, 20, 6),       # little to wait for
-    (60, 3, 5, 30, 25, 90, 20),        # chunks shorter than the distance of two requests
+    (60, 3, 5, 30, 25, 90, 20),        # spans shorter than the distance of two requests
     (1, 1, 1, 1, 5, 10, 4),
 ])
 def test_equals_the_serial_walk(spark, n, hosts, gap, delay, per_second, step, chunks):
     rows = _frontier(random.Random(n + hosts + gap), n, hosts, gap, delay)
     table = spark.createDataFrame(rows, ROWS)
-    got = joint_schedule(table, "host", "us", "id", "delay", per_second, step, chunks=chunks)
+    got = joint_schedule(table, "host", "us", "id", "delay", per_second, step, chunks=chunks, span_rows=-(-n // chunks))
     assert {r.id: r.start_us for r in got.rows.collect()} == serial(rows, per_second, step)
     assert got.rounds <= chunks + 1
 
 
-def test_rounds_do_not_follow_the_number_of_chunks(spark):
+def test_rounds_do_not_follow_the_number_of_spans(spark):
     rows = _frontier(random.Random(2), 1500, 30, 40, 60)
-    got = joint_schedule(spark.createDataFrame(rows, ROWS), "host", "us", "id", "delay", 4, 60, chunks=24)
+    got = joint_schedule(spark.createDataFrame(rows, ROWS), "host", "us", "id", "delay", 4, 60, chunks=24, span_rows=63)
     assert {r.id: r.start_us for r in got.rows.collect()} == serial(rows, 4, 60)
     assert got.rounds <= 12
 

@@ -36,7 +36,7 @@ def _flat(results):
 def test_equals_parsing_everything(spark, force_stealth, available):
     documents = spark.read.parquet(f"{DATA}/documents.parquet")
     frontier = documents.select(F.expr(planted._URL).alias("url"))
-    answers = planted.answer_tables(spark, documents)
+    answers = planted.answer_tables(documents)
     got = P.fetch_staged(frontier, answers, available=available, force_stealth=force_stealth)
     assert got.store is None
     modes = C.ALL_MODES if available is None else available
