@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 from gleanery import constants as C
 from gleanery.functions.urls import url_hash
 from gleanery.operators.joins import broadcast_if_small
-from gleanery.operators.scan import nth_row
+from gleanery.operators.select import newest_first, nth_row, text_bytes
 from gleanery.schemas import METADATA, STORE
-from gleanery.session import as_column, checkpointed
+from gleanery.session import as_column, checkpointed, stored_table
 
 KEY = ["url_hash", "url"]
 PREFIX = "hash_prefix"
@@ -153,22 +153,32 @@ def upsert_latest(store: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def evict_to_capacity(store: DataFrame, capacity: int) -> DataFrame:
-    """The ``capacity`` newest entries.
+    """The ``capacity`` newest entries; equal times are settled by the key, and an entry without a time is the oldest.
 
-    The last of them is found on the key columns; all others are kept or left by comparison with that one row, so
-    content is neither shuffled nor joined.
+    The last of them is found by histograms over the key columns, written once; all others are kept or left by
+    comparison with that one row, so neither keys nor content are sorted, shuffled or joined.
     """
-    order = [F.col("created_at").desc_nulls_last(), F.col("url_hash"), F.col("url")]
-    last = nth_row(store.select(*KEY, "created_at"), order, capacity)
-    if capacity <= 0 or last is None:
-        return store.where(F.lit(capacity > 0))
+    if capacity <= 0:
+        return store.where(F.lit(False))
+    hashed, url = F.coalesce("url_hash", F.lit("")), F.coalesce("url", F.lit(""))
+    keys = stored_table(store.select(hashed.alias("url_hash"), url.alias("url"), "created_at"), "capacity-keys")
+    order = [newest_first(F.col("created_at")), text_bytes(F.col("url_hash")), text_bytes(F.col("url"))]
+    last = nth_row(keys, order, capacity)
+    if last is None:
+        return store
     at = F.lit(last["created_at"]).cast("timestamp")
-    by_key = (F.col("url_hash") < last["url_hash"]) | ((F.col("url_hash") == last["url_hash"]) & (F.col("url") <= last["url"]))
+    by_key = (hashed < last["url_hash"]) | ((hashed == last["url_hash"]) & (url <= last["url"]))
     if last["created_at"] is None:
         return store.where(F.col("created_at").isNotNull() | by_key)
     return store.where((F.col("created_at") > at) | ((F.col("created_at") == at) & by_key))
 
 
+def delete_expired(store: DataFrame, expired: DataFrame) -> DataFrame:
+    """Without the entries whose ``url`` and ``created_at`` are in ``expired``; an entry written again since stays."""
+    doomed = expired.select("url", "created_at").distinct().select(url_hash("url").alias("url_hash"), "url", "created_at")
+    return store.join(broadcast_if_small(doomed), [*KEY, "created_at"], "left_anti").select(*store.columns)
+
+
 def delete_keys(store: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:
     doomed = urls.select(F.col(url).alias("url")).distinct().select(url_hash("url").alias("url_hash"), "url")
     return store.join(broadcast_if_small(doomed), KEY, "left_anti")

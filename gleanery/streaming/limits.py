@@ -43,10 +43,13 @@ class _Admission(StatefulProcessor):
 
 
 class _Spacing(StatefulProcessor):
-    def __init__(self, arrival: str, tie: str, delay: str, start: str, ttl_ms: int | None):
-        self.arrival, self.tie, self.delay, self.start, self.ttl_ms = arrival, tie, delay, start, ttl_ms
+    """``most`` is the longest delay there is; with it a host goes once no request to come can still be delayed by it."""
+
+    def __init__(self, arrival: str, tie: str, delay: str, start: str, ttl_ms: int | None, most: int | None = None):
+        self.arrival, self.tie, self.delay, self.start, self.ttl_ms, self.most = arrival, tie, delay, start, ttl_ms, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState(
             "last_start", T.StructType([T.StructField("us", T.LongType())]), ttlDurationMs=self.ttl_ms
         )
@@ -58,8 +61,17 @@ class _Spacing(StatefulProcessor):
         if self.last.exists():
             lead.iloc[0] = max(lead.iloc[0], self.last.get()[0])
         batch[self.start] = total + lead.cummax()
+        if self.most is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            free = (int(batch[self.start].iloc[-1]) + self.most) // 1000 + 1
+            self.handle.registerTimer(max(free, timerValues.getCurrentWatermarkInMs() + 1))
         self.last.update((int(batch[self.start].iloc[-1]),))
-        yield batch
+        yield batch.drop(columns="_at", errors="ignore")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -76,14 +88,23 @@ def stream_admit(calls: DataFrame, key: str, us: str, tie: str, limit: int = C.I
 
 
 def stream_schedule(requests: DataFrame, key: str, arrival: str, tie: str, delay: str, start: str = "start_us",
-                    ttl_ms: int | None = None) -> DataFrame:
+                    ttl_ms: int | None = None, most_delay_us: int | None = None, late: str = "0 seconds") -> DataFrame:
     """Add start times per host, as ``politeness_schedule`` does for a table.
 
+    With ``most_delay_us``, the longest delay of any request, a host is forgotten once the watermark, ``late`` behind the
+    newest arrival, lies that much past its last start: no request to come can be delayed by it any more, so results are
+    those without forgetting, and ``availableNow`` works.  Arrivals must be microseconds since 1970; a request later
+    than ``late`` is dropped by the watermark.
+
     With ``ttl_ms`` a host is forgotten after that much wall-clock time, which bounds the state.  Spark then keeps
     running empty micro-batches to expire state, so use a processing-time trigger with it, not ``availableNow``.
     """
     use_rocksdb(requests.sparkSession)
     schema = T.StructType([*requests.schema.fields, T.StructField(start, T.LongType())])
+    if most_delay_us is not None:
+        timed = requests.withColumn("_at", F.timestamp_micros(arrival)).withWatermark("_at", late)
+        spacing = _Spacing(arrival, tie, delay, start, None, most_delay_us)
+        return timed.groupBy(key).transformWithStateInPandas(spacing, schema, "Append", "EventTime")
     return requests.groupBy(key).transformWithStateInPandas(
         _Spacing(arrival, tie, delay, start, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None"
     )
