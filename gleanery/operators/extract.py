@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery import constants as C
+from gleanery.functions.head import head_fields, page_tags, page_titles
 from gleanery.functions.html import is_valid_content, metadata_struct
 from gleanery.functions.markup import PageReader, markdown, parse
 from gleanery.functions.text import non_empty, or_empty, sanitize_text
@@ -100,9 +101,23 @@ def extract_content(
     )
 
 
-def extract_metadata(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Only the metadata of each page."""
-    return extract_content(df, url, html).drop("content", "selector", "content_length")
+def extract_metadata(df: DataFrame, url: str = "url", html: str = "html", keep_html: bool = False) -> DataFrame:
+    """Replace the ``html`` column by ``metadata`` alone, the same that :func:`extract_content` gives, without its reader:
+    expressions on the page's titles, ``meta`` and ``link`` tags.  A null page has none of them.
+    """
+    page_url = F.col(url)
+    kept = [c for c in df.columns if keep_html or c != html]
+    tagged = df.select(*kept, page_tags(F.col(html)).alias("_tags"))
+    read = tagged.select(*kept, head_fields(F.col("_tags")).alias("_head"), page_titles(F.col("_tags")).alias("_title"))
+    head = [non_empty(F.get("_head", F.lit(k))) for k in range(9)]
+    metadata = metadata_struct(
+        url=F.coalesce(head[0], page_url),
+        title=sanitize_text(F.coalesce(head[1], F.col("_title"))),
+        description=sanitize_text(F.coalesce(head[2], head[3])),
+        image=head[4], author=head[5], publish_date=head[6],
+        site_name=F.coalesce(non_empty(sanitize_text(F.coalesce(head[7], head[8]))), url_domain(page_url)),
+    )
+    return read.select(*kept, metadata.alias("metadata"))
 
 
 def with_validity(df: DataFrame, content_type: Column | str) -> DataFrame:
