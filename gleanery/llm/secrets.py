@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame and Spark ML only.
 
-A candidate is a run of at least 16 key-like characters with a digit, or whatever is assigned to a secret's name: a
-quoted value, or all up to white space, of any length.  The forest sees its length, the transitions
+A candidate is a run of at least 16 key-like characters with a digit, whatever is assigned to a secret's name (a
+quoted value, or all up to white space, of any length), or the password in ``scheme://user:password@host``.  The forest sees its length, the transitions
 between its kinds of characters, how much of it common words cover, the path around it and its neighbouring words, and is
 trained on labelled findings.  Where no labels are given, findings that formats and assignments settle beyond doubt
 label themselves (a key format or an assignment to a secret's name; a plain number, address, path or placeholder); the
@@ -26,9 +26,12 @@ RUN = r"(?<![A-Za-z0-9+/_.@-])(?=AKIA|[A-Za-z+/_.@-]*[0-9])[A-Za-z0-9+/_.@-]{16,
 AFTER_NAME = (r"(?<=[:=\s\"'])(?<=[:=][\s\"']{0,33})(?<=(?i:" + NAMES.removeprefix("(?i)")
               + r")[\"']?\s{0,32}[:=]{1,4}\s{0,32}[\"']?)")
 VALUE = r"(?:(?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|[^\s\"']\S*?(?=[,;\"']*(?:\s|\z)))"
-CANDIDATE = f"{AFTER_NAME}{VALUE}|{RUN}"
+# The password of an address with user and host; the colon is looked for first.
+CREDENTIAL = r"(?<=:)(?<=://[^\s/:@\"']{0,64}:)[^\s/@\"']+(?=@[A-Za-z0-9\[])"
+CANDIDATE = f"{AFTER_NAME}{VALUE}|{CREDENTIAL}|{RUN}"
 PLACEHOLDERS = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0123456789|1234567890)"
 ASSIGNED = NAMES + r"[\"']?\s*[:=]+\s*[\"']?\z"
+IN_ADDRESS = r"://[^\s/:@\"']*:\z"
 KEY_FORMAT = r"^(AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})$"
 NOT_SECRET = r"^[0-9.+_-]+$|@|/.*/|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 # After an assignment slashes and at signs prove nothing, but for a path from its root and an address.
@@ -91,7 +94,7 @@ def features(found: DataFrame, common: list[str]) -> DataFrame:
         "signs": share("[^A-Za-z0-9]"), "transitions": (runs - 1) / size,
         "variety": F.size(F.array_distinct(F.split("value", ""))) / size, "covered": covered,
         "path": share("[^/]"), "address": flag(value.rlike(r"@|^[0-9]+(\.[0-9]+){3}")),
-        "named_before": flag(F.col("before").rlike(NAMES + r"\W*\z")),
+        "named_before": flag(F.col("before").rlike(NAMES + r"\W*\z") | _in_address(value, F.col("before"))),
         "named_near": flag(F.col("before").rlike(NAMES) | F.col("after").rlike(NAMES)),
         "assigned": flag(F.col("before").rlike(r"[:=]\s*[\"']?\z")), "quoted": flag(F.col("after").rlike("^[\"']")),
         "placeholder": flag(F.concat("before", value, "after").rlike(PLACEHOLDERS)),
@@ -101,12 +104,17 @@ def features(found: DataFrame, common: list[str]) -> DataFrame:
 
 def evident_label(value: Column, before: Column) -> Column:
     """1 or 0 where format and assignment leave no doubt, else null."""
-    fake, assigned = value.rlike(PLACEHOLDERS), before.rlike(ASSIGNED)
+    fake, assigned = value.rlike(PLACEHOLDERS), before.rlike(ASSIGNED) | _in_address(value, before)
     known = assigned & ~value.rlike(NOT_ASSIGNED) & ~_may_be_prose(value, before)
     negative = F.when(assigned, value.rlike(r"^[0-9.+_-]+$")).otherwise(value.rlike(NOT_SECRET))
     return F.when((value.rlike(KEY_FORMAT) | known) & ~fake, 1.0).when(negative | fake, 0.0)
 
 
+def _in_address(value: Column, before: Column) -> Column:
+    """Is it a password before a host, not a port or a path?"""
+    return before.rlike(IN_ADDRESS) & ~value.rlike("[@/]")
+
+
 def _may_be_prose(value: Column, before: Column) -> Column:
     return value.rlike(PLAIN_WORD) & before.rlike(r"\s\z")
 

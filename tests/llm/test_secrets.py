@@ -72,6 +72,19 @@ def test_assigned_values_of_any_kind_are_secrets(documents, planted):
     assert [left[i] for i in range(len(short))] == [t.replace(v, "[SECRET]", 1) for t, v in short.items()]
 
 
+def test_passwords_in_addresses_are_secrets(documents, planted):
+    secret = {
+        "see postgres://admin:S3cretPw9xQ@db.example.com/prod now": "S3cretPw9xQ",
+        "clone https://bob:k2Jx81mQpz0Lr5Wv7TnYb3Hd@git.host.io/x.git": "k2Jx81mQpz0Lr5Wv7TnYb3Hd",
+        "redis://:p4ssOnly@10.0.0.7:6379": "p4ssOnly", "amqp://svc.user:a%2Fb:c9@[::1]/v": "a%2Fb:c9"}
+    plain = ["https://host.io:8080/path/file@v2 end", "ratio 3:4@noon and ssh://git@host.io/x", "mail me: joe@mail.example.com"]
+    texts = [*secret, *plain, *planted[0]]
+    rows = documents(*texts)
+    left = {r.doc_id: r.text for r in secrets.redact(rows).collect()}
+    assert [left[i] for i in range(len(secret))] == [t.replace(v, "[SECRET]", 1) for t, v in secret.items()]
+    assert [left[i] for i in range(len(secret), len(secret) + len(plain))] == plain
+
+
 def test_odd_rows(documents, planted):
     texts, _ = planted
     secret = texts[2]
