@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleanery import constants as C
-from gleanery.operators.joins import broadcast_if_small, join_back
 from gleanery.operators.scan import (
-    CHUNK, before, chunked, in_chunks, running_count, running_max, up_to_here, with_row_number,
+    CHUNK, Running, before, carried_on, in_chunks, running_max, scanned, with_row_number,
 )
+from gleanery.operators.trailing import trailing_counts
 from gleanery.session import as_column, checkpointed
 
 SECOND = 1_000_000
@@ -74,27 +74,23 @@ def politeness_schedule(df: DataFrame, key: str, arrival: str, tie: str, delay:
     ``last_start`` names a column with the last start of the key before these rows, null where there was none.
 
     With the running total of delays ``T``, the start is ``T`` plus the running maximum of ``arrival - T``.  Both are
-    carried from chunk to chunk, so a host that holds a large part of the frontier is spread over many tasks.
+    carried from chunk to chunk, so a host that holds a large part of the frontier is spread over many tasks.  The rows
+    are shuffled once.
     """
-    # Inside a struct a null key is a value like any other, for the windows and for the join alike.
-    owner = ["_owner"]
-    inside = up_to_here([arrival, tie], owner)
-    local = checkpointed(
-        chunked(df, [key, arrival, tie], chunks).withColumn("_owner", F.struct(key))
-        .withColumn("_total", F.sum(delay).over(inside))
-        .withColumn("_lead", F.max(F.col(arrival) - F.col("_total")).over(inside))
-    )
-    earlier = before([CHUNK], owner)
-    carried = (
-        local.groupBy(*owner, CHUNK).agg(F.max("_total").alias("_sum"), F.max("_lead").alias("_max"))
-        .withColumn("_total_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-        .withColumn("_lead_before", F.max(F.col("_max") - F.col("_total_before")).over(earlier))
-        .select(*owner, CHUNK, "_total_before", "_lead_before")
-    )
-    total = F.col("_total_before") + F.col("_total")
+    columns = [Running("_total", "sum", "_delay"), Running("_lead", "max", "_arrival", less="_total")]
+    rows = df.withColumns({"_owner": F.struct(key), "_delay": F.col(delay), "_arrival": F.col(arrival)})
+    local = scanned(rows, ["_owner"], [arrival, tie], columns, chunks)
+
+    def into(totals: DataFrame) -> DataFrame:
+        earlier = before([CHUNK], ["_owner"])
+        summed = totals.withColumn("_total_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+        return summed.withColumn("_lead_before", F.max(F.col("_lead") - F.col("_total_before")).over(earlier))
+
+    passed = carried_on(local, ["_owner"], ["_total", "_lead"], into)
+    earlier = F.coalesce(F.col("_total_before"), F.lit(0))
     known = [F.col(last_start)] if last_start else []
-    lead = F.greatest(F.col("_lead_before"), F.col("_lead") - F.col("_total_before"), *known)
-    return local.join(broadcast_if_small(carried), [*owner, CHUNK]).select(*df.columns, (total + lead).alias(start))
+    lead = F.greatest(F.col("_lead_before"), F.col("_lead") - earlier, *known)
+    return passed.select(*df.columns, (earlier + F.col("_total") + lead).alias(start))
 
 
 def global_schedule(df: DataFrame, arrival: str, tie: str, per_second: int = C.OUTBOUND_REQUESTS_PER_SECOND,
@@ -120,29 +116,9 @@ def trailing_rate(df: DataFrame, us: str, keys: Sequence[str] = (), window_us: i
                   chunks: int | None = None) -> DataFrame:
     """Add the number of rows in the trailing ``window_us``, the row itself and rows of the same time included.
 
-    The count is a difference of two running counts: up to a time, less up to the time one window earlier.  Both come
-    from one running sum over the times and the times shifted back, carried from chunk to chunk, so neither a busy key
-    nor a long window has to fit into a task.  Equal times are added up first.
+    Rows are shuffled once, by range of key and time; see :mod:`gleanery.operators.trailing`.
     """
-    keys = list(keys)
-    owner = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
-    counts = df.where(F.col(us).isNotNull()).groupBy(owner.alias("_owner"), F.col(us).alias("_us")).agg(
-        F.count("*").alias("_n"))
-    # At equal times the rows come before the shifted ones: a row exactly one window old is out.
-    both = counts.select(
-        "_owner", F.inline(F.array(
-            F.struct(F.col("_us").alias("_at"), F.lit(0).alias("_shift"), "_n"),
-            F.struct((F.col("_us") - window_us).alias("_at"), F.lit(1).alias("_shift"), F.lit(0).cast("long").alias("_n")),
-        )),
-    )
-    pieces = chunked(both, ["_owner", "_at", "_shift"], chunks)
-    summed = running_count(pieces, ["_owner"], ["_at", "_shift"], F.col("_n"), "_sum")
-    signed = F.when(F.col("_shift") == 0, F.col("_sum")).otherwise(-F.col("_sum"))
-    rates = (
-        summed.groupBy("_owner", (F.col("_at") + F.col("_shift") * window_us).alias(us)).agg(F.sum(signed).alias(name))
-        .select(*[F.col("_owner")[k].alias(k) for k in keys], us, name)
-    )
-    return join_back(df, rates, [*keys, us])
+    return trailing_counts(df, us, list(keys), window_us, name, chunks)
 
 
 # Rounds in which a chunk may be run from a log that is not final yet.
