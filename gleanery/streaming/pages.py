@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from gleanery import constants as C
 from gleanery.operators.extract import extract_content
+from gleanery.streaming.files import use_rocksdb
+from gleanery.streaming.grouped import EMITTED, Lives, in_groups
+
+
+class _Kept(Lives):
+    """The time of a URL is that of its last arrival that counted."""
+
+    def taken(self, known: dict, url: str | None, us: int) -> int | None:
+        last = known.get(url)
+        if last is not None and us <= last + self.life:
+            return None
+        known[url] = us
+        return us
 
 
 def dedup_stream(arrivals: DataFrame, url: str = "url", ts: str = "ts", ttl_days: int = C.STORE_TTL_DAYS,
@@ -16,30 +29,11 @@ def dedup_stream(arrivals: DataFrame, url: str = "url", ts: str = "ts", ttl_days
     The state of a URL is the time of its last kept arrival.  It is dropped once the watermark is so far past it that
     no arrival up to ``late`` behind can be a copy of it any more.  An arrival older than the last kept one is a copy.
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    life = ttl_days * 86_400_000_000
-
-    def keep(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        kept = []
-        for us in sorted(us for rows in batches for us in rows["us"].tolist()):
-            if last is None or us > last + life:
-                last = us
-                kept.append(us)
-        state.update((last,))
-        # Timers may not lie behind the watermark.
-        state.setTimeoutTimestamp(max((last + life) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"url": [key[0]] * len(kept), "us": kept})
-
-    timed = arrivals.select(F.col(url).alias("url"), F.col(ts).cast("timestamp").alias("ts"))
+    use_rocksdb(arrivals.sparkSession)
+    timed = arrivals.select(F.col(url).alias("url"), F.col(ts).cast("timestamp").alias("ts")).where("ts IS NOT NULL")
     timed = timed.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    kept = timed.groupBy("url").applyInPandasWithState(
-        keep, "url string, us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    kept = in_groups(timed, "url").transformWithStateInPandas(
+        _Kept(ttl_days * 86_400_000_000), EMITTED, "Append", "EventTime")
     return kept.select("url", F.timestamp_micros("us").alias("ts"))
 
 

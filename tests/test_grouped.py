@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from gleanery.streaming.expiry import expiry_stream
 from gleanery.streaming.files import append_sink, file_stream
+from gleanery.streaming.pages import dedup_stream
 
 URLS = 3000
 DAY = 86_400
@@ -26,3 +27,12 @@ def test_urls_that_expire_share_the_state_of_their_group(spark, tmp_path):
     gone, states = _run(spark, tmp_path, expiry_stream, [written, [("u0", DAY), ("last", 9 * DAY)]], "1 day")
     got = {(r["url"], r["us"]) for r in gone.select("url", (F.unix_seconds("created_at") - BASE).alias("us")).collect()}
     assert got == set(written[1:]) and 0 < states <= 2  # u0 was written again
+
+
+def test_copies_share_the_state_of_their_group(spark, tmp_path):
+    batches = [[(f"u{i}", i) for i in range(URLS)] + [(None, 5), (None, 6)], [(f"u{i}", DAY + i) for i in range(URLS)],
+               [("u1", 8 * DAY), (None, 8 * DAY)]]
+    kept, states = _run(spark, tmp_path, dedup_stream, batches, "30 days")
+    got = sorted((r["url"] or "", r["s"]) for r in kept.select("url", (F.unix_seconds("ts") - BASE).alias("s")).collect())
+    assert got == sorted([*batches[0][:-2], ("", 5), ("u1", 8 * DAY), ("", 8 * DAY)])
+    assert 0 < states <= 32 * 4
