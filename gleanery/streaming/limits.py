@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -43,10 +43,14 @@ class _Admission(StatefulProcessor):
 
 
 class _Spacing(StatefulProcessor):
-    """``most`` is the longest delay there is; with it a host goes once no request to come can still be delayed by it."""
+    """``most`` is the longest delay there is; with it a host goes once no request to come can still be delayed by it.
 
-    def __init__(self, arrival: str, tie: str, delay: str, start: str, ttl_ms: int | None, most: int | None = None):
-        self.arrival, self.tie, self.delay, self.start, self.ttl_ms, self.most = arrival, tie, delay, start, ttl_ms, most
+    ``places`` are the positions of arrival, tie and delay in a row, ``names`` those of the columns made.  Every call of the state costs
+    as much as many rows, so a host is read once and written once, and its timer stays where it is until it fires.
+    """
+
+    def __init__(self, places: tuple[int, int, int], names: list[str], ttl_ms: int | None, most: int | None = None):
+        self.places, self.names, self.ttl_ms, self.most = places, names, ttl_ms, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -54,23 +58,36 @@ class _Spacing(StatefulProcessor):
             "last_start", T.StructType([T.StructField("us", T.LongType())]), ttlDurationMs=self.ttl_ms
         )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values([self.arrival, self.tie], kind="stable")
-        total = batch[self.delay].cumsum()
-        lead = batch[self.arrival] - total
-        if self.last.exists():
-            lead.iloc[0] = max(lead.iloc[0], self.last.get()[0])
-        batch[self.start] = total + lead.cummax()
-        if self.most is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            free = (int(batch[self.start].iloc[-1]) + self.most) // 1000 + 1
-            self.handle.registerTimer(max(free, timerValues.getCurrentWatermarkInMs() + 1))
-        self.last.update((int(batch[self.start].iloc[-1]),))
-        yield batch.drop(columns="_at", errors="ignore")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
+    def _free(self, last: int) -> int:
+        """The first millisecond at which a request can no longer be delayed by a start at ``last``."""
+        return (last + self.most) // 1000 + 1
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        arrival, tie, delay = self.places
+        made, width = Row(*self.names), len(self.names) - 1
+        known = self.last.get()
+        last = None if known is None else known[0]
+        done = []
+        for row in sorted(rows, key=lambda r: (r[arrival] is None, r[arrival] or 0, r[tie] is None, r[tie] or 0)):
+            start = None
+            if row[arrival] is not None and row[delay] is not None:
+                start = row[arrival] if last is None else max(row[arrival], last + row[delay])
+                last = start
+            done.append(made(*row[:width], start))
+        if last is not None and (known is None or last != known[0] or self.ttl_ms is not None):
+            self.last.update((last,))
+            if self.most is not None and known is None:
+                self.handle.registerTimer(max(self._free(last), timerValues.getCurrentWatermarkInMs() + 1))
+        yield from done
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.last.get()
+        if known is not None:
+            free = self._free(known[0])
+            if free > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(free)
+            else:
+                self.last.clear()
         yield from ()
 
     def close(self) -> None:
@@ -101,13 +118,12 @@ def stream_schedule(requests: DataFrame, key: str, arrival: str, tie: str, delay
     """
     use_rocksdb(requests.sparkSession)
     schema = T.StructType([*requests.schema.fields, T.StructField(start, T.LongType())])
+    names = requests.columns
+    spacing = _Spacing(tuple(map(names.index, (arrival, tie, delay))), schema.names, ttl_ms, most_delay_us)
     if most_delay_us is not None:
         timed = requests.withColumn("_at", F.timestamp_micros(arrival)).withWatermark("_at", late)
-        spacing = _Spacing(arrival, tie, delay, start, None, most_delay_us)
-        return timed.groupBy(key).transformWithStateInPandas(spacing, schema, "Append", "EventTime")
-    return requests.groupBy(key).transformWithStateInPandas(
-        _Spacing(arrival, tie, delay, start, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None"
-    )
+        return timed.groupBy(key).transformWithState(spacing, schema, "Append", "EventTime")
+    return requests.groupBy(key).transformWithState(spacing, schema, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def _folder(path: str, part: str, epoch: int) -> str:

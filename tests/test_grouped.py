@@ -1,7 +1,11 @@
+import types
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gleanery.streaming.expiry import expiry_stream
 from gleanery.streaming.files import append_sink, file_stream
+from gleanery.streaming.limits import _Spacing
 from gleanery.streaming.pages import dedup_stream
 
 URLS = 3000
@@ -36,3 +40,49 @@ def test_copies_share_the_state_of_their_group(spark, tmp_path):
     got = sorted((r["url"] or "", r["s"]) for r in kept.select("url", (F.unix_seconds("ts") - BASE).alias("s")).collect())
     assert got == sorted([*batches[0][:-2], ("", 5), ("u1", 8 * DAY), ("", 8 * DAY)])
     assert 0 < states <= 32 * 4
+
+
+class _Handle:
+    """Counts the calls of the state."""
+
+    def __init__(self):
+        self.calls, self.value = [], None
+
+    def getValueState(self, *_, **__):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timer = at
+
+
+def test_a_host_is_read_once_and_written_once():
+    clock = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: clock.now, now=0)
+    handle, spacing = _Handle(), _Spacing((1, 0, 2), ["id", "us", "delay", "start_us"], None, 5_000)
+    spacing.init(handle)
+    request = Row("id", "us", "delay", "_at")
+    first = list(spacing.handleInputRows(("h",), iter([request(2, 1_000, 500, 0), request(1, 1_000, 700, 0)]), clock))
+    assert [tuple(r) for r in first] == [(1, 1_000, 700, 1_000), (2, 1_000, 500, 1_500)]
+    assert handle.calls == ["get", "update", "timer"] and handle.timer == 7
+    handle.calls.clear()
+    rows = [request(3, 1_200, 400, 0), request(4, None, 1, 0), request(5, 1_300, None, 0)]
+    second = list(spacing.handleInputRows(("h",), iter(rows), clock))
+    assert [r[3] for r in second] == [1_900, None, None] and handle.calls == ["get", "update"]
+    clock.now = 6
+    list(spacing.handleExpiredTimer(("h",), clock, None))
+    assert handle.value == (1_900,) and handle.timer == 7
+    clock.now = 7
+    list(spacing.handleExpiredTimer(("h",), clock, None))
+    assert handle.value is None
