@@ -20,6 +20,8 @@ from gleanery.functions.urls import url_domain
 from gleanery.schemas import METADATA_FIELDS
 from gleanery.session import as_column
 
+# Pages of a batch whose texts are Python strings at one time.
+PAGES = 256
 _PARSED = T.StructType(
     [T.StructField("content", T.StringType()), T.StructField("selector", T.StringType())]
     + [T.StructField(name, T.StringType()) for name in METADATA_FIELDS]
@@ -35,14 +37,16 @@ def parse_page_udf(max_bytes: int = 0, bare_text: bool = True):
         reader = PageReader(
             C.COMMON_SELECTORS, C.WECHAT_SELECTORS, C.FALLBACK_SELECTOR, C.MIN_CONTENT_BYTES, max_bytes, bare_text
         )
-        columns = [[] for _ in _PARSED.fields]
-        for page, wechat in zip(html, is_wechat):
-            content, selector, metadata = reader.read(page.as_py() or "", bool(wechat.as_py()))
-            for column, value in zip(columns, (content, selector, *metadata)):
-                column.append(value)
-        return pa.StructArray.from_arrays(
-            [pa.array(values, pa.string()) for values in columns], names=_PARSED.fieldNames()
-        )
+        parts = []
+        for first in range(0, max(len(html), 1), PAGES):
+            columns = [[] for _ in _PARSED.fields]
+            for page, wechat in zip(html.slice(first, PAGES), is_wechat.slice(first, PAGES)):
+                content, selector, metadata = reader.read(page.as_py() or "", bool(wechat.as_py()))
+                for column, value in zip(columns, (content, selector, *metadata)):
+                    column.append(value)
+            parts.append(pa.StructArray.from_arrays(
+                [pa.array(values, pa.string()) for values in columns], names=_PARSED.fieldNames()))
+        return pa.concat_arrays(parts)
 
     return parse_page.asNondeterministic()
 

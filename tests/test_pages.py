@@ -1,8 +1,10 @@
 import gzip
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleanery.functions.html import fix_lazy_images
+from gleanery.operators import extract
 from gleanery.operators.extract import extract_content, extract_metadata, html_to_markdown_udf
 from gleanery.operators.providers import http_candidates, rendered_candidates
 from gleanery.sources.responses import decode_body, read_responses, responses_to_pages, status_error
@@ -112,3 +114,14 @@ def test_long_content_is_not_cut(spark):
     rows = spark.createDataFrame([("https://a.org", page)], "url string, html string")
     assert extract_content(rows).first()["content_length"] == 49_999
     assert extract_content(rows, max_bytes=30_000).first()["content_length"] == 30_000
+
+
+def test_pages_of_a_batch_are_converted_in_pieces(monkeypatch):
+    read, sizes, real = extract.parse_page_udf().func, [], pa.array
+    pages = pa.array([f"<title>t{i}</title><article>{LONG}</article>" for i in range(10)])
+    wechat = pa.array([False] * 10)
+    whole = read(pages, wechat)
+    monkeypatch.setattr(extract, "PAGES", 3)
+    monkeypatch.setattr(pa, "array", lambda values, kind: (sizes.append(len(values)), real(values, kind))[1])
+    assert read(pages, wechat).equals(whole) and max(sizes) == 3
+    assert len(read(pages.slice(0, 0), wechat.slice(0, 0))) == 0
