@@ -120,10 +120,12 @@ def stream_schedule(requests: DataFrame, key: str, arrival: str, tie: str, delay
     schema = T.StructType([*requests.schema.fields, T.StructField(start, T.LongType())])
     names = requests.columns
     spacing = _Spacing(tuple(map(names.index, (arrival, tie, delay))), schema.names, ttl_ms, most_delay_us)
+    # Rows whose key is null would not be taken as one group.
+    hosts = requests.withColumns({"_host": F.coalesce(F.col(key).cast("string"), F.lit("")), "_no_host": F.col(key).isNull()})
     if most_delay_us is not None:
-        timed = requests.withColumn("_at", F.timestamp_micros(arrival)).withWatermark("_at", late)
-        return timed.groupBy(key).transformWithState(spacing, schema, "Append", "EventTime")
-    return requests.groupBy(key).transformWithState(spacing, schema, "Append", "ProcessingTime" if ttl_ms else "None")
+        timed = hosts.withColumn("_at", F.timestamp_micros(arrival)).withWatermark("_at", late)
+        return timed.groupBy("_host", "_no_host").transformWithState(spacing, schema, "Append", "EventTime")
+    return hosts.groupBy("_host", "_no_host").transformWithState(spacing, schema, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def _folder(path: str, part: str, epoch: int) -> str:

@@ -4,8 +4,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gleanery.streaming.expiry import expiry_stream
-from gleanery.streaming.files import append_sink, file_stream
-from gleanery.streaming.limits import _Spacing
+from gleanery.streaming.files import append_sink, file_stream, run_to_table
+from gleanery.streaming.limits import _Spacing, stream_schedule
 from gleanery.streaming.pages import dedup_stream
 
 URLS = 3000
@@ -86,3 +86,13 @@ def test_a_host_is_read_once_and_written_once():
     clock.now = 7
     list(spacing.handleExpiredTimer(("h",), clock, None))
     assert handle.value is None
+
+
+def test_requests_without_a_host_wait_for_each_other(spark, tmp_path):
+    rows = [(1, None, 10, 5), (2, 7, 10, 5), (3, None, 10, 5), (4, None, 11, 5), (5, 7, 11, 5)]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, "id long, host long, us long, delay long").coalesce(1).write.parquet(path)
+    stream = file_stream(spark, path, spark.read.parquet(path).schema)
+    got = run_to_table(stream_schedule(stream, "host", "us", "id", "delay"), "hosts").collect()
+    assert sorted(map(tuple, got)) == [
+        (1, None, 10, 5, 10), (2, 7, 10, 5, 10), (3, None, 10, 5, 15), (4, None, 11, 5, 20), (5, 7, 11, 5, 15)]
