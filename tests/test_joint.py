@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.operators import joint
 from gleanery.operators.joint import joint_schedule
 
 ROWS = "id long, host string, us long, delay long"
@@ -55,6 +56,16 @@ def test_rounds_do_not_follow_the_number_of_spans(spark):
     assert got.rounds <= 12
 
 
+@pytest.mark.parametrize("followed,most", [(120, 1), (4, 24)])
+def test_full_spans_are_right_after_one_round(spark, monkeypatch, followed, most):
+    """Every request waits for others; with more hosts than a summary follows, rounds find the rest."""
+    monkeypatch.setattr(joint, "FOLLOWED", followed)
+    rows = _frontier(random.Random(5), 1500, 30, 3, 60)
+    got = joint_schedule(spark.createDataFrame(rows, ROWS), "host", "us", "id", "delay", 4, 60, chunks=24, span_rows=63)
+    assert {r.id: r.start_us for r in got.rows.collect()} == serial(rows, 4, 60)
+    assert got.rounds <= most
+
+
 def test_odd_rows(spark):
     rows = [(0, None, 5, 10), (1, None, 5, 10), (2, "", 5, 10), (3, "a", None, 10), (4, "a", 6, None), (5, "a", 7, 0)]
     table = spark.createDataFrame(rows, ROWS).withColumn("chunk", F.lit("x"))
