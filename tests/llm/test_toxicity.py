@@ -77,6 +77,26 @@ def test_odd_rows(tables, spark):
     assert toxicity.classify(rows.where("false"), labels).count() == 0
 
 
+def test_all_labelled_documents_are_learnt_from(spark, monkeypatch):
+    """A word that one in a few hundred documents has is learnt, whatever the size of a task's part."""
+    monkeypatch.setattr(toxicity, "TASK_DOCUMENTS", 400)
+    draw = random.Random(4)
+    rows = []
+    for i in range(9000):
+        toxic = i % 300 == 0
+        rows.append((i, " ".join([f"w{draw.randint(0, 60)}" for _ in range(6)] + ["insult"] * toxic), "en", "s", 0, int(toxic)))
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    documents = spark.createDataFrame([r[:5] for r in rows], kind).repartition(6)
+    labels = spark.createDataFrame([(r[0], 1, r[5]) for r in rows], "doc_id long, quality int, toxic int")
+    counted = []
+    start = toxicity._start
+    monkeypatch.setattr(toxicity, "_start", lambda by_class, clean, toxic, rng: counted.append((clean, toxic)) or start(by_class, clean, toxic, rng))
+    model, _ = toxicity.fit(documents, labels)
+    assert 7000 < counted[0][0] < 7400 and 15 <= counted[0][1] <= 30
+    got = toxicity.scored(documents, model, ("doc_id",)).collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 300 == 0) for r in got]) > 0.999
+
+
 def test_languages_get_the_middle_of_their_gap():
     score = np.array([0.9] * 20 + [0.8] * 20 + [0.99] * 20 + [0.1] * 20)
     toxic = np.array([1] * 20 + [0] * 20 + [1] * 20 + [0] * 20)
