@@ -1,10 +1,11 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Counts come from all training documents.  The states are the empty context, single words and pairs of words that have
-kept n-grams; an arc carries the log-probability of a word, and a failure arc leads, at the cost of the backoff weight,
-to the state of the shorter context.  One left-to-right traversal carries the state of every text and adds up.  The
-empty context knows every word of the corpus with its exact count: frequent words in the automaton itself, all others
-by a join with the table of counts, so no word is left out whatever the size of the vocabulary.
+Counts come from all training documents; pairs and triples of words seen FEWEST times are kept, whatever their words.  The
+states are the empty context, single words and pairs of words that have kept n-grams; an arc carries the log-probability
+of a word, and a failure arc leads, at the cost of the backoff weight, to the state of the shorter context.  One
+left-to-right traversal carries the state of every text and adds up.  The automaton holds the most frequent words and
+n-grams.  As a backed-off probability is a sum over the words and n-grams of a text, each with what it adds to the shorter
+ones and to its use as a context, all others are added by a join with their table: nothing is left out.
 """
 
 from __future__ import annotations
@@ -22,19 +23,21 @@ from gleanery.llm import hashing as H
 from gleanery.llm.registry import query, table
 from gleanery.llm.text import stored
 
-# Words whose counts the automaton holds; words that n-grams of two and of three words are made of; n-grams of either
-# length that it keeps, each seen FEWEST times at least.  These bound what is sent to the tasks, about 40 MB.
-HEAD_WORDS = 1 << 19
-PAIR_WORDS = 1 << 16
-TRIPLE_WORDS = 1 << 12
+# Words and n-grams of either length that the automaton holds; they bound what is sent to the tasks, about 40 MB.
+AUTOMATON_WORDS = 1 << 19
 KEPT_NGRAMS = 1 << 19
+# N-grams are made of so many of the most frequent words; of all words if None.
+HEAD_WORDS = None
 FEWEST = 3
+# Bits of a set's sieve, 8 MB: what passes may be in the set, what does not pass is not.
+SIEVE = 1 << 26
 DISCOUNT = 0.75
 # Texts are traversed in pieces side by side; a piece begins with the words before it, which give its first state.
 PIECE = 128
 WARM = 2
 END = np.uint64(0x5EED5EED5EED5EED)  # stands for the hash of the end token
 GATHERED = 1 << 21
+_HASHED = np.uint64(1 << 63)  # ids below 0 are hashes
 
 
 class Automaton(NamedTuple):
@@ -92,21 +95,30 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _most_frequent(counts: DataFrame, bound: int, fewest: int) -> DataFrame:
-    """Rows with the highest counts, ``bound`` at most: all from a count upwards, found in steps of a 16th power of 2."""
-    step = F.floor(F.log2("n") * 16)
-    steps = counts.where(F.col("n") >= fewest).groupBy(step.alias("step")).count().collect()  # a thousand rows at most
+def _step() -> Column:
+    return F.floor(F.log2("n") * 16)
+
+
+def _lowest_step(counts: DataFrame, bound: int) -> int | None:
+    """All rows with counts of this step or a higher one are ``bound`` at most; steps are 16th powers of 2."""
+    steps = counts.groupBy(_step().alias("step")).count().collect()  # a thousand rows at most
     total, lowest = 0, None
     for row in sorted(steps, reverse=True):
         if total + row[1] > bound:
             break
         total, lowest = total + row[1], row[0]
-    return counts.where((F.col("n") >= fewest) & (step >= lowest)) if lowest is not None else counts.where(F.lit(False))
+    return lowest
+
+
+def _from(step: int | None) -> Column:
+    return F.lit(False) if step is None else _step() >= step
 
 
 def _arrays(counts: DataFrame) -> list[np.ndarray]:
-    """The columns of a bounded table of longs."""
-    return [c.to_numpy().astype(np.int64) for c in counts.toArrow().columns]
+    """The columns of a bounded table, in the order of the first."""
+    columns = [c.to_numpy() for c in counts.toArrow().columns]
+    order = np.argsort(columns[0])
+    return [c[order] for c in columns]
 
 
 def number_words(head: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -117,29 +129,83 @@ def number_words(head: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> np.n
     return np.where(head[at] == hashes, rank[at], -1)
 
 
-def ngram_counts(texts: DataFrame, head: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """``key`` (1, then 20 bits for each word's number) and ``n`` of pairs and triples of the frequent words."""
-    shipped = texts.sparkSession.sparkContext.broadcast((head, rank))
+def word_ids(head: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers of the words of the head, hashes with the highest bit set for the others."""
+    number = number_words(head, rank, hashes)
+    return np.where(number >= 0, number, (hashes | _HASHED).view(np.int64))
+
+
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Ids of n-grams: 1, then 20 bits for each word's number, or a hash where a word has no number."""
+    hashed = (H.mix(H.mix(context.view(np.uint64)) + word.view(np.uint64)) | _HASHED).view(np.int64)
+    pair = (1 << 40) | (context << 20) | word
+    triple = (1 << 60) | ((context & ((1 << 40) - 1)) << 20) | word
+    return np.where((context >= 0) & (word >= 0), np.where(context < 1 << 40, pair, triple), hashed)
+
+
+def sieve(rows: DataFrame) -> np.ndarray:
+    """The sieve of the ``id`` column: SIEVE / 64 rows at most are collected."""
+    place = f"((id ^ shiftrightunsigned(id, 17) ^ shiftrightunsigned(id, 37)) & {SIEVE - 1}L)"
+    bits = rows.select(F.expr(place).alias("place")).groupBy(F.expr("shiftright(place, 6)").alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("bits")).toArrow()
+    made = np.zeros(SIEVE >> 6, np.int64)
+    made[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+    return made.view(np.uint64)
+
+
+def passes(made: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    x = ids.view(np.uint64)
+    place = (x ^ (x >> np.uint64(17)) ^ (x >> np.uint64(37))) & np.uint64(SIEVE - 1)
+    return (made[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _follows(starts: np.ndarray, n: int, behind: int) -> np.ndarray:
+    """Whether a token has so many others before it in its text."""
+    return np.arange(n) - np.repeat(starts[:-1], np.diff(starts)) >= behind
+
 
-    def keys(texts: H.Texts) -> np.ndarray:
+def _pair_ids(ids: np.ndarray) -> np.ndarray:
+    """Of every token with the one before it, also across texts."""
+    return np.concatenate([ids[:1], longer(ids[:-1], ids[1:])])
+
+
+def ngram_counts(texts: DataFrame, head: np.ndarray, rank: np.ndarray, words: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
+    """``context, word, id, n`` of the pairs that occur FEWEST times; with the sieve of these, of the triples.
+
+    A triple is counted if both its pairs pass their sieve, a pair if both words pass theirs.
+    """
+    shipped = texts.sparkSession.sparkContext.broadcast((head, rank, words, pairs))
+
+    def grams(texts: H.Texts) -> np.ndarray:
+        head, rank, words, pairs = shipped.value
         hashes, starts = token_hashes(texts)
-        word = number_words(*shipped.value, hashes)
-        inner = np.ones(len(word) + 1, bool)
-        inner[starts] = False  # a text's first token follows nothing
-        at = np.flatnonzero(inner[:-1])
-        at = at[(word[at] >= 0) & (word[at] < PAIR_WORDS) & (word[at - 1] >= 0) & (word[at - 1] < PAIR_WORDS)]
-        pairs = (1 << 40) | (word[at - 1] << 20) | word[at]
-        inner[np.minimum(starts + 1, len(word))] = False
-        at = at[inner[at]]
-        low = (word[at] < TRIPLE_WORDS) & (word[at - 1] < TRIPLE_WORDS) & (word[at - 2] >= 0) & (word[at - 2] < TRIPLE_WORDS)
-        at = at[low]
-        triples = (1 << 60) | (word[at - 2] << 40) | (word[at - 1] << 20) | word[at]
-        return np.concatenate([pairs, triples])
+        ids = word_ids(head, rank, hashes)
+        if pairs is None:
+            fine = passes(words, ids) & ((HEAD_WORDS is None) | (ids >= 0))
+            at = np.flatnonzero(_follows(starts, len(ids), 1))
+            at = at[fine[at] & fine[at - 1]]
+            return np.stack([ids[at - 1], ids[at]])
+        pair = _pair_ids(ids)
+        fine = passes(pairs, pair)
+        at = np.flatnonzero(_follows(starts, len(ids), 2))
+        at = at[fine[at] & fine[at - 1]]
+        return np.stack([pair[at - 1], ids[at]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _summed("key", _in_lots(keys(t) for b in batches for _, _, t in H.slices(b.column("text"))))
+        for lot in _in_lots((grams(t).T for b in batches for _, _, t in H.slices(b.column("text")))):
+            lot = lot[np.lexsort((lot[:, 1], lot[:, 0]))]
+            new = np.flatnonzero(np.concatenate([[True], (lot[1:] != lot[:-1]).any(1)])[:len(lot)])
+            yield pa.RecordBatch.from_pydict({
+                "context": lot[new, 0].copy(), "word": lot[new, 1].copy(), "n": np.diff(np.append(new, len(lot)))})
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, word = (batch.column(c).to_numpy() for c in ("context", "word"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(longer(context, word))], [*batch.schema.names, "id"])
 
-    return texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(count, "context long, word long, n long")
+    counted = counted.groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= FEWEST)
+    return counted.mapInArrow(named, "context long, word long, n long, id long")
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -147,70 +213,106 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
 
 
-def build(head: np.ndarray, counts: np.ndarray, pairs: tuple, triples: tuple, tokens: int, types: int) -> Automaton:
-    """States, arcs and failure arcs by absolute discounting, the freed mass going to the shorter context.
+def build(head: np.ndarray, rank: np.ndarray, words: list, pairs: list, triples: list) -> Automaton:
+    """States, arcs and failure arcs.
 
-    ``pairs`` and ``triples`` are sorted keys and counts; ``counts`` belong to ``head``.
+    ``words`` and ``pairs`` are ids, probabilities and backoff weights, NaN for what is no context; ``triples`` ids and
+    probabilities; all sorted.  The pairs of every triple and the words of every pair are among them.
     """
-    by_count = np.lexsort((head, -counts))
-    rank = np.empty(len(head), np.int64)
-    rank[by_count] = np.arange(len(head))
-    seen = counts[by_count]
-    probability = (seen + 1) / (tokens + types + 1)
-
     mask = (1 << 20) - 1
+    is_state, is_state2 = ~np.isnan(words[2]), ~np.isnan(pairs[2])
+    context = np.where(is_state, np.cumsum(is_state), 0)
+    offset = 1 + int(is_state.sum())
     first, second = (pairs[0] >> 20) & mask, pairs[0] & mask
-    starts = np.unique(first)
-    context = np.zeros(len(head), np.int64)
-    context[starts] = 1 + np.arange(len(starts))
-    p2 = (pairs[1] - DISCOUNT) / seen[first]
-    used = np.bincount(context[first], p2, len(starts) + 1)
-    below = np.bincount(context[first], probability[second], len(starts) + 1)
-    backoff1 = (1 - used) / np.maximum(1 - below, 1e-12)
-
+    after_pair = np.where(is_state2, offset + np.cumsum(is_state2) - 1, context[second])
     prefix, last = (triples[0] >> 20) & ((1 << 40) - 1) | (1 << 40), triples[0] & mask
-    owner = _find(pairs[0], prefix)
-    prefix, last, times, owner = prefix[owner >= 0], last[owner >= 0], triples[1][owner >= 0], owner[owner >= 0]
-    states2, state2 = np.unique(prefix, return_inverse=True)
-    p3 = (times - DISCOUNT) / pairs[1][owner]
-    middle = prefix & mask
-    lower = _find(pairs[0], (1 << 40) | (middle << 20) | last)
-    p_lower = np.where(lower >= 0, p2[lower] if len(p2) else 0, backoff1[context[middle]] * probability[last])
-    used = np.bincount(state2, p3, len(states2))
-    below = np.bincount(state2, p_lower, len(states2))
-    backoff2 = (1 - used) / np.maximum(1 - below, 1e-12)
-
-    offset = 1 + len(starts)
-    after_pair = _find(states2, pairs[0])
-    after_pair = np.where(after_pair >= 0, after_pair + offset, context[second])
-    after_triple = _find(states2, (1 << 40) | (middle << 20) | last)
-    after_triple = np.where(after_triple >= 0, after_triple + offset, context[last])
-    arcs = np.concatenate([(context[first] << 20) | second, ((state2 + offset) << 20) | last])
+    state2 = after_pair[_find(pairs[0], prefix)]
+    after_triple = after_pair[_find(pairs[0], (1 << 40) | ((prefix & mask) << 20) | last)]
+    # The first arc belongs to no state: there may be no other.
+    arcs = np.concatenate([[-1], (context[first] << 20) | second, (state2 << 20) | last]).astype(np.int64)
     order = np.argsort(arcs)
-    weight = np.log10(np.concatenate([p2, p3]))[order]
-    target = np.concatenate([after_pair, after_triple])[order]
-    backoff = np.log10(np.maximum(np.concatenate([[1.0], backoff1[1:], backoff2]), 1e-12))
-    failure = np.concatenate([np.zeros(offset, np.int64), context[states2 & mask]])
-    return Automaton(head, rank, np.log10(probability), context, arcs[order], weight, target.astype(np.int64), backoff, failure)
-
-
-def fit(texts: DataFrame) -> tuple[Automaton, DataFrame, int, int]:
-    """The automaton, the table of all words' counts, and the numbers of tokens and of distinct tokens."""
-    words = stored(word_counts(texts), "lm-words")
-    tokens, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head, times = _arrays(_most_frequent(words, HEAD_WORDS, 1))  # HEAD_WORDS rows at most
-    order = np.argsort(head.view(np.uint64))
-    hashes, counts = head.view(np.uint64)[order], times[order]
-    rank = np.empty(len(hashes), np.int64)
-    rank[np.lexsort((hashes, -counts))] = np.arange(len(hashes))
-    ngrams = stored(ngram_counts(texts, hashes, rank).where(F.col("n") >= FEWEST), "lm-ngrams")
-    kept = []
-    for triple in (False, True):
-        of_length = ngrams.where((F.col("key") >= 1 << 60) == triple)
-        keys, times = _arrays(_most_frequent(of_length, KEPT_NGRAMS, FEWEST))  # bounded likewise
-        order = np.argsort(keys)
-        kept.append((keys[order], times[order]))
-    return build(hashes, counts, *kept, tokens, types), words, tokens, types
+    weight = np.concatenate([[0.0], np.log10(pairs[1]), np.log10(triples[1])])[order]
+    target = np.concatenate([[0], after_pair, after_triple]).astype(np.int64)[order]
+    backoff = np.log10(np.concatenate([[1.0], words[2][is_state], pairs[2][is_state2]]))
+    failure = np.concatenate([np.zeros(offset, np.int64), context[second[is_state2]]])
+    return Automaton(head, rank, np.log10(words[1]), context, arcs[order], weight, target, backoff, failure)
+
+
+def _backoff(rows: DataFrame, probability: str, below: str) -> DataFrame:
+    """``at, backoff`` of every context: its freed mass over what the shorter context gives to all other words."""
+    free = (1 - F.sum(probability)) / F.greatest(1 - F.sum(below), F.lit(1e-12))
+    return rows.groupBy(F.col("context").alias("at")).agg(F.greatest(free, F.lit(1e-12)).alias("backoff"))
+
+
+class Fitted(NamedTuple):
+    automaton: Automaton
+    others: DataFrame  # id, value, base, known: of words and n-grams outside the automaton
+    sieve: np.ndarray  # of the n-grams among them
+    tokens: int
+    types: int
+
+
+def fit(texts: DataFrame) -> Fitted:
+    """Absolute discounting, the freed mass going to the shorter context."""
+    counts = stored(word_counts(texts), "lm-counts")
+    tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    head_step = _lowest_step(counts, HEAD_WORDS or AUTOMATON_WORDS)
+    found, times = _arrays(counts.where(_from(head_step)))  # as many rows at most
+    order = np.argsort(found.view(np.uint64))
+    head, times = found.view(np.uint64)[order], times[order]
+    rank = np.empty(len(head), np.int64)
+    rank[np.lexsort((head, -times))] = np.arange(len(head))
+    shipped = texts.sparkSession.sparkContext.broadcast((head, rank))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = word_ids(*shipped.value, batch.column("word").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("n")], ["id", "n"])
+
+    words = counts.mapInArrow(numbered, "id long, n long")
+    words = stored(words.withColumn("p", (F.col("n") + 1) / F.lit(float(tokens + types + 1))), "lm-words")
+    allowed = sieve(words.where(F.col("n") >= FEWEST))
+    pairs = stored(ngram_counts(texts, head, rank, allowed), "lm-pairs")
+    triples = stored(ngram_counts(texts, head, rank, allowed, sieve(pairs)), "lm-triples")
+
+    of_context = words.select(F.col("id").alias("context"), F.col("n").alias("times"))
+    of_word = words.select(F.col("id").alias("word"), F.col("p").alias("below"))
+    pairs = pairs.join(of_context, "context").join(of_word, "word")
+    pairs = stored(pairs.withColumn("p", (F.col("n") - DISCOUNT) / F.col("times")).drop("times"), "lm-pairs-of-words")
+    backoff = stored(_backoff(pairs, "p", "below"), "lm-backoff")
+    of_context = pairs.select(F.col("id").alias("context"), F.col("n").alias("times"), F.col("word").alias("middle"))
+    of_word = pairs.select(F.col("context").alias("middle"), "word", F.col("p").alias("below"))
+    triples = triples.join(of_context, "context").join(of_word, ["middle", "word"])
+    triples = stored(triples.withColumn("p", (F.col("n") - DISCOUNT) / F.col("times")).drop("times", "middle"), "lm-triples-of-pairs")
+    backoff2 = stored(_backoff(triples, "p", "below"), "lm-backoff-of-pairs")
+
+    def with_backoff(rows: DataFrame, of: DataFrame) -> DataFrame:
+        return rows.join(of, rows["id"] == of["at"], "left").drop("at")
+
+    def value() -> Column:
+        """What an n-gram adds to the shorter one, and what its use as a context costs."""
+        return F.log10("p") - F.log10("below") - F.log10("before") + F.log10(F.coalesce(F.col("backoff"), F.lit(1.0)))
+
+    before, before2 = (b.select(F.col("at").alias("context"), F.col("backoff").alias("before")) for b in (backoff, backoff2))
+    words = stored(with_backoff(words, backoff), "lm-words-valued")
+    pairs = with_backoff(pairs.join(before, "context"), backoff2)
+    pairs = stored(pairs.select("id", "n", "p", "backoff", value().alias("value")), "lm-pairs-valued")
+    triples = triples.join(before2, "context").withColumn("backoff", F.lit(None).cast("double"))
+    triples = stored(triples.select("id", "n", "p", value().alias("value")), "lm-triples-valued")
+
+    # One step for both lengths: an n-gram is no more frequent than its parts, so these are in the automaton with it.
+    steps = [head_step, _lowest_step(pairs, KEPT_NGRAMS), _lowest_step(triples, KEPT_NGRAMS) if triples.count() else 0]
+    inside = _from(None if None in steps else max(steps))
+    automaton = build(
+        head, rank, _arrays(words.where("id >= 0").select("id", "p", F.coalesce(F.col("backoff"), F.lit(float("nan"))))),
+        _arrays(pairs.where(inside).select("id", "p", F.coalesce(F.col("backoff"), F.lit(float("nan"))))),
+        _arrays(triples.where(inside).select("id", "p")))  # bounded by AUTOMATON_WORDS and KEPT_NGRAMS
+    base = F.log10("p")
+    rare = words.where("id < 0").select(
+        "id", (base + F.log10(F.coalesce(F.col("backoff"), F.lit(1.0)))).alias("value"), base.alias("base"), F.lit(1).alias("known"))
+    grams = pairs.where(~inside).select("id", "value").unionByName(triples.where(~inside).select("id", "value"))
+    others = rare.unionByName(grams.select("id", "value", F.lit(0.0).alias("base"), F.lit(0).alias("known")))
+    return Fitted(automaton, others, sieve(grams), tokens, types)
 
 
 def traverse(automaton: Automaton, word: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -265,42 +367,48 @@ def score_documents(documents: DataFrame, training: DataFrame, keep: tuple[str,
     scored one by one, other columns are ignored, an empty table gives an empty one; without training texts every
     token is unknown.
     """
-    automaton, words, tokens, types = fit(training)
-    unknown = float(np.log10(tokens + types + 1))
+    fitted = fit(training)
+    unknown = float(np.log10(fitted.tokens + fitted.types + 1))
     rows = documents.select(*keep, F.col("text").alias("__text"))
-    shipped = rows.sparkSession.sparkContext.broadcast(tuple(automaton))
+    shipped = rows.sparkSession.sparkContext.broadcast((tuple(fitted.automaton), fitted.sieve))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = Automaton(*shipped.value)
+        parts, others = shipped.value
+        a = Automaton(*parts)
         for batch in batches:
             for first, stop, texts in H.slices(batch.column("__text")):
                 hashes, starts = token_hashes(texts)
-                word = number_words(a.head, a.rank, hashes)
+                ids = word_ids(a.head, a.rank, hashes)
                 text = np.repeat(np.arange(len(texts)), np.diff(starts))
-                known = word >= 0
-                base = np.zeros(len(word))
-                base[known] = a.unigram[word[known]]
-                rare = hashes[~known].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(text[~known], minlength=len(texts)))])
+                known = ids >= 0
+                base = np.zeros(len(ids))
+                base[known] = a.unigram[ids[known]]
+                pair = _pair_ids(ids)
+                triple = np.concatenate([ids[:1], longer(pair[:-1], ids[1:])])
+                joined = [(~known, ids), (_follows(starts, len(ids), 1) & passes(others, pair), pair),
+                          (_follows(starts, len(ids), 2) & passes(others, triple), triple)]
+                owner = np.concatenate([text[where] for where, _ in joined])
+                rare = np.concatenate([of[where] for where, of in joined])[np.argsort(owner, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
                 kept = {name: batch.column(name).slice(first, stop - first) for name in keep}
                 yield pa.RecordBatch.from_pydict(kept | {
                     "n_tokens": np.diff(starts), "n_known": np.bincount(text, known, len(texts)).astype(np.int64),
-                    "base_score": np.bincount(text, base, len(texts)), "score": traverse(a, word, starts),
+                    "base_score": np.bincount(text, base, len(texts)), "score": traverse(a, np.where(known, ids, -1), starts),
                     "rare": pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(rare)).cast(pa.list_(pa.int64()))})
 
     schema = "n_tokens long, n_known long, base_score double, score double, rare array<long>"
     schema = T.StructType([*rows.drop("__text").schema.fields, *T._parse_datatype_string(schema).fields])
     # Numbered as they are written: a number stays with its row.
     scored = stored(rows.mapInArrow(score, schema).withColumn("__row", F.monotonically_increasing_id()), "lm-scores")
-    rare = scored.select("__row", F.explode("rare").alias("word"))
-    rare = rare.join(words, "word", "left").groupBy("__row").agg(
-        F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + 1) - unknown).alias("__rest"),
-        F.count("n").alias("__found"))
-    rest = F.coalesce(F.col("__rest"), F.lit(0.0))
-    return scored.drop("rare").join(rare, "__row", "left").select(
-        *keep, "n_tokens", (F.col("n_known") + F.coalesce(F.col("__found"), F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base_score") + rest).alias("base_score"),
-        (F.col("score") + rest).alias("score"))
+    found = scored.select("__row", F.explode("rare").alias("id")).join(fitted.others, "id").groupBy("__row").agg(
+        F.sum("value").alias("__value"), F.sum("base").alias("__base"), F.sum("known").alias("__found"))
+    value, base, known = (F.coalesce(F.col(c), F.lit(0)) for c in ("__value", "__base", "__found"))
+    # A word that training never had costs the same anywhere.
+    never = (F.col("n_tokens") - F.col("n_known") - known) * unknown
+    return scored.drop("rare").join(found, "__row", "left").select(
+        *keep, "n_tokens", (F.col("n_known") + known).alias("n_known"),
+        F.lit(fitted.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + base - never).alias("base_score"),
+        (F.col("score") + value - never).alias("score"))
 
 
 @query("op7_backoff_automaton")

@@ -92,6 +92,23 @@ def test_scores_agree_with_the_definition(documents, monkeypatch, head):
         assert r.score == pytest.approx(model.score(texts[r.doc_id]))
 
 
+@pytest.mark.parametrize("words,grams", [(12, 5), (100, 40), (3, 0)])
+def test_what_the_automaton_has_no_room_for_counts_all_the_same(documents, monkeypatch, words, grams):
+    """N-grams of rare words and rare n-grams have their probabilities, by a join."""
+    for name, bound in (("AUTOMATON_WORDS", words), ("KEPT_NGRAMS", grams), ("PIECE", 7), ("SIEVE", 1 << 10)):
+        monkeypatch.setattr(lm, name, bound)
+    texts = [*corpus(), *["one rare phrase w1 the cat sat"] * 4, None, "", "unseen words only", "the " * 90]
+    rows = documents(*texts)
+    got = lm.score_documents(rows, rows.where(~lm.held_out(F.col("doc_id")))).collect()
+    model = Backoff([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2])
+    assert len(got) == len(texts) and len(model.two) > 30 and len(model.three) > 20
+    for r in got:
+        x = tokens(texts[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(model.one[w] > 0 for w in x), model.n)
+        assert r.base_score == pytest.approx(sum(math.log10(model.p1(w)) for w in x))
+        assert r.score == pytest.approx(model.score(texts[r.doc_id]))
+
+
 def _kept_words(model, bound):
     """All words from a count upwards, the counts taken in steps of a 16th power of two."""
     step = lambda n: math.floor(math.log2(n) * 16)
