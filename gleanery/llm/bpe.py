@@ -25,9 +25,9 @@ from gleanery.llm import hashing as H
 from gleanery.llm.registry import query, table
 
 CUT_BITS = 7
-KEPT_CHUNKS = 12_000
-KEPT_WORDS = 120_000
-KEPT_PIECES = 80_000
+KEPT_CHUNKS = 6_000
+KEPT_WORDS = 60_000
+KEPT_PIECES = 40_000
 _SPACE = b" \t\n\v\f\r"
 # Words of letters that neither normalisation nor case can join or split, and signs after them; no apostrophe, which
 # starts tokens of its own, and no sign of a special token.
@@ -194,6 +194,7 @@ def encode_documents(documents: DataFrame, path: str, keep: tuple[str, ...] = ("
                     "ids": pa.array([m[0] for m in made], pa.binary()),
                     "decoded": pa.array([m[1] for m in made], pa.string())})
         encoder.rest()
+        H.give_back()
 
     schema = T.StructType([*rows.drop("__text").schema.fields, *T._parse_datatype_string(SCHEMA).fields])
     return rows.mapInArrow(encode, schema)

@@ -5,14 +5,16 @@ A word's hash depends on its bytes only, so it is the same in every task and for
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-# Texts are taken together up to so many bytes; one longer text is taken alone.
-SLICE_BYTES = 1 << 20
+# Texts are taken together up to so many bytes; one longer text is taken alone.  What is made of a byte takes some 100
+# bytes, in each worker of an executor.
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -79,7 +81,15 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, Texts]]:
         yield row, stop, Texts(data[ends[row]:ends[stop]], ends[row:stop + 1] - ends[row])
         row = stop
     # A worker process outlives its task: what a batch needed goes back to the system.
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; the C library alone keeps it where it knows no ``malloc_trim``."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,18 @@ def test_batches_do_not_matter():
         np.concatenate([toxicity.logits(model, *toxicity.token_ids(t)) for t in alone]), abs=1e-5)
 
 
+def test_scoring_holds_little_at_a_time():
+    """Every worker of an executor needs the same beside the others: what a large batch takes is bounded."""
+    texts = pa.array(["tretiel idiot, onshaim " * 100] * 2000)  # 4.6 MB
+    learner, _ = toxicity._start(np.full((2, toxicity.BUCKETS), 5), 100, 100, np.random.default_rng(0))
+    tracemalloc.start()
+    for _, _, part in H.slices(texts):
+        toxicity.logits(learner.model(), *toxicity.token_ids(part))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
 def test_odd_rows(tables, spark):
     documents, labels = tables
     odd = spark.createDataFrame(
