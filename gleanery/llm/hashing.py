@@ -69,14 +69,14 @@ class Runs(NamedTuple):
     hash: np.ndarray
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, Texts]]:
-    """Runs of rows with about SLICE_BYTES of text; null is empty."""
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
+    """Runs of rows with about ``size`` bytes of text; null is empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(column):
-        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + SLICE_BYTES, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1)
         stop = min(stop, len(column))
         yield row, stop, Texts(data[ends[row]:ends[stop]], ends[row:stop + 1] - ends[row])
         row = stop

@@ -15,10 +15,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from gleanery.llm import blocks
 from gleanery.llm import hashing as H
 from gleanery.llm.registry import query, table
 from gleanery.llm.text import stored
@@ -34,10 +37,15 @@ SIEVE = 1 << 26
 DISCOUNT = 0.75
 # Texts are traversed in pieces side by side; a piece begins with the words before it, which give its first state.
 PIECE = 128
+TRAVERSED = 1 << 20  # bytes of texts that are side by side
 WARM = 2
 END = np.uint64(0x5EED5EED5EED5EED)  # stands for the hash of the end token
 GATHERED = 1 << 21
+# n-grams and their places are dealt by parts of their ids, one for about so many training tokens, in blocks of bytes.
+PART_TOKENS = 1 << 22
+FEWEST_PARTS = 16
 _HASHED = np.uint64(1 << 63)  # ids below 0 are hashes
+_WORD, _PAIR = (1 << 20) - 1, (1 << 40) - 1
 
 
 class Automaton(NamedTuple):
@@ -169,12 +177,42 @@ def _pair_ids(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([ids[:1], longer(ids[:-1], ids[1:])])
 
 
-def ngram_counts(texts: DataFrame, head: np.ndarray, rank: np.ndarray, words: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
+def parted(ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the ids by part, otherwise as they were, and where each part begins in it."""
+    x = ids.view(np.uint64)
+    part = ((x ^ (x >> np.uint64(20)) ^ (x >> np.uint64(40))) & np.uint64(0x7FFFFFFF)) % np.uint64(parts)
+    part = part.astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+
+
+def part_of(parts: int) -> Column:
+    """The part of the ``id`` column, as in ``parted``."""
+    return F.expr(f"CAST(((id ^ shiftrightunsigned(id, 20) ^ shiftrightunsigned(id, 40)) & 2147483647L) % {parts} AS INT)")
+
+
+def _sums(keys: tuple[np.ndarray, ...], times: np.ndarray | None = None) -> list[np.ndarray]:
+    """Sorted distinct keys, of one or two columns, and the sums of their ``times``."""
+    if not len(keys[0]):
+        return [*keys, np.zeros(0, np.int64)]
+    if len(keys) == 1 and times is None:
+        return [*np.unique(keys[0], return_counts=True)]
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    differs = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    new = np.concatenate([[0], 1 + np.flatnonzero(differs)])
+    times = np.ones(len(order), np.int64) if times is None else times[order]
+    return [*(k[new] for k in keys), np.add.reduceat(times, new)]
+
+
+def ngram_counts(texts: DataFrame, head: np.ndarray, rank: np.ndarray, words: np.ndarray, parts: int,
+                 pairs: np.ndarray | None = None) -> DataFrame:
     """``context, word, id, n`` of the pairs that occur FEWEST times; with the sieve of these, of the triples.
 
-    A triple is counted if both its pairs pass their sieve, a pair if both words pass theirs.
+    A triple is counted if both its pairs pass their sieve, a pair if both words pass theirs.  Counts of a task's lots go
+    to the parts as blocks: ids of numbered words alone, as these tell context and word, of other n-grams both.
     """
     shipped = texts.sparkSession.sparkContext.broadcast((head, rank, words, pairs))
+    columns = ("ids", "times", "contexts", "words", "often")
 
     def grams(texts: H.Texts) -> np.ndarray:
         head, rank, words, pairs = shipped.value
@@ -193,19 +231,36 @@ def ngram_counts(texts: DataFrame, head: np.ndarray, rank: np.ndarray, words: np
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in _in_lots((grams(t).T for b in batches for _, _, t in H.slices(b.column("text")))):
-            lot = lot[np.lexsort((lot[:, 1], lot[:, 0]))]
-            new = np.flatnonzero(np.concatenate([[True], (lot[1:] != lot[:-1]).any(1)])[:len(lot)])
-            yield pa.RecordBatch.from_pydict({
-                "context": lot[new, 0].copy(), "word": lot[new, 1].copy(), "n": np.diff(np.append(new, len(lot)))})
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, word = (batch.column(c).to_numpy() for c in ("context", "word"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(longer(context, word))], [*batch.schema.names, "id"])
-
-    counted = texts.select("text").mapInArrow(count, "context long, word long, n long")
-    counted = counted.groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= FEWEST)
-    return counted.mapInArrow(named, "context long, word long, n long, id long")
+            ids = longer(lot[:, 0], lot[:, 1])
+            numbered, times = _sums((ids[ids >= 0],))
+            context, word, often = _sums((lot[ids < 0, 0], lot[ids < 0, 1]))
+            order, begin = parted(numbered, parts)
+            numbered, times = numbered[order], times[order]
+            order, begin2 = parted(longer(context, word), parts)
+            context, word, often = context[order], word[order], often[order]
+            made = []
+            for k in range(parts):
+                own, own2 = slice(begin[k], begin[k + 1]), slice(begin2[k], begin2[k + 1])
+                made.append((blocks.pack_sorted(numbered[own]), blocks.pack(times[own] - 1), blocks.pack_sorted(context[own2]),
+                             blocks.pack(word[own2]), blocks.pack(often[own2] - 1)))
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32())} | {
+                name: pa.array(column, pa.binary()) for name, column in zip(columns, zip(*made))})
+
+    def add(table: pa.Table) -> pa.Table:
+        ids, times, contexts, words, often = (
+            [blocks.unpack_sorted(b) if name in ("ids", "contexts") else blocks.unpack(b) for b in table.column(name).to_pylist()]
+            for name in columns)
+        id_, n = _sums((np.concatenate(ids),), np.concatenate(times) + 1)
+        context, word, n2 = _sums((np.concatenate(contexts), np.concatenate(words)), np.concatenate(often) + 1)
+        id_, n = id_[n >= FEWEST], n[n >= FEWEST]
+        context, word, n2 = context[n2 >= FEWEST], word[n2 >= FEWEST], n2[n2 >= FEWEST]
+        before = np.where(id_ < 1 << 60, (id_ >> 20) & _WORD, (1 << 40) | ((id_ >> 20) & _PAIR))
+        return pa.table({
+            "context": np.concatenate([before, context]), "word": np.concatenate([id_ & _WORD, word]),
+            "n": np.concatenate([n, n2]), "id": np.concatenate([id_, longer(context, word)])})
+
+    counted = texts.select("text").mapInArrow(count, "part int, " + ", ".join(f"{name} binary" for name in columns))
+    return counted.groupBy("part").applyInArrow(add, "context long, word long, n long, id long")
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -246,10 +301,11 @@ def _backoff(rows: DataFrame, probability: str, below: str) -> DataFrame:
 
 class Fitted(NamedTuple):
     automaton: Automaton
-    others: DataFrame  # id, value, base, known: of words and n-grams outside the automaton
+    others: DataFrame  # id, value, base: of words and n-grams outside the automaton; n-grams have no base
     sieve: np.ndarray  # of the n-grams among them
     tokens: int
     types: int
+    parts: int
 
 
 def fit(texts: DataFrame) -> Fitted:
@@ -272,8 +328,9 @@ def fit(texts: DataFrame) -> Fitted:
     words = counts.mapInArrow(numbered, "id long, n long")
     words = stored(words.withColumn("p", (F.col("n") + 1) / F.lit(float(tokens + types + 1))), "lm-words")
     allowed = sieve(words.where(F.col("n") >= FEWEST))
-    pairs = stored(ngram_counts(texts, head, rank, allowed), "lm-pairs")
-    triples = stored(ngram_counts(texts, head, rank, allowed, sieve(pairs)), "lm-triples")
+    parts = max(FEWEST_PARTS, tokens // PART_TOKENS)
+    pairs = stored(ngram_counts(texts, head, rank, allowed, parts), "lm-pairs")
+    triples = stored(ngram_counts(texts, head, rank, allowed, parts, sieve(pairs)), "lm-triples")
 
     of_context = words.select(F.col("id").alias("context"), F.col("n").alias("times"))
     of_word = words.select(F.col("id").alias("word"), F.col("p").alias("below"))
@@ -309,10 +366,10 @@ def fit(texts: DataFrame) -> Fitted:
         _arrays(triples.where(inside).select("id", "p")))  # bounded by AUTOMATON_WORDS and KEPT_NGRAMS
     base = F.log10("p")
     rare = words.where("id < 0").select(
-        "id", (base + F.log10(F.coalesce(F.col("backoff"), F.lit(1.0)))).alias("value"), base.alias("base"), F.lit(1).alias("known"))
+        "id", (base + F.log10(F.coalesce(F.col("backoff"), F.lit(1.0)))).alias("value"), base.alias("base"))
     grams = pairs.where(~inside).select("id", "value").unionByName(triples.where(~inside).select("id", "value"))
-    others = rare.unionByName(grams.select("id", "value", F.lit(0.0).alias("base"), F.lit(0).alias("known")))
-    return Fitted(automaton, others, sieve(grams), tokens, types)
+    others = rare.unionByName(grams.select("id", "value", F.lit(None).cast("double").alias("base")))
+    return Fitted(automaton, others, sieve(grams), tokens, types, parts)
 
 
 def traverse(automaton: Automaton, word: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -369,14 +426,30 @@ def score_documents(documents: DataFrame, training: DataFrame, keep: tuple[str,
     """
     fitted = fit(training)
     unknown = float(np.log10(fitted.tokens + fitted.types + 1))
+    parts = fitted.parts
     rows = documents.select(*keep, F.col("text").alias("__text"))
     shipped = rows.sparkSession.sparkContext.broadcast((tuple(fitted.automaton), fitted.sieve))
 
+    def places(first_row: int, lot: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """Rows and ids to be looked up, by part; a row counts from the first of the lot."""
+        row, ids = (np.concatenate(x) for x in zip(*lot))
+        order = np.argsort(ids.view(np.uint64))
+        row, ids = row[order], ids[order]
+        order, begin = parted(ids, parts)
+        row, ids = row[order], ids[order]
+        pieces = [slice(a, b) for a, b in zip(begin, begin[1:])]
+        return pa.RecordBatch.from_pydict({
+            "__row": np.full(parts, first_row, np.int64), "__part": pa.array(range(parts), pa.int32()),
+            "rows": pa.array([blocks.pack(row[x]) for x in pieces], pa.binary()),
+            "ids": pa.array([blocks.pack_sorted(ids[x]) for x in pieces], pa.binary())})
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, others = shipped.value
-        a = Automaton(*parts)
+        automaton, others = shipped.value
+        a = Automaton(*automaton)
+        at = first_row = TaskContext.get().partitionId() << 33
+        lot, size = [], 0
         for batch in batches:
-            for first, stop, texts in H.slices(batch.column("__text")):
+            for first, stop, texts in H.slices(batch.column("__text"), TRAVERSED):
                 hashes, starts = token_hashes(texts)
                 ids = word_ids(a.head, a.rank, hashes)
                 text = np.repeat(np.arange(len(texts)), np.diff(starts))
@@ -387,25 +460,65 @@ def score_documents(documents: DataFrame, training: DataFrame, keep: tuple[str,
                 triple = np.concatenate([ids[:1], longer(pair[:-1], ids[1:])])
                 joined = [(~known, ids), (_follows(starts, len(ids), 1) & passes(others, pair), pair),
                           (_follows(starts, len(ids), 2) & passes(others, triple), triple)]
-                owner = np.concatenate([text[where] for where, _ in joined])
-                rare = np.concatenate([of[where] for where, of in joined])[np.argsort(owner, kind="stable")]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
+                for where, of in joined:
+                    lot.append((text[where] + (at - first_row), of[where]))
+                    size += len(lot[-1][0])
                 kept = {name: batch.column(name).slice(first, stop - first) for name in keep}
-                yield pa.RecordBatch.from_pydict(kept | {
-                    "n_tokens": np.diff(starts), "n_known": np.bincount(text, known, len(texts)).astype(np.int64),
-                    "base_score": np.bincount(text, base, len(texts)), "score": traverse(a, np.where(known, ids, -1), starts),
-                    "rare": pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(rare)).cast(pa.list_(pa.int64()))})
-
-    schema = "n_tokens long, n_known long, base_score double, score double, rare array<long>"
-    schema = T.StructType([*rows.drop("__text").schema.fields, *T._parse_datatype_string(schema).fields])
-    # Numbered as they are written: a number stays with its row.
-    scored = stored(rows.mapInArrow(score, schema).withColumn("__row", F.monotonically_increasing_id()), "lm-scores")
-    found = scored.select("__row", F.explode("rare").alias("id")).join(fitted.others, "id").groupBy("__row").agg(
+                yield filled(kept | {
+                    "__row": np.arange(at, at + len(texts)), "n_tokens": np.diff(starts),
+                    "n_known": np.bincount(text, known, len(texts)).astype(np.int64),
+                    "base_score": np.bincount(text, base, len(texts)), "score": traverse(a, np.where(known, ids, -1), starts)})
+                at += len(texts)
+                if size >= GATHERED:
+                    yield filled(places(first_row, lot))
+                    first_row, lot, size = at, [], 0
+        if size:
+            yield filled(places(first_row, lot))
+
+    fields = [T.StructField(f.name, f.dataType) for f in rows.drop("__text").schema.fields]
+    more = "__row long, n_tokens long, n_known long, base_score double, score double, __part int, rows binary, ids binary"
+    schema = T.StructType([*fields, *T._parse_datatype_string(more).fields])
+    arrow = to_arrow_schema(schema)
+
+    def filled(columns: dict | pa.RecordBatch) -> pa.RecordBatch:
+        """All columns, those not given null."""
+        if isinstance(columns, pa.RecordBatch):
+            columns = dict(zip(columns.schema.names, columns.columns))
+        size = len(columns["__row"])
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(size, f.type) if f.name not in columns else pa.array(columns[f.name]) for f in arrow], arrow.names)
+
+    def look_up(places: pa.Table, others: pa.Table) -> pa.Table:
+        """What the places of a part add to each row."""
+        ids, value, base = (others.column(name).to_numpy() for name in ("id", "value", "base"))
+        order = np.argsort(ids)
+        ids, value, base = ids[order], value[order], base[order]
+        made = [np.zeros((4, 0))]
+        rows_ = [np.zeros(0, np.int64)]
+        for first_row, row, wanted in zip(*(places.column(name).to_pylist() for name in ("__row", "rows", "ids"))):
+            row, found = blocks.unpack(row), _find(ids, blocks.unpack_sorted(wanted))
+            row, found = row[found >= 0], found[found >= 0]
+            word = ~np.isnan(base[found])
+            sums = np.stack([np.bincount(row), np.bincount(row, value[found]), np.bincount(row, np.where(word, base[found], 0)),
+                             np.bincount(row, word)])
+            own = np.flatnonzero(sums[0])
+            made.append(sums[:, own])
+            rows_.append(own + first_row)
+        sums = np.concatenate(made, 1)
+        return pa.table({"__row": np.concatenate(rows_), "value": sums[1], "base": sums[2], "known": sums[3].astype(np.int64)})
+
+    # Rows are numbered as they are written: a number stays with its row.
+    scored = stored(rows.mapInArrow(score, schema), "lm-scores")
+    wanted = scored.where("__part IS NOT NULL").select("__part", "__row", "rows", "ids")
+    others = fitted.others.select(part_of(parts).alias("__part"), "id", "value", "base")
+    found = wanted.groupBy("__part").cogroup(others.groupBy("__part")).applyInArrow(
+        look_up, "__row long, value double, base double, known long")
+    found = found.groupBy("__row").agg(
         F.sum("value").alias("__value"), F.sum("base").alias("__base"), F.sum("known").alias("__found"))
     value, base, known = (F.coalesce(F.col(c), F.lit(0)) for c in ("__value", "__base", "__found"))
     # A word that training never had costs the same anywhere.
     never = (F.col("n_tokens") - F.col("n_known") - known) * unknown
-    return scored.drop("rare").join(found, "__row", "left").select(
+    return scored.where("__part IS NULL").drop("__part", "rows", "ids").join(found, "__row", "left").select(
         *keep, "n_tokens", (F.col("n_known") + known).alias("n_known"),
         F.lit(fitted.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + base - never).alias("base_score"),
         (F.col("score") + value - never).alias("score"))

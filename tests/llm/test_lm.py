@@ -6,10 +6,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from gleanery.llm import blocks
 from gleanery.llm import hashing as H
-from gleanery.llm import lm
+from gleanery.llm import lm, text
 
 END = "\0end"
 
@@ -152,3 +154,53 @@ def test_hashes_depend_on_the_word_alone():
     other = b"the"
     two, _ = lm.token_hashes(H.Texts(np.frombuffer(other * 2, np.uint8), np.array([0, 3, 6])))
     assert starts.tolist() == [0, 5] and one[1] == one[3] == two[0] == two[2] and one[4] == two[1] == lm.END
+
+
+@pytest.mark.parametrize("values", [[], [0], [5, 5, 300, 1 << 40, (1 << 62) + 1], [-3, -1, 0, 7], [9, 2, 1 << 33]])
+def test_blocks_give_their_numbers_back(values):
+    values = np.array(values, np.int64)
+    assert blocks.unpack(blocks.pack(values)).tolist() == values.tolist()
+    assert blocks.unpack_sorted(blocks.pack_sorted(values)).tolist() == values.tolist()
+
+
+def test_counts_go_through_the_shuffle_in_few_bytes():
+    """Distinct pairs of a lot, in order, with their counts: rows of three numbers took 11 bytes each."""
+    draw = np.random.default_rng(1)
+    words = np.minimum((1 / draw.random((2, 1 << 20)) ** 0.9).astype(np.int64), (1 << 19) - 1)
+    ids, times = np.unique(lm.longer(words[0], words[1]), return_counts=True)
+    order, begin = lm.parted(ids, 16)
+    size = sum(len(blocks.pack_sorted(ids[order[a:b]])) + len(blocks.pack(times[order[a:b]] - 1)) for a, b in zip(begin, begin[1:]))
+    assert size < 5 * len(ids)
+
+
+def test_parts_are_the_same_in_tasks_and_in_columns(spark):
+    ids = np.array([0, 1, (1 << 40) + 5, (1 << 60) + 12345678901, -1, -(1 << 62) + 99, 1 << 20], np.int64)
+    order, begin = lm.parted(ids, 7)
+    part = np.empty(len(ids), int)
+    part[order] = np.repeat(np.arange(7), np.diff(begin))
+    rows = spark.createDataFrame([(int(x),) for x in ids], "id long").select("id", lm.part_of(7).alias("part")).collect()
+    assert {r.id: r.part for r in rows} == dict(zip(ids.tolist(), part.tolist()))
+
+
+def test_ngrams_of_many_parts_and_lots(documents, monkeypatch):
+    monkeypatch.setattr(lm, "GATHERED", 100)
+    monkeypatch.setattr(lm, "PART_TOKENS", 20)
+    monkeypatch.setattr(lm, "AUTOMATON_WORDS", 20)
+    monkeypatch.setattr(lm, "KEPT_NGRAMS", 10)
+    texts = corpus(80, 5)
+    rows = documents(*texts)
+    model = Backoff(texts)
+    for r in lm.score_documents(rows, rows).collect():
+        assert r.score == pytest.approx(model.score(texts[r.doc_id]))
+
+
+def test_nothing_shuffled_is_left_once_a_table_is_stored(spark, monkeypatch, tmp_path):
+    """The write runs with Spark's clean-up of shuffle files; what the session had set stays."""
+    seen = []
+    monkeypatch.setattr(text, "scratch_path", lambda session, name: str(tmp_path / name))
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(
+        DataFrameWriter, "parquet", lambda self, *a, **b: seen.append(spark.conf.get(text.SHUFFLES_GO)) or write(self, *a, **b))
+    before = spark.conf.get(text.SHUFFLES_GO)
+    assert text.stored(spark.range(9).groupBy("id").count(), "counted").count() == 9
+    assert seen == ["true"] and spark.conf.get(text.SHUFFLES_GO) == before
