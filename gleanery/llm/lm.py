@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -438,7 +439,7 @@ def score_documents(documents: DataFrame, training: DataFrame, keep: tuple[str,
         order, begin = parted(ids, parts)
         row, ids = row[order], ids[order]
         pieces = [slice(a, b) for a, b in zip(begin, begin[1:])]
-        return pa.RecordBatch.from_pydict({
+        return filled({
             "__row": np.full(parts, first_row, np.int64), "__part": pa.array(range(parts), pa.int32()),
             "rows": pa.array([blocks.pack(row[x]) for x in pieces], pa.binary()),
             "ids": pa.array([blocks.pack_sorted(ids[x]) for x in pieces], pa.binary())})
@@ -465,60 +466,59 @@ def score_documents(documents: DataFrame, training: DataFrame, keep: tuple[str,
                     size += len(lot[-1][0])
                 kept = {name: batch.column(name).slice(first, stop - first) for name in keep}
                 yield filled(kept | {
-                    "__row": np.arange(at, at + len(texts)), "n_tokens": np.diff(starts),
+                    "__row": np.arange(at, at + len(texts)), "__part": np.arange(at, at + len(texts)) % parts, "n_tokens": np.diff(starts),
                     "n_known": np.bincount(text, known, len(texts)).astype(np.int64),
                     "base_score": np.bincount(text, base, len(texts)), "score": traverse(a, np.where(known, ids, -1), starts)})
                 at += len(texts)
                 if size >= GATHERED:
-                    yield filled(places(first_row, lot))
+                    yield places(first_row, lot)
                     first_row, lot, size = at, [], 0
         if size:
-            yield filled(places(first_row, lot))
+            yield places(first_row, lot)
 
     fields = [T.StructField(f.name, f.dataType) for f in rows.drop("__text").schema.fields]
-    more = "__row long, n_tokens long, n_known long, base_score double, score double, __part int, rows binary, ids binary"
-    schema = T.StructType([*fields, *T._parse_datatype_string(more).fields])
-    arrow = to_arrow_schema(schema)
+    more = "__row long, n_tokens long, n_known long, base_score double, score double, "
+    schema = T.StructType([*fields, *T._parse_datatype_string(more + "__part int, rows binary, ids binary").fields])
+    summed = T.StructType([*fields, *T._parse_datatype_string(more + "__value double, __base double, __found long").fields])
+    arrow, arrow_summed = to_arrow_schema(schema), to_arrow_schema(summed)
 
-    def filled(columns: dict | pa.RecordBatch) -> pa.RecordBatch:
+    def filled(columns: dict, schema: pa.Schema = arrow) -> pa.RecordBatch:
         """All columns, those not given null."""
-        if isinstance(columns, pa.RecordBatch):
-            columns = dict(zip(columns.schema.names, columns.columns))
         size = len(columns["__row"])
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(size, f.type) if f.name not in columns else pa.array(columns[f.name]) for f in arrow], arrow.names)
+            [pa.nulls(size, f.type) if f.name not in columns else pa.array(columns[f.name], f.type) for f in schema], schema.names)
 
     def look_up(places: pa.Table, others: pa.Table) -> pa.Table:
-        """What the places of a part add to each row."""
+        """What the places of a part add to each row; rows of documents pass."""
         ids, value, base = (others.column(name).to_numpy() for name in ("id", "value", "base"))
         order = np.argsort(ids)
         ids, value, base = ids[order], value[order], base[order]
-        made = [np.zeros((4, 0))]
-        rows_ = [np.zeros(0, np.int64)]
-        for first_row, row, wanted in zip(*(places.column(name).to_pylist() for name in ("__row", "rows", "ids"))):
+        documents = places.filter(pc.is_null(places.column("ids")))
+        made = [filled(dict(zip(documents.column_names, (c.combine_chunks() for c in documents.columns))), arrow_summed)]
+        blocks_ = places.filter(pc.is_valid(places.column("ids")))
+        for k in range(len(blocks_)):
+            first_row, row, wanted = (blocks_.column(name)[k].as_py() for name in ("__row", "rows", "ids"))
             row, found = blocks.unpack(row), _find(ids, blocks.unpack_sorted(wanted))
             row, found = row[found >= 0], found[found >= 0]
             word = ~np.isnan(base[found])
-            sums = np.stack([np.bincount(row), np.bincount(row, value[found]), np.bincount(row, np.where(word, base[found], 0)),
-                             np.bincount(row, word)])
-            own = np.flatnonzero(sums[0])
-            made.append(sums[:, own])
-            rows_.append(own + first_row)
-        sums = np.concatenate(made, 1)
-        return pa.table({"__row": np.concatenate(rows_), "value": sums[1], "base": sums[2], "known": sums[3].astype(np.int64)})
-
-    # Rows are numbered as they are written: a number stays with its row.
-    scored = stored(rows.mapInArrow(score, schema), "lm-scores")
-    wanted = scored.where("__part IS NOT NULL").select("__part", "__row", "rows", "ids")
+            times, values, bases, words = (np.bincount(row, x) for x in (None, value[found], np.where(word, base[found], 0), word))
+            own = np.flatnonzero(times)
+            made.append(filled({"__row": own + first_row, "__value": values[own], "__base": bases[own],
+                                "__found": words[own].astype(np.int64)}, arrow_summed))
+        return pa.Table.from_batches(made)
+
+    # A row's number is that of its task and its place there, so it is the same if a task is run again.  Documents have
+    # parts as well: they go through the shuffle of the places, so that these need not be stored.
+    scored = rows.mapInArrow(score, schema)
     others = fitted.others.select(part_of(parts).alias("__part"), "id", "value", "base")
-    found = wanted.groupBy("__part").cogroup(others.groupBy("__part")).applyInArrow(
-        look_up, "__row long, value double, base double, known long")
+    found = scored.groupBy("__part").cogroup(others.groupBy("__part")).applyInArrow(look_up, summed)
+    own = [f.name for f in summed.fields if f.name not in ("__row", "__value", "__base", "__found")]
     found = found.groupBy("__row").agg(
-        F.sum("value").alias("__value"), F.sum("base").alias("__base"), F.sum("known").alias("__found"))
+        *(F.first(name, ignorenulls=True).alias(name) for name in own), *(F.sum(c).alias(c) for c in ("__value", "__base", "__found")))
     value, base, known = (F.coalesce(F.col(c), F.lit(0)) for c in ("__value", "__base", "__found"))
     # A word that training never had costs the same anywhere.
     never = (F.col("n_tokens") - F.col("n_known") - known) * unknown
-    return scored.where("__part IS NULL").drop("__part", "rows", "ids").join(found, "__row", "left").select(
+    return found.sortWithinPartitions("__row").select(
         *keep, "n_tokens", (F.col("n_known") + known).alias("n_known"),
         F.lit(fitted.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + base - never).alias("base_score"),
         (F.col("score") + value - never).alias("score"))
