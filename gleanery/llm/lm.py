@@ -10,13 +10,14 @@ ones and to its use as a context, all others are added by a join with their tabl
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gleanery.llm import blocks
 from gleanery.llm import hashing as H
 from gleanery.llm.registry import query, table
-from gleanery.llm.text import stored
+from gleanery.llm.text import drop, shuffles_go, stored
 
 # Words and n-grams of either length that the automaton holds; they bound what is sent to the tasks, about 40 MB.
 AUTOMATON_WORDS = 1 << 19
@@ -45,13 +46,22 @@ GATHERED = 1 << 21
 # n-grams and their places are dealt by parts of their ids, one for about so many training tokens, in blocks of bytes.
 PART_TOKENS = 1 << 22
 FEWEST_PARTS = 16
+# Documents are scored in so many rounds: of the places, only those of one round are on disk at a time.
+ROUNDS = 4
+_FIRST_BITS = 19  # of a word's hash, by which it is looked for in the head
 _HASHED = np.uint64(1 << 63)  # ids below 0 are hashes
 _WORD, _PAIR = (1 << 20) - 1, (1 << 40) - 1
 
 
-class Automaton(NamedTuple):
-    head: np.ndarray  # hashes of the known words, sorted
+class Head(NamedTuple):
+    """The words that have numbers."""
+
+    hash: np.ndarray  # sorted
     rank: np.ndarray  # their numbers, by falling count
+    first: np.ndarray  # by the first bits of a hash: where such hashes begin
+
+
+class Automaton(NamedTuple):
     unigram: np.ndarray  # by number: log10 of the empty context's probability
     context: np.ndarray  # by number: the state after this word
     arcs: np.ndarray  # state << 20 | word, sorted
@@ -130,17 +140,35 @@ def _arrays(counts: DataFrame) -> list[np.ndarray]:
     return [c[order] for c in columns]
 
 
-def number_words(head: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Numbers of the words, -1 for those not in the head."""
-    if not len(head):
-        return np.full(len(hashes), -1, np.int64)
-    at = np.minimum(np.searchsorted(head, hashes), len(head) - 1)
-    return np.where(head[at] == hashes, rank[at], -1)
+def head_of(hashes: np.ndarray, times: np.ndarray) -> Head:
+    """The words, which are sorted, and their numbers by falling count."""
+    rank = np.empty(len(hashes), np.int64)
+    rank[np.lexsort((hashes, -times))] = np.arange(len(hashes))
+    begin = np.arange(1 << _FIRST_BITS, dtype=np.uint64) << np.uint64(64 - _FIRST_BITS)
+    return Head(hashes, rank, np.searchsorted(hashes, begin).astype(np.int32))
 
 
-def word_ids(head: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def number_words(head: Head, hashes: np.ndarray) -> np.ndarray:
+    """Numbers of the words, -1 for those not in the head.
+
+    Hashes are spread evenly, so a word is at most a few places behind the first with the same first bits.
+    """
+    if not len(head.hash):
+        return np.full(len(hashes), -1, np.int64)
+    last = len(head.hash) - 1
+    at = np.minimum(head.first[hashes >> np.uint64(64 - _FIRST_BITS)], last)
+    found = head.hash[at]
+    ahead = np.flatnonzero((found < hashes) & (at < last))
+    while len(ahead):
+        at[ahead] += 1
+        found[ahead] = head.hash[at[ahead]]
+        ahead = ahead[(found[ahead] < hashes[ahead]) & (at[ahead] < last)]
+    return np.where(found == hashes, head.rank[at], -1)
+
+
+def word_ids(head: Head, hashes: np.ndarray) -> np.ndarray:
     """Numbers of the words of the head, hashes with the highest bit set for the others."""
-    number = number_words(head, rank, hashes)
+    number = number_words(head, hashes)
     return np.where(number >= 0, number, (hashes | _HASHED).view(np.int64))
 
 
@@ -156,7 +184,9 @@ def sieve(rows: DataFrame) -> np.ndarray:
     """The sieve of the ``id`` column: SIEVE / 64 rows at most are collected."""
     place = f"((id ^ shiftrightunsigned(id, 17) ^ shiftrightunsigned(id, 37)) & {SIEVE - 1}L)"
     bits = rows.select(F.expr(place).alias("place")).groupBy(F.expr("shiftright(place, 6)").alias("at")).agg(
-        F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("bits")).toArrow()
+        F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("bits"))
+    with shuffles_go(rows.sparkSession):
+        bits = bits.toArrow()
     made = np.zeros(SIEVE >> 6, np.int64)
     made[bits["at"].to_numpy()] = bits["bits"].to_numpy()
     return made.view(np.uint64)
@@ -205,27 +235,24 @@ def _sums(keys: tuple[np.ndarray, ...], times: np.ndarray | None = None) -> list
     return [*(k[new] for k in keys), np.add.reduceat(times, new)]
 
 
-def ngram_counts(texts: DataFrame, head: np.ndarray, rank: np.ndarray, words: np.ndarray, parts: int,
-                 pairs: np.ndarray | None = None) -> DataFrame:
-    """``context, word, id, n`` of the pairs that occur FEWEST times; with the sieve of these, of the triples.
+def ngram_counts(texts: DataFrame, head: Broadcast, allowed: Broadcast, parts: int, of_pairs: bool = False) -> DataFrame:
+    """``context, word, id, n`` of the pairs that occur FEWEST times, or of the triples, if ``allowed`` is of pairs.
 
     A triple is counted if both its pairs pass their sieve, a pair if both words pass theirs.  Counts of a task's lots go
     to the parts as blocks: ids of numbered words alone, as these tell context and word, of other n-grams both.
     """
-    shipped = texts.sparkSession.sparkContext.broadcast((head, rank, words, pairs))
     columns = ("ids", "times", "contexts", "words", "often")
 
     def grams(texts: H.Texts) -> np.ndarray:
-        head, rank, words, pairs = shipped.value
         hashes, starts = token_hashes(texts)
-        ids = word_ids(head, rank, hashes)
-        if pairs is None:
-            fine = passes(words, ids) & ((HEAD_WORDS is None) | (ids >= 0))
+        ids = word_ids(Head(*head.value), hashes)
+        if not of_pairs:
+            fine = passes(allowed.value, ids) & ((HEAD_WORDS is None) | (ids >= 0))
             at = np.flatnonzero(_follows(starts, len(ids), 1))
             at = at[fine[at] & fine[at - 1]]
             return np.stack([ids[at - 1], ids[at]])
         pair = _pair_ids(ids)
-        fine = passes(pairs, pair)
+        fine = passes(allowed.value, pair)
         at = np.flatnonzero(_follows(starts, len(ids), 2))
         at = at[fine[at] & fine[at - 1]]
         return np.stack([pair[at - 1], ids[at]])
@@ -269,7 +296,7 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
 
 
-def build(head: np.ndarray, rank: np.ndarray, words: list, pairs: list, triples: list) -> Automaton:
+def build(words: list, pairs: list, triples: list) -> Automaton:
     """States, arcs and failure arcs.
 
     ``words`` and ``pairs`` are ids, probabilities and backoff weights, NaN for what is no context; ``triples`` ids and
@@ -291,7 +318,7 @@ def build(head: np.ndarray, rank: np.ndarray, words: list, pairs: list, triples:
     target = np.concatenate([[0], after_pair, after_triple]).astype(np.int64)[order]
     backoff = np.log10(np.concatenate([[1.0], words[2][is_state], pairs[2][is_state2]]))
     failure = np.concatenate([np.zeros(offset, np.int64), context[second[is_state2]]])
-    return Automaton(head, rank, np.log10(words[1]), context, arcs[order], weight, target, backoff, failure)
+    return Automaton(np.log10(words[1]), context, arcs[order], weight, target, backoff, failure)
 
 
 def _backoff(rows: DataFrame, probability: str, below: str) -> DataFrame:
@@ -301,47 +328,66 @@ def _backoff(rows: DataFrame, probability: str, below: str) -> DataFrame:
 
 
 class Fitted(NamedTuple):
+    head: Broadcast
     automaton: Automaton
-    others: DataFrame  # id, value, base: of words and n-grams outside the automaton; n-grams have no base
+    others: DataFrame  # __part, id, value, base: blocks of the words and n-grams outside the automaton; n-grams have no base
     sieve: np.ndarray  # of the n-grams among them
     tokens: int
     types: int
     parts: int
 
 
+def packed(rows: DataFrame, parts: int) -> DataFrame:
+    """``id, value, base`` as one block a part, sorted by id, so that every round moves few rows."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        part, id_, value, base = (table.column(name).to_numpy() for name in ("__part", "id", "value", "base"))
+        order = np.argsort(id_.view(np.uint64))
+        word = np.flatnonzero(~np.isnan(base[order]))
+        made = {"id": blocks.pack_sorted(id_[order]), "value": value[order].tobytes(), "word": blocks.pack_sorted(word),
+                "base": base[order][word].tobytes()}
+        return pa.table({"__part": part[:1]} | {name: pa.array([block], pa.binary()) for name, block in made.items()})
+
+    of_part = rows.select(part_of(parts).alias("__part"), "id", "value", "base").groupBy("__part")
+    return of_part.applyInArrow(pack, "__part int, id binary, value binary, word binary, base binary")
+
+
 def fit(texts: DataFrame) -> Fitted:
     """Absolute discounting, the freed mass going to the shorter context."""
+    context = texts.sparkSession.sparkContext
     counts = stored(word_counts(texts), "lm-counts")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head_step = _lowest_step(counts, HEAD_WORDS or AUTOMATON_WORDS)
     found, times = _arrays(counts.where(_from(head_step)))  # as many rows at most
     order = np.argsort(found.view(np.uint64))
-    head, times = found.view(np.uint64)[order], times[order]
-    rank = np.empty(len(head), np.int64)
-    rank[np.lexsort((head, -times))] = np.arange(len(head))
-    shipped = texts.sparkSession.sparkContext.broadcast((head, rank))
+    head = context.broadcast(tuple(head_of(found.view(np.uint64)[order], times[order])))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = word_ids(*shipped.value, batch.column("word").to_numpy().view(np.uint64))
+            ids = word_ids(Head(*head.value), batch.column("word").to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("n")], ["id", "n"])
 
     words = counts.mapInArrow(numbered, "id long, n long")
     words = stored(words.withColumn("p", (F.col("n") + 1) / F.lit(float(tokens + types + 1))), "lm-words")
-    allowed = sieve(words.where(F.col("n") >= FEWEST))
+    drop(counts)
+    allowed = context.broadcast(sieve(words.where(F.col("n") >= FEWEST)))
     parts = max(FEWEST_PARTS, tokens // PART_TOKENS)
-    pairs = stored(ngram_counts(texts, head, rank, allowed, parts), "lm-pairs")
-    triples = stored(ngram_counts(texts, head, rank, allowed, parts, sieve(pairs)), "lm-triples")
+    counted = stored(ngram_counts(texts, head, allowed, parts), "lm-pairs")
+    allowed = context.broadcast(sieve(counted))
+    counted3 = stored(ngram_counts(texts, head, allowed, parts, of_pairs=True), "lm-triples")
 
     of_context = words.select(F.col("id").alias("context"), F.col("n").alias("times"))
     of_word = words.select(F.col("id").alias("word"), F.col("p").alias("below"))
-    pairs = pairs.join(of_context, "context").join(of_word, "word")
+    pairs = counted.join(of_context, "context").join(of_word, "word")
     pairs = stored(pairs.withColumn("p", (F.col("n") - DISCOUNT) / F.col("times")).drop("times"), "lm-pairs-of-words")
+    drop(counted)
     backoff = stored(_backoff(pairs, "p", "below"), "lm-backoff")
     of_context = pairs.select(F.col("id").alias("context"), F.col("n").alias("times"), F.col("word").alias("middle"))
     of_word = pairs.select(F.col("context").alias("middle"), "word", F.col("p").alias("below"))
-    triples = triples.join(of_context, "context").join(of_word, ["middle", "word"])
-    triples = stored(triples.withColumn("p", (F.col("n") - DISCOUNT) / F.col("times")).drop("times", "middle"), "lm-triples-of-pairs")
+    triples = counted3.join(of_context, "context").join(of_word, ["middle", "word"])
+    triples = triples.withColumn("p", (F.col("n") - DISCOUNT) / F.col("times")).drop("times", "middle", "word")
+    triples = stored(triples, "lm-triples-of-pairs")
+    drop(counted3)
     backoff2 = stored(_backoff(triples, "p", "below"), "lm-backoff-of-pairs")
 
     def with_backoff(rows: DataFrame, of: DataFrame) -> DataFrame:
@@ -352,17 +398,19 @@ def fit(texts: DataFrame) -> Fitted:
         return F.log10("p") - F.log10("below") - F.log10("before") + F.log10(F.coalesce(F.col("backoff"), F.lit(1.0)))
 
     before, before2 = (b.select(F.col("at").alias("context"), F.col("backoff").alias("before")) for b in (backoff, backoff2))
+    made = words, pairs, triples, backoff, backoff2
     words = stored(with_backoff(words, backoff), "lm-words-valued")
     pairs = with_backoff(pairs.join(before, "context"), backoff2)
     pairs = stored(pairs.select("id", "n", "p", "backoff", value().alias("value")), "lm-pairs-valued")
     triples = triples.join(before2, "context").withColumn("backoff", F.lit(None).cast("double"))
     triples = stored(triples.select("id", "n", "p", value().alias("value")), "lm-triples-valued")
+    drop(*made)
 
     # One step for both lengths: an n-gram is no more frequent than its parts, so these are in the automaton with it.
     steps = [head_step, _lowest_step(pairs, KEPT_NGRAMS), _lowest_step(triples, KEPT_NGRAMS) if triples.count() else 0]
     inside = _from(None if None in steps else max(steps))
     automaton = build(
-        head, rank, _arrays(words.where("id >= 0").select("id", "p", F.coalesce(F.col("backoff"), F.lit(float("nan"))))),
+        _arrays(words.where("id >= 0").select("id", "p", F.coalesce(F.col("backoff"), F.lit(float("nan"))))),
         _arrays(pairs.where(inside).select("id", "p", F.coalesce(F.col("backoff"), F.lit(float("nan"))))),
         _arrays(triples.where(inside).select("id", "p")))  # bounded by AUTOMATON_WORDS and KEPT_NGRAMS
     base = F.log10("p")
@@ -370,7 +418,9 @@ def fit(texts: DataFrame) -> Fitted:
         "id", (base + F.log10(F.coalesce(F.col("backoff"), F.lit(1.0)))).alias("value"), base.alias("base"))
     grams = pairs.where(~inside).select("id", "value").unionByName(triples.where(~inside).select("id", "value"))
     others = rare.unionByName(grams.select("id", "value", F.lit(None).cast("double").alias("base")))
-    return Fitted(automaton, others, sieve(grams), tokens, types, parts)
+    others, made = stored(packed(others, parts), "lm-others"), sieve(grams)
+    drop(words, pairs, triples)
+    return Fitted(head, automaton, others, made, tokens, types, parts)
 
 
 def traverse(automaton: Automaton, word: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -429,6 +479,7 @@ def score_documents(documents: DataFrame, training: DataFrame, keep: tuple[str,
     unknown = float(np.log10(fitted.tokens + fitted.types + 1))
     parts = fitted.parts
     rows = documents.select(*keep, F.col("text").alias("__text"))
+    head = fitted.head
     shipped = rows.sparkSession.sparkContext.broadcast((tuple(fitted.automaton), fitted.sieve))
 
     def places(first_row: int, lot: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -452,7 +503,7 @@ def score_documents(documents: DataFrame, training: DataFrame, keep: tuple[str,
         for batch in batches:
             for first, stop, texts in H.slices(batch.column("__text"), TRAVERSED):
                 hashes, starts = token_hashes(texts)
-                ids = word_ids(a.head, a.rank, hashes)
+                ids = word_ids(Head(*head.value), hashes)
                 text = np.repeat(np.arange(len(texts)), np.diff(starts))
                 known = ids >= 0
                 base = np.zeros(len(ids))
@@ -490,15 +541,18 @@ def score_documents(documents: DataFrame, training: DataFrame, keep: tuple[str,
 
     def look_up(places: pa.Table, others: pa.Table) -> pa.Table:
         """What the places of a part add to each row; rows of documents pass."""
-        ids, value, base = (others.column(name).to_numpy() for name in ("id", "value", "base"))
-        order = np.argsort(ids)
-        ids, value, base = ids[order], value[order], base[order]
+        ids, value, base = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        if len(others):  # one row
+            block = {name: others.column(name)[0].as_py() for name in ("id", "value", "word", "base")}
+            ids, value = blocks.unpack_sorted(block["id"]), np.frombuffer(block["value"])
+            base = np.full(len(ids), np.nan)
+            base[blocks.unpack_sorted(block["word"])] = np.frombuffer(block["base"])
         documents = places.filter(pc.is_null(places.column("ids")))
         made = [filled(dict(zip(documents.column_names, (c.combine_chunks() for c in documents.columns))), arrow_summed)]
         blocks_ = places.filter(pc.is_valid(places.column("ids")))
         for k in range(len(blocks_)):
             first_row, row, wanted = (blocks_.column(name)[k].as_py() for name in ("__row", "rows", "ids"))
-            row, found = blocks.unpack(row), _find(ids, blocks.unpack_sorted(wanted))
+            row, found = blocks.unpack(row), _find(ids.view(np.uint64), blocks.unpack_sorted(wanted).view(np.uint64))
             row, found = row[found >= 0], found[found >= 0]
             word = ~np.isnan(base[found])
             times, values, bases, words = (np.bincount(row, x) for x in (None, value[found], np.where(word, base[found], 0), word))
@@ -509,16 +563,19 @@ def score_documents(documents: DataFrame, training: DataFrame, keep: tuple[str,
 
     # A row's number is that of its task and its place there, so it is the same if a task is run again.  Documents have
     # parts as well: they go through the shuffle of the places, so that these need not be stored.
-    scored = rows.mapInArrow(score, schema)
-    others = fitted.others.select(part_of(parts).alias("__part"), "id", "value", "base")
-    found = scored.groupBy("__part").cogroup(others.groupBy("__part")).applyInArrow(look_up, summed)
     own = [f.name for f in summed.fields if f.name not in ("__row", "__value", "__base", "__found")]
-    found = found.groupBy("__row").agg(
-        *(F.first(name, ignorenulls=True).alias(name) for name in own), *(F.sum(c).alias(c) for c in ("__value", "__base", "__found")))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        found = rows.mapInArrow(score, schema).groupBy("__part").cogroup(fitted.others.groupBy("__part")).applyInArrow(look_up, summed)
+        return found.groupBy("__row").agg(
+            *(F.first(name, ignorenulls=True).alias(name) for name in own), *(F.sum(c).alias(c) for c in ("__value", "__base", "__found")))
+
+    turn = F.pmod(F.xxhash64(*rows.columns), F.lit(ROUNDS))  # copies of a text are spread by what is kept
+    found = functools.reduce(DataFrame.unionByName, (stored(scored(rows.where(turn == k)), "lm-scored") for k in range(ROUNDS)))
     value, base, known = (F.coalesce(F.col(c), F.lit(0)) for c in ("__value", "__base", "__found"))
     # A word that training never had costs the same anywhere.
     never = (F.col("n_tokens") - F.col("n_known") - known) * unknown
-    return found.sortWithinPartitions("__row").select(
+    return found.select(
         *keep, "n_tokens", (F.col("n_known") + known).alias("n_known"),
         F.lit(fitted.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + base - never).alias("base_score"),
         (F.col("score") + value - never).alias("score"))

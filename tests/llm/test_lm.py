@@ -204,3 +204,31 @@ def test_nothing_shuffled_is_left_once_a_table_is_stored(spark, monkeypatch, tmp
     before = spark.conf.get(text.SHUFFLES_GO)
     assert text.stored(spark.range(9).groupBy("id").count(), "counted").count() == 9
     assert seen == ["true"] and spark.conf.get(text.SHUFFLES_GO) == before
+
+
+def test_only_the_values_and_the_rounds_are_left_on_disk(spark, documents, monkeypatch, tmp_path):
+    """Counts and tables on the way go; places of one round of documents at a time are shuffled."""
+    monkeypatch.setattr(text, "scratch_path", lambda session, name: str(tmp_path / "gleanery" / f"{name}-{len(made)}-{made.append(name)}"))
+    made = []
+    texts = [*corpus(), *["the cat"] * 5, None]
+    rows = documents(*texts)
+    assert len(lm.score_documents(rows, rows).collect()) == len(texts)
+    left = sorted(p.name.rsplit("-", 2)[0] for p in (tmp_path / "gleanery").iterdir())
+    assert left == ["lm-others", *["lm-scored"] * lm.ROUNDS]
+    with pytest.raises(ValueError):
+        outside = str(tmp_path / "table")
+        rows.write.parquet(outside)
+        text.drop(spark.read.parquet(outside))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5_000])
+def test_words_are_found_by_their_first_bits(n):
+    draw = np.random.default_rng(n)
+    hashes = np.unique(draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+    hashes[:n // 2] >>= np.uint64(25)  # many with the same first bits
+    hashes = np.unique(hashes)
+    head = lm.head_of(hashes, draw.integers(1, 9, len(hashes)))
+    rank = dict(zip(hashes.tolist(), head.rank.tolist()))
+    asked = np.concatenate([hashes, hashes + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+    assert lm.number_words(head, asked).tolist() == [rank.get(x, -1) for x in asked.tolist()]
+    assert sorted(rank.values()) == list(range(len(hashes)))
