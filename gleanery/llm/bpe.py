@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,28 +36,26 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-ÿ]*)([.,!?;:%$&*#|()-]*)")
 
 
 class Kept(dict):
-    """At most two generations of ``size`` entries: what is not asked for between two turns is dropped."""
+    """What ``make`` gives for a key, kept for at most two generations of ``size``: those not asked for in one go."""
 
-    def __init__(self, size: int):
+    def __init__(self, size: int, make: Callable):
         super().__init__()
-        self.size, self.older = size, {}
+        self.size, self.make, self.older = size, make, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
-        if value is not None:
-            self.put(key, value)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
     def rest(self) -> None:
         """Drop the older generation."""
         self.older = {}
 
-    def put(self, key, value) -> None:
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-
 
 class ChunkEncoder:
     """Encodes whole texts; one for each tokenizer file and process."""
@@ -69,8 +68,11 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
             self.plain = _splits_plainly(json.load(file))
-        self.chunks, self.words, self.pieces = Kept(KEPT_CHUNKS), Kept(KEPT_WORDS), Kept(KEPT_PIECES)
-        self.vocabulary = self.tokenizer.id_to_token
+        self.model = self.tokenizer.model
+        # Most words are known, so these are looked up without a call of Python's.
+        self.pieces = Kept(KEPT_PIECES, self._piece)
+        self.words = Kept(KEPT_WORDS, self._word)
+        self.chunks = Kept(KEPT_CHUNKS, self._chunk)
         # How byte-level tokenizers write a byte: visible ones as themselves, the others from 256 on.
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in seen]
@@ -86,42 +88,37 @@ class ChunkEncoder:
         return encoded.ids, encoded.tokens
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
-        known = self.pieces[piece]
-        if known is None:
-            tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.written))
-            known = np.array([t.id for t in tokens], "<u4").tobytes(), " ".join(t.value for t in tokens)
-            self.pieces.put(piece, known)
-        return known
-
-    def word(self, word: bytes) -> tuple[bytes, str]:
+        # ASCII letters and signs are written as themselves.
+        written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.written)
+        tokens = self.model.tokenize(written)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]), " ".join([t.value for t in tokens])
+
+    def _word(self, word: bytes) -> tuple[bytes, str]:
         """Token ids and decoded text of what lies between two white spaces."""
-        known = self.words[word]
-        if known is None:
-            text = word.decode()
-            plain = self.plain and _PLAIN.fullmatch(text)
-            if plain:
-                parts = [self._piece(p) for p in (plain[1].lower(), plain[2]) if p]
-                known = b"".join(p[0] for p in parts), " ".join(p[1] for p in parts)
-            else:
-                ids, tokens = self._library(text)
-                known = np.array(ids, "<u4").tobytes(), " ".join(tokens)
-            self.words.put(word, known)
-        return known
+        text = word.decode()
+        plain = self.plain and _PLAIN.fullmatch(text)
+        if not plain:
+            ids, tokens = self._library(text)
+            return np.array(ids, "<u4").tobytes(), " ".join(tokens)
+        letters, signs = plain.groups()
+        if not signs:
+            return self.pieces[letters.lower()]
+        if not letters:
+            return self.pieces[signs]
+        first, second = self.pieces[letters.lower()], self.pieces[signs]
+        return first[0] + second[0], f"{first[1]} {second[1]}"
 
     def _chunk(self, chunk: bytes) -> tuple[bytes, bytes, str, bytes] | tuple[bytes]:
         """First word's end, ids and text of the words inside, last word's beginning; or all of a chunk without space."""
-        known = self.chunks[chunk]
-        if known is None:
-            words = chunk.split()
-            if len(words) < 2 and not any(s in chunk for s in _SPACE):
-                known = (chunk,)
-            else:
-                head = words.pop(0) if words and chunk[0] not in _SPACE else b""
-                tail = words.pop() if words and chunk[-1] not in _SPACE else b""
-                inner = [self.word(w) for w in words]
-                known = head, b"".join(w[0] for w in inner), " ".join(w[1] for w in inner if w[1]), tail
-            self.chunks.put(chunk, known)
-        return known
+        words = chunk.split()
+        if len(words) < 2 and not any(s in chunk for s in _SPACE):
+            return (chunk,)
+        head = words.pop(0) if words and chunk[0] not in _SPACE else b""
+        tail = words.pop() if words and chunk[-1] not in _SPACE else b""
+        if not words:
+            return head, b"", "", tail
+        ids, texts = zip(*map(self.words.__getitem__, words))
+        return head, b"".join(ids), " ".join(filter(None, texts)), tail
 
     def encode(self, data: bytes) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and the decoded text, of one whole text."""
@@ -133,13 +130,13 @@ class ChunkEncoder:
 
         def join(word: bytes) -> None:
             if word:
-                known = self.word(word)
+                known = self.words[word]
                 ids.append(known[0])
                 texts.append(known[1])
 
         start, open_word = 0, b""
         for end in [*gear.cuts(np.frombuffer(data, np.uint8), CUT_BITS).tolist(), len(data)]:
-            known = self._chunk(data[start:end]) if end > start else (b"",)
+            known = self.chunks[data[start:end]] if end > start else (b"",)
             start = end
             if len(known) == 1:  # no white space yet: the join grows
                 open_word += known[0]
@@ -149,7 +146,7 @@ class ChunkEncoder:
             texts.append(known[2])
             open_word = known[3]
         join(open_word)
-        return b"".join(ids), " ".join(t for t in texts if t)
+        return b"".join(ids), " ".join(filter(None, texts))
 
 
 def _splits_plainly(tokenizer: dict) -> bool:

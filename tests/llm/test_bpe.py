@@ -1,4 +1,5 @@
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -66,3 +67,17 @@ def test_another_kind_of_tokenizer_is_left_to_its_library():
         ids, decoded = encoder.encode(text.encode())
         assert np.frombuffer(ids, "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
         assert decoded == other.decode(other.encode(text, add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+def test_known_words_take_no_call_each():
+    encoder, calls = bpe.ChunkEncoder(PATH), []
+    draw = random.Random(1)
+    words = [f"{a}{b}," for a in ("the", "cat", "Over") for b in "abcdefghij"]
+    first, second = (" ".join(draw.choice(words) for _ in range(4_000)).encode() for _ in range(2))
+    encoder.encode(first)
+    sys.setprofile(lambda frame, event, arg: event == "call" and calls.append(frame.f_code.co_name))
+    try:
+        encoder.encode(second)
+    finally:
+        sys.setprofile(None)
+    assert len(encoder.chunks) > 100 and len(calls) < 2_000
